@@ -82,7 +82,7 @@ def windows(items: DataFrame) -> DataFrame:
     """The items' windows: print, n (words), hash and the sorted ids of the items that hold it."""
     read = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words"))
     read = _hashed(read.where(F.size("words") > 0))
-    long = read.where(F.size("words") >= WINDOW).select("item", "words", F.posexplode("prints").alias("start", "print"), F.lit(WINDOW).alias("n"))
+    long = read.where(F.size("words") >= WINDOW).select("item", "words", F.posexplode_outer("prints").alias("start", "print"), F.lit(WINDOW).alias("n"))
     n = F.size("hashes")
     short = read.where(F.size("words") < WINDOW).select("item", "words", F.lit(0).alias("start"), F.xxhash64(n, "hashes").alias("print"), n.alias("n"))
     every = long.unionByName(short).select("item", "n", "print", _window_hash(F.col("words"), F.col("start"), F.col("n")).alias("hash"))
@@ -102,7 +102,8 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "
 
     read = docs.select(F.col(key).cast("long").alias("id"), text_digest(F.col(column)).alias("mark"), words_of(F.col(column)).alias("words"))
     read = _hashed(read).withColumn("heads", _heads("prints"))
-    # a stretch of equal fingerprints is one row; one more row stands for the document
+    # a stretch of equal fingerprints is one row; one more row stands for the document. No array that is spread
+    # out here is ever empty: the outer forms only keep the optimizer from testing that ahead of the arrays' steps.
     prints_, heads = F.col("prints"), F.col("heads")
     long = F.transform(heads, lambda i, j: _run(i, F.coalesce(_at(heads, j + 1), F.size(prints_)), _at(prints_, i), WINDOW))
     none = F.array().cast(f"array<{_RUN}>")
@@ -113,15 +114,15 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "
         parts.append(F.when(F.size("hashes") >= n, one).otherwise(none))
     read = read.select("id", "mark", "words", F.size("words").cast("long").alias("n_words"), F.concat(*parts).alias("runs"))
     if size <= BROADCAST:
-        met = read.select("id", "mark", "words", "n_words", F.inline("runs")).join(F.broadcast(prints), "print", "left_semi")
+        met = read.select("id", "mark", "words", "n_words", F.inline_outer("runs")).join(F.broadcast(prints), "print", "left_semi")
     else:
-        asked = read.select("id", "mark", F.inline("runs")).join(prints, "print", "left_semi").distinct()
+        asked = read.select("id", "mark", F.inline_outer("runs")).join(prints, "print", "left_semi").distinct()
         by_doc = asked.groupBy("id", "mark").agg(F.collect_list(F.struct("from", "to", "print", "n")).alias("runs"))
         met = read.select("id", "mark", "words", "n_words").join(by_doc.withColumnsRenamed({"id": "id_", "mark": "mark_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")))
-        met = met.select("id", "mark", "words", "n_words", F.inline("runs"))
+        met = met.select("id", "mark", "words", "n_words", F.inline_outer("runs"))
     each = F.transform(F.sequence("from", F.col("to") - 1), lambda i: F.struct(i.alias("start"), F.when(i >= 0, _window_hash(F.col("words"), i, F.col("n"))).alias("hash")))
     met = met.select("id", "mark", "n_words", "print", "n", each.alias("each"))
-    spread = met.select("id", "mark", "n_words", "print", "n", F.inline("each"))
+    spread = met.select("id", "mark", "n_words", "print", "n", F.inline_outer("each"))
     found = spread.join(_sized(known.select("print", "n", "hash", "items"), size), ["print", "n", "hash"], "left")
     found = found.where("start < 0 or items is not null")
     span = F.when(F.col("start") >= 0, F.struct("start", (F.col("start") + F.col("n")).alias("end")))

@@ -96,7 +96,7 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
         small = size if last else size.where(F.col("size") <= group)
         lists = keyed.join(small.select("kind", "block"), ["kind", "block"]).groupBy("kind", "block").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
         close = lambda x: F.transform(F.filter("fps", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= DISTANCE)), lambda y: F.struct(y.alias("u"), x.alias("v")))
-        pairs = lists.select(F.inline(F.flatten(F.transform("fps", close))))
+        pairs = lists.select(F.flatten(F.transform("fps", close)).alias("pairs")).select(F.inline_outer("pairs")).where("u is not null")
         found = pairs if found is None else found.unionByName(pairs)
         if last:
             break
