@@ -89,6 +89,13 @@ def windows(items: DataFrame) -> DataFrame:
     return every.groupBy("print", "n", "hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _spans(n: int) -> Column:
+    """A run for each n consecutive words, by the hash of an item's only window."""
+    at = F.sequence(F.lit(0), F.size("hashes") - n)
+    one = F.transform(at, lambda i: _run(i, i + 1, F.xxhash64(F.lit(n), F.slice("hashes", i + 1, n)), n))
+    return F.when(F.size("hashes") >= n, one).otherwise(F.array().cast(f"array<{_RUN}>"))
+
+
 def _sized(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST else df
 
@@ -108,10 +115,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "
     long = F.transform(heads, lambda i, j: _run(i, F.coalesce(_at(heads, j + 1), F.size(prints_)), _at(prints_, i), WINDOW))
     none = F.array().cast(f"array<{_RUN}>")
     parts = [F.array(_run(F.lit(-1), F.lit(0), F.lit(_ROW), 0)), F.coalesce(long, none)]
-    for n in short:
-        at = F.sequence(F.lit(0), F.size("hashes") - n)
-        one = F.transform(at, lambda i, n=n: _run(i, i + 1, F.xxhash64(F.lit(n), F.slice("hashes", i + 1, n)), n))
-        parts.append(F.when(F.size("hashes") >= n, one).otherwise(none))
+    parts += [_spans(n) for n in short]
     read = read.select("id", "mark", "words", F.size("words").cast("long").alias("n_words"), F.concat(*parts).alias("runs"))
     if size <= BROADCAST:
         met = read.select("id", "mark", "words", "n_words", F.inline_outer("runs")).join(F.broadcast(prints), "print", "left_semi")
