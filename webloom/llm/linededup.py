@@ -3,11 +3,12 @@
 A text's units are its lines, cut further after sentence ends, so that a passage that was put into the
 middle of a line still has whole units of its own. A unit is normalised (lower case, runs of white space as
 one blank, no blanks at its ends) and hashed to 128 bits. The digests are grouped over all texts; each keeps its earliest
-occurrence, ranked by doc_id (null last), then text digest, then place in the text. Consecutive later occurrences
+occurrence, ranked by doc_id (null last, by the text's hash), then place in the text. Consecutive later occurrences
 of a text form a run, and a run of at least ``MIN_WORDS`` words is removed; shorter ones stay, as chance repeats of
 a few words are no copies. Removed places are given as character offsets of the original text.
 
-Rows that repeat both doc_id and text are one document: all of them get the same result. Null and empty
+Rows that share a doc_id are of one rank: none of them loses a unit to another, only to lower ids and to its own
+text, so rows that repeat both doc_id and text all get the same result. Null and empty
 texts stay as they are. Extra columns of the input are kept by ``apply``.
 """
 
@@ -16,14 +17,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import text_digest
-
 MIN_WORDS = 8
 #: A unit runs to the end of its line or to a sentence end that white space follows.
 UNIT = r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)"
@@ -38,37 +38,52 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "mark", "place", "start", "end", "words", "digest"]
+    """A row for each unit; again: its text has had that unit before."""
+    names = ["rank", "mark", "place", "start", "end", "words", "again", "h1", "h2"]
     find, digest = re.compile(UNIT).finditer, xxhash.xxh3_128_digest
     for b in parts:
         for lo in range(0, b.num_rows, 256):
             p = b.slice(lo, 256)
-            row, place, start, end, n, d = [], [], [], [], [], []
+            row, place, start, end, n, again, d = [], [], [], [], [], [], []
             for r, t in enumerate(p.column(2)):
-                k = 0
+                k, had = 0, set()
                 for m in find(t.as_py() or ""):
                     w = m[0].lower().split()
                     if w:
+                        x = digest(" ".join(w).encode("utf-8", "replace"))
                         row.append(r)
                         place.append(k)
                         start.append(m.start())
                         end.append(m.end())
                         n.append(len(w))
-                        d.append(digest(" ".join(w).encode("utf-8", "replace")))
+                        again.append(x in had)
+                        d.append(x)
+                        had.add(x)
                         k += 1
-            at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([p.column(0).take(at), p.column(1).take(at), *(pa.array(x, pa.int32()) for x in (place, start, end, n)), pa.array(d, pa.binary())], names=names)
+            at, halves = pa.array(row, pa.int32()), np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [p.column(0).take(at), p.column(1).take(at), *(pa.array(x, pa.int32()) for x in (place, start, end, n)), pa.array(again, pa.bool_()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=names
+            )
+
+
+def _mark(text: Column) -> Column:
+    """Tells apart the texts of one doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _rank(doc_id: Column, mark: Column) -> Column:
+    """doc_id; documents without one come last, by their mark."""
+    return F.coalesce(doc_id.cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(mark, 2))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, mark (digest of the text) and the removed places (start, end) of each document that loses some."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("mark"), "text")
-    found = read.mapInArrow(_explode, "doc_id long, mark binary, place int, start int, end int, words int, digest binary")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "place")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("final")).where("first <> final").select("digest", "first")
-    later = found.join(first, "digest").where(rank != F.col("first")).select("doc_id", "mark", "place", "start", "end", "words")
-    # repeated rows give the same places more than once
-    by_doc = later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("place", "start", "end", "words"))).alias("later"))
+    """rank, mark and the removed places (start, end) of each document that loses some."""
+    mark = _mark(F.col("text"))
+    found = docs.select(_rank(F.col("doc_id"), mark).alias("rank"), mark.alias("mark"), "text").mapInArrow(_explode, "rank long, mark long, place int, start int, end int, words int, again boolean, h1 long, h2 long")
+    first = found.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    later = found.join(first, ["h1", "h2"]).where("again or rank <> first").select("rank", "mark", "place", "start", "end", "words")
+    # rows that repeat give the same places more than once
+    by_doc = later.groupBy("rank", "mark").agg(F.sort_array(F.collect_set(F.struct("place", "start", "end", "words"))).alias("later"))
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def runs(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -85,7 +100,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 out.append([{"start": x[0], "end": x[1]} for x in got if x[2] >= min_words])
             yield pd.Series(out, dtype=object)
 
-    return by_doc.select("doc_id", "mark", runs("later").alias("removed")).where(F.size("removed") > 0)
+    return by_doc.select("rank", "mark", runs("later").alias("removed"))
 
 
 def _without(text: Column, removed: Column) -> Column:
@@ -98,9 +113,10 @@ def _without(text: Column, removed: Column) -> Column:
 
 def apply(docs: DataFrame, min_words: int = MIN_WORDS, places: str | None = None) -> DataFrame:
     """``docs`` with the later occurrences cut from text (and n_chars counted anew); places: name of a column that gets the removed offsets."""
-    cuts = repeats(docs, min_words).select(F.col("doc_id").alias("_wl_id"), F.col("mark").alias("_wl_mark"), F.col("removed").alias("_wl_removed"))
-    joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(F.col("_wl_id")) & (text_digest(docs["text"]) == F.col("_wl_mark")), "left")
-    removed = F.col("_wl_removed")
+    cuts = repeats(docs, min_words).select(F.col("rank").alias("_wl_rank"), F.col("mark").alias("_wl_mark"), F.col("removed").alias("_wl_removed"))
+    mark = _mark(docs["text"])
+    joined = docs.join(cuts, (_rank(docs["doc_id"], mark) == F.col("_wl_rank")) & (mark == F.col("_wl_mark")), "left")
+    removed = F.when(F.size("_wl_removed") > 0, F.col("_wl_removed"))
     out = joined.withColumn("text", F.when(removed.isNull(), F.col("text")).otherwise(_without(F.col("text"), removed)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(removed.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
