@@ -5,7 +5,7 @@ A text is lower-cased, its 4- and 5-grams of characters are hashed into ``2**BIT
 once for a text, and its weight is the log-count ratio times a coefficient of an L2-regularised
 logistic regression. The margin becomes a probability by Platt scaling on rows kept from the fit.
 
-Null and empty texts have no n-grams: their score is that of the intercept. Repeated rows are scored
+Null and empty texts have no n-grams: their score is that of the intercept, which rows without n-grams in the fit keep low. Repeated rows are scored
 each. Labels that are null, or whose document is missing, take no part in the fit; without labels of
 both kinds every score is the share of label 1 among the labels (0 without any).
 """
@@ -113,6 +113,9 @@ def fit_rows(texts: list[str], labels: list[int], prior: float) -> Model:
     if not len(y) or y.min() == y.max():
         p = min(max(prior, 1e-6), 1 - 1e-6) if len(y) else 1e-6
         return Model(np.zeros(n, np.float32), float(np.log(p / (1 - p))), 1.0, 0.0)
+    # rows without n-grams, label 0: a text that shows nothing isn't toxic
+    texts, labels = [*texts, *[""] * (1 + len(texts) // 20)], [*labels, *[0] * (1 + len(texts) // 20)]
+    y = np.array(labels, np.float64)
     rows = [distinct_bins(t) for t in texts]
     last = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     keep = [i for i in range(len(y)) if not last[i]]

@@ -106,5 +106,6 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     by_host = won.groupBy("host").agg(F.collect_list(F.struct((F.length("rhost") + F.length("path")).alias("n"), F.concat("rhost", "path").alias("rule"), "verdict", F.col("path").alias("head"))).alias("rules"))
     fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["head"]))
     best = F.aggregate(fits, F.lit(None).cast("struct<n:int,rule:string,verdict:string,head:string>"), lambda a, r: F.when(a.isNull() | (r["n"] > a["n"]) | ((r["n"] == a["n"]) & (r["rule"] < a["rule"])), r).otherwise(a))
-    joined = asked.join(by_host, "host", "left").withColumn("best", best)
+    # kept apart, so that both sides are dealt anew and a hot host's urls can be split
+    joined = asked.join(materialise(by_host), "host", "left").withColumn("best", best)
     return joined.select(F.col("key_").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"))
