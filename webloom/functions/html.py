@@ -322,9 +322,17 @@ def extract(url: str, html: str | None, is_internal: Callable[[str], bool]) -> d
     return out
 
 
+def _names(schema: str) -> list[str]:
+    """The columns of a schema text."""
+    flat = schema
+    while "<" in flat:
+        flat = re.sub(r"<[^<>]*>", "", flat)
+    return [c.split()[0] for c in flat.split(",")]
+
+
 def extract_pages(pages: DataFrame, is_internal: Callable[[str], bool] = lambda url: True, key: str = "page_id") -> DataFrame:
     """Key, url and the extraction of each page (url, html)."""
-    names = [c.split()[0] for c in re.sub(r"<[^\n]*>", "", SCHEMA).replace("\n", " ").split(",") if c.strip()]
+    names = _names(SCHEMA)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

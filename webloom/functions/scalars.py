@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 #: Legal forms at the end of a company's name.
 LEGAL_FORMS = ["ab", "hb", "kb", "as", "inc", "ltd", "gmbh", "llc", "bv", "oy"]
@@ -136,37 +137,26 @@ def vitals_signals(html: Column) -> Column:
 # texts
 
 
-def simhash64(text: Column, n: int = 3) -> Column:
-    """Sign votes of the 64-bit hashes of the lower-cased text's character n-grams; under n characters: 0."""
-    low = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.xxhash64(F.substring(low, i, F.lit(n))))
-    vote = lambda b: F.aggregate(grams, F.lit(0), lambda a, h: a + F.when(F.getbit(h, F.lit(b)) == 1, 1).otherwise(-1))
-    bits = [F.when(vote(b) > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for b in range(64)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return F.when(F.length(low) < n, F.lit(0).cast("long")).otherwise(total)
-
-
-@F.pandas_udf("long")
-def simhash64_batch(hashes: pd.Series) -> pd.Series:
-    """The same votes from arrays of hashes, a batch at a time."""
+@F.pandas_udf(LongType())
+def simhash64(texts: pd.Series) -> pd.Series:
+    """Sign votes of 64-bit hashes of the lower-cased text's character trigrams, the same in every process; under three characters: 0."""
     import numpy as np
 
-    out = np.zeros(len(hashes), np.int64)
-    for k, h in enumerate(hashes):
-        if h is not None and len(h):
-            bits = np.unpackbits(np.asarray(h, np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    out = np.zeros(len(texts), np.int64)
+    with np.errstate(over="ignore"):
+        for k, t in enumerate(texts):
+            c = np.frombuffer((t or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+            if len(c) < 3:
+                continue
+            h = (c[:-2] << np.uint64(42)) ^ (c[1:-1] << np.uint64(21)) ^ c[2:]
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+            h ^= h >> np.uint64(31)
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             out[k] = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(h), bitorder="little").view(np.int64)[0]
     return pd.Series(out)
 
 
-def gram_hashes(text: Column, n: int = 3) -> Column:
-    low = F.lower(text)
-    places = F.sequence(F.lit(1), F.length(low) - (n - 1))
-    return F.when(F.length(low) >= n, F.transform(places, lambda i: F.xxhash64(F.substring(low, i, F.lit(n)))))
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -268,7 +258,7 @@ def rewrite_bounds(n: Column) -> Column:
     return F.struct(F.greatest(F.lit(20), F.floor(n * 0.8).cast("int")).alias("least"), F.floor(n * 1.3).cast("int").alias("most"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def inject_link(html: pd.Series, anchor: pd.Series, href: pd.Series) -> pd.Series:
     """The first whole-word occurrence of the anchor outside tags becomes a link, unless the address is linked already."""
 
@@ -282,7 +272,7 @@ def inject_link(html: pd.Series, anchor: pd.Series, href: pd.Series) -> pd.Serie
 
 
 def lead_parts(line: Column) -> Column:
-    p = F.transform(F.split(line, ","), F.trim)
+    p = F.transform(F.split(line, ","), lambda x: F.trim(x))
     return F.struct(*[F.coalesce(F.get(p, F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(("name", "email", "company"))])
 
 
@@ -303,7 +293,7 @@ def entity_list(text: Column, most: int) -> Column:
 
 
 def split_list(text: Column, most: int) -> Column:
-    return F.slice(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""), 1, most)
+    return F.slice(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
 
 
 def clamp(n: Column, low: int = 5, high: int = 30) -> Column:
@@ -317,7 +307,7 @@ def or_default(c: Column, default) -> Column:
 
 
 def report_sections(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     return F.struct(
         F.trim(F.regexp_extract(text, r"(?s)^(.*?)(?:\n#+\s|\n\d+[.)]\s|$)", 1)).alias("summary"),
         F.filter(lines, lambda x: x.rlike(r"^\d+[.)]")).alias("priorities"),

@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Query keys that only track visitors.
 TRACKING_PARAMS = (
@@ -162,14 +163,14 @@ def normalizer(deny=(), allow=None, drop_tracking: bool = True):
     """A function of columns: the normal form of urls under a parameter policy."""
     denied, allowed = frozenset(x.lower() for x in deny), None if allow is None else frozenset(x.lower() for x in allow)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def normalize(urls: pd.Series) -> pd.Series:
         return urls.map(lambda u: normalize_one(u, denied, allowed, drop_tracking))
 
     return normalize
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded_path(urls: pd.Series) -> pd.Series:
     return urls.map(lambda u: None if u is None else unquote(urlsplit(u).path))
 
@@ -179,7 +180,7 @@ def has_special_characters(url: Column) -> Column:
     return decoded_path(url).rlike(r"[^a-zA-Z0-9\-_/.%]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else urljoin(b or "", h) for b, h in zip(base, href)], dtype=object)
 

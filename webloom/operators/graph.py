@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import strip_slashes
 from webloom.operators.joins import score_delta
+from webloom.sources.shared import keep
 
 DAMPING = 0.85
 ITERATIONS = 50
 AUTHORITY_SHARE = 0.3
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Computes a table once; what lies before it is cut off, and any executor can read it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-")
-        spark.sparkContext.setCheckpointDir(place)
-    return df.checkpoint(eager=True)
+#: Nodes and edges of a graph that one task may hold.
+IN_ONE_TASK = 1_000_000
 
 
 def build(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,26 +73,46 @@ def teleport(nodes: DataFrame, authority: DataFrame | None = None) -> DataFrame:
     return raw.select("node", (F.col("p") / total).alias("p"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS, every: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(node, rank): power iteration; the mass of nodes without edges is dealt out by the teleport vector.
 
-    One shuffle each for the contributions and the ranks of a round; edges are dealt by source once.
+    A graph of up to ``in_one_task`` nodes and edges is ranked by one task. A larger one goes round by round: a
+    shuffle for the contributions and one for the ranks, each round's table kept.
     """
     nodes = keep(nodes.select("node").distinct())
     edges = simple_edges(nodes, edges)
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     edges = keep(edges.join(degree, "src"))
     base = keep(teleport(nodes) if personal is None else personal)
+    if nodes.count() + edges.count() <= in_one_task:
+        return keep(_pagerank_in_one_task(base, edges, damping, iterations))
     fixed = keep(base.join(degree.withColumnRenamed("src", "node"), "node", "left"))
     ranks = fixed.select("node", "p", "degree", F.col("p").alias("rank"))
-    for k in range(1, iterations + 1):
+    for _ in range(iterations):
         lost = ranks.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         flow = edges.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
         rank = (1 - damping) * F.col("p") + damping * (F.col("lost") * F.col("p") + F.coalesce("flow", F.lit(0.0)))
-        ranks = fixed.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", "p", "degree", rank.alias("rank"))  # lost is one row
-        if k % every == 0 or k <= 1:
-            ranks = keep(ranks)
-    return keep(ranks).select("node", "rank")
+        ranks = keep(fixed.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", "p", "degree", rank.alias("rank")))  # lost is one row
+    return ranks.select("node", "rank")
+
+
+def _pagerank_in_one_task(base: DataFrame, edges: DataFrame, damping: float, iterations: int) -> DataFrame:
+    nothing = F.lit(None)
+    rows = base.select(F.col("node").cast("string").alias("src"), nothing.cast("string").alias("dst"), "p").unionByName(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), nothing.cast("double").alias("p")))
+
+    def run(_key, rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["p"].notna()].sort_values("src")
+        place = {n: i for i, n in enumerate(own["src"])}
+        links = rows[rows["p"].isna()]
+        src, dst = (links[c].map(place).to_numpy(np.int64) for c in ("src", "dst"))
+        p, degree = own["p"].to_numpy(), np.bincount(src, minlength=len(place))
+        rank, open_ = p.copy(), degree == 0
+        for _ in range(iterations):
+            flow = np.bincount(dst, rank[src] / degree[src], len(place))
+            rank = (1 - damping) * p + damping * (rank[open_].sum() * p + flow)
+        return pd.DataFrame({"node": own["src"].to_numpy(), "rank": rank})
+
+    return rows.groupBy(F.lit(1).alias("one")).applyInPandas(run, "node string, rank double")
 
 
 def internal_pagerank(nodes: DataFrame, edges: DataFrame, authority: DataFrame | None = None, **how) -> DataFrame:

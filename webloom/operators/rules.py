@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.functions.scalars import blank, gram_hashes, hamming, is_indexed, is_stale, simhash64_batch, words
+from webloom.functions.scalars import blank, hamming, is_indexed, is_stale, simhash64, words
 from webloom.functions.urls import base_path, graph_key, query, strip_slashes
+from webloom.sources.shared import keep
 
 #: Properties that rich results need, by type.
 REQUIRED_PROPERTIES = {
@@ -223,9 +224,9 @@ def near_duplicates(pages: DataFrame, window: int = NEAR_WINDOW, bits: int = NEA
     A page meets its own and the next bucket only, so the work grows with pages times ``window``.
     """
     some = pages.where(is_indexed() & (F.coalesce("word_count", F.lit(0)) > 50) & ~blank(F.col("main_text")))
-    some = some.select("url", F.col("pos").cast("long").alias("pos"), "content_hash", simhash64_batch(gram_hashes(F.col("main_text"))).alias("sim")).where("sim <> 0")
+    some = some.select("url", F.col("pos").cast("long").alias("pos"), "content_hash", simhash64(F.col("main_text")).alias("sim")).where("sim <> 0")
     # places in order without a global sort: ranks within ranges of pos, plus the sizes of the ranges before
-    some = ranked(some, "pos")
+    some = ranked(keep(some), "pos")
     left = some.select(F.col("url").alias("a_url"), F.col("pos").alias("a_pos"), F.col("content_hash").alias("a_hash"), F.col("sim").alias("a_sim"), F.col("i").alias("a_i"), F.explode(F.array((F.col("i") / window).cast("long"), (F.col("i") / window).cast("long") + 1)).alias("bucket"))
     right = some.withColumn("bucket", (F.col("i") / window).cast("long"))
     apart = F.col("i") - F.col("a_i")

@@ -79,15 +79,12 @@ _SHARED = [
     ("meta_desc_duplicate", "low", 1.0, f"{IDX} AND meta_description <> '' AND count(*) FILTER (WHERE {IDX} AND meta_description <> '') OVER (PARTITION BY lower(trim(meta_description))) > 1"),
     ("duplicate_content", "high", 1.0, f"{IDX} AND count(*) FILTER (WHERE {IDX}) OVER (PARTITION BY content_hash) > 1"),
 ]
-_TEMPLATE = f"""SELECT 'duplicate_title', 'medium', 0.6, url, pos FROM v_pages WHERE {IDX} AND title <> '' AND (lower(trim(title)), lower(trim(h1_text))) IN
-  (SELECT (lower(trim(title)), lower(trim(h1_text))) FROM v_pages WHERE {IDX} AND title <> '' GROUP BY ALL HAVING count(*) > 3 AND count(DISTINCT content_hash) > 1)"""
 _TEMPLATE = f"""SELECT 'duplicate_title', 'medium', 0.6, v.url, v.pos FROM v_pages v JOIN
   (SELECT lower(trim(title)) AS t, lower(trim(h1_text)) AS h FROM v_pages WHERE {IDX} AND title <> '' GROUP BY 1, 2 HAVING count(*) > 3 AND count(DISTINCT content_hash) > 1) g
   ON lower(trim(v.title)) = g.t AND lower(trim(v.h1_text)) = g.h WHERE {IDX} AND v.title <> ''"""
 _PARAM = """SELECT 'param_duplicate', 'medium', 1.0, v.url, v.pos FROM v_pages v JOIN
   (SELECT split_part(split_part(url, '#', 1), '?', 1) AS b FROM v_pages WHERE regexp_extract(url, '[?]([^#]*)', 1) <> '' GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT content_hash) <= 1) g
   ON split_part(split_part(v.url, '#', 1), '?', 1) = g.b WHERE regexp_extract(v.url, '[?]([^#]*)', 1) <> ''"""
-_BROKEN = """SELECT 'broken_internal_link', 'high', 1.0, u, NULL FROM (SELECT DISTINCT source_url AS u FROM v_links JOIN v_pages p ON dest_url = p.url WHERE is_internal AND p.status_code >= 400)"""
 _ORPHAN = f"""SELECT 'orphan_page', 'medium', 1.0, url, pos FROM v_pages WHERE {IDX} AND depth > 0 AND url NOT IN (SELECT dest_url FROM v_links WHERE is_internal)"""
 
 
@@ -140,9 +137,9 @@ def near_duplicate_pages(spark, sf):
 
 
 @query("""
-SELECT url, pos FROM (SELECT 'd' || doc_id AS url, doc_id AS pos, word, n, total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at) AS r FROM
-  (SELECT doc_id, word, count(*) AS n, min(at) AS at, any_value(total) AS total FROM
-    (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at, len(w) AS total FROM
+SELECT url, pos FROM (SELECT 'd' || doc_id AS url, doc_id AS pos, word, n, total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) AS r FROM
+  (SELECT doc_id, word, count(*) AS n, min(place) AS place, any_value(total) AS total FROM
+    (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place, len(w) AS total FROM
       (SELECT doc_id, list_filter(string_split_regex(trim(lower(text)), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 100) GROUP BY doc_id, word))
 WHERE r <= 3 AND length(word) > 3 AND n / total > 0.05 GROUP BY url, pos""")
 def keyword_stuffed(spark, sf):
@@ -440,14 +437,6 @@ def click_depths(spark, sf):
     return graph.with_unreached(nodes, graph.click_depths(nodes, edges, start))
 
 
-_RANK = """WITH RECURSIVE nodes AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS node FROM supplier), k AS (SELECT count(*)::DOUBLE AS n FROM nodes), e AS (SELECT src, dst FROM v_edges WHERE src IN (SELECT node FROM nodes) AND dst IN (SELECT node FROM nodes)),
-deg AS (SELECT src, count(*) AS d FROM e GROUP BY 1),
-r AS (SELECT node, 1 / n AS rank, 0 AS i FROM nodes, k UNION ALL
-  (WITH now AS (SELECT * FROM r) SELECT m.node, 0.15 / n + 0.85 * (coalesce((SELECT sum(x.rank) FROM now x WHERE x.node NOT IN (SELECT src FROM deg)), 0) / n + coalesce(f.flow, 0)), m.i + 1 FROM now m CROSS JOIN k
-   LEFT JOIN (SELECT e.dst, sum(y.rank / deg.d) AS flow FROM e JOIN deg USING (src) JOIN now y ON y.node = e.src GROUP BY 1) f ON f.dst = m.node WHERE m.i < 10))
-"""
-
-
 @query()
 def page_rank(spark, sf):
     nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("node"))

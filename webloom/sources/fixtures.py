@@ -60,5 +60,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str) -> str:
     """A DuckDB statement with the views that it names in front."""
-    used = [v for v in VIEWS if v in sql]
-    return "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in used) + " " + sql if used else sql
+    listed = ", ".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in sql)
+    if not listed:
+        return sql
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(lead):
+            return f"{lead}{listed}, {sql[len(lead):]}"
+    return f"WITH {listed} {sql}"
