@@ -511,5 +511,129 @@ def organic_keywords(spark, sf):
     return agg.first_n(o, ["url"], [F.desc("traffic"), "keyword"], 3)
 
 
+# smaller operators, each on the substrate that fits
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id, round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 6) AS cosine,
+  round(list_inner_product(a.e, b.e), 6) AS dot FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def vector_scores(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    x, y = F.col("embedding"), F.col("other")
+    return e.join(b, "vec_id").select("vec_id", F.round(scalars.cosine(x, y), 6).alias("cosine"), F.round(scalars.dot(x, y), 6).alias("dot"))
+
+
+@query("SELECT depth, list_sort(list(url)) AS urls FROM v_pages WHERE depth BETWEEN 0 AND 5 GROUP BY 1")
+def pages_by_depth(spark, sf):
+    return agg.pages_by_depth(_pages(spark, sf), 5)
+
+
+@query("SELECT depth, count(*)::BIGINT AS n FROM v_pages GROUP BY 1")
+def depth_distribution(spark, sf):
+    return agg.depth_distribution(_pages(spark, sf))
+
+
+@query("""SELECT url, status_code, title, word_count, CASE WHEN is_indexable THEN 'Yes' ELSE 'No' END AS is_indexable, depth, round_even(ttfb_ms, 1) AS ttfb_ms FROM v_pages""")
+def pages_sheet(spark, sf):
+    return reports.pages_sheet(_pages(spark, sf)).select("url", "status_code", "title", "word_count", "is_indexable", "depth", "ttfb_ms")
+
+
+@query("SELECT id, status, pages FROM v_runs WHERE tenant = 1")
+def tenant_runs(spark, sf):
+    sites = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), (F.col("c_custkey") % 3).cast("string").alias("tenant_id"))
+    return joins.runs_of_tenant(view(spark, sf, "v_runs"), sites, "1").select("id", "status", "pages")
+
+
+@query("SELECT DISTINCT url AS url_normalized FROM pages WHERE page_id % 2 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def unseen_frontier(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.col("url").alias("url_normalized"))
+    return joins.unseen(p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0")).select("url_normalized")
+
+
+@query("""SELECT page_id, CASE WHEN starts_with(p, '/en/2') THEN true WHEN starts_with(p, '/en/') OR starts_with(p, '/fr/') THEN false ELSE true END AS allowed
+  FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)""")
+def robots_decisions(spark, sf):
+    u = F.col("url")
+    asked = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("url"), F.lit("h").alias("host"), urls.path(u).alias("path"))
+    listed = spark.createDataFrame([("h", False, "/en/"), ("h", True, "/en/2"), ("h", False, "/fr/")], "host string, allow boolean, prefix string")
+    return joins.longest_robots_rule(asked, listed).select(F.col("url").cast("long").alias("page_id"), "allowed")
+
+
+@query("SELECT url, status_code FROM v_pages WHERE contains(lower(url), 'blog') AND floor(status_code / 100) = 2")
+def page_search(spark, sf):
+    return rankings.search_pages(_pages(spark, sf), "Blog", 2).select("url", "status_code")
+
+
+@query("SELECT issue_type, severity, affected_url FROM v_issues WHERE severity = 'high' AND (contains(issue_type, 'e_1') OR contains(affected_url, 'e_1'))")
+def issue_search(spark, sf):
+    return rankings.search_issues(view(spark, sf, "v_issues"), "E_1", "high").select("issue_type", "severity", "affected_url")
+
+
+@query(r"""SELECT c_custkey, list_sort(list_distinct(list_filter([lower(n), lower(b), CASE WHEN len(w) >= 2 THEN lower(w[1] || ' ' || w[2]) END], lambda t: t IS NOT NULL))) AS tokens FROM
+  (SELECT *, string_split(b, ' ') AS w FROM (SELECT c_custkey, n, trim(regexp_replace(n, '(?i)\s+(ab|hb|kb|as|inc|ltd|gmbh|llc|bv|oy)\.?$', '')) AS b FROM
+  (SELECT c_custkey, c_name || CASE c_custkey % 3 WHEN 0 THEN ' AB' WHEN 1 THEN ' Group Ltd.' ELSE '' END AS n FROM customer)))""")
+def brand_spellings(spark, sf):
+    k = F.col("c_custkey") % 3
+    n = F.concat("c_name", F.when(k == 0, " AB").when(k == 1, " Group Ltd.").otherwise(""))
+    return table(spark, sf, "customer").select("c_custkey", F.array_sort(scalars.brand_tokens(n)).alias("tokens"))
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split_regex(trim(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))::INTEGER AS words FROM documents")
+def word_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", scalars.word_count(F.col("text")).alias("words"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def hourly_events(spark, sf):
+    e = table(spark, sf, "events")
+    return limits.windowed(e, size="1 hour").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS cut FROM events),
+g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", count(*)::BIGINT AS n FROM g GROUP BY user_id, s""")
+def user_sessions(spark, sf):
+    return limits.sessions(table(spark, sf, "events"))
+
+
+@query("""SELECT count(*)::BIGINT AS backlinks, sum(CASE WHEN value <= 0 THEN 1 ELSE least(10, floor(value / 10) + 1) END)::BIGINT AS bonus FROM events""")
+def bonus_total(spark, sf):
+    return agg.bonus_total(table(spark, sf, "events").select(F.col("value").alias("domain_rating")))
+
+
+@query("SELECT user_id::VARCHAR AS url, count(*)::BIGINT AS ref_domains, count_if(value >= 10)::BIGINT AS ref_domains_dr10 FROM events GROUP BY 1")
+def referring_domains(spark, sf):
+    return agg.referring_domains(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("url"), F.col("value").alias("domain_rating")))
+
+
+@query("""SELECT coalesce(a.url, b.url) AS url, a.before, b.after, coalesce(b.after, 0) - coalesce(a.before, 0) AS delta, CASE WHEN a.before > 0 THEN (coalesce(b.after, 0) - coalesce(a.before, 0)) / a.before * 100 END AS delta_pct
+  FROM (SELECT s_suppkey AS url, s_acctbal AS before FROM supplier WHERE s_suppkey % 3 <> 0) a FULL JOIN (SELECT s_suppkey AS url, s_acctbal * 2 AS after FROM supplier WHERE s_suppkey % 4 <> 0) b ON a.url = b.url""")
+def score_changes(spark, sf):
+    s = table(spark, sf, "supplier")
+    return joins.score_delta(s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("url"), F.col("s_acctbal").alias("score")), s.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("url"), (F.col("s_acctbal") * 2).alias("score")))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN true WHEN c_custkey % 4 = 0 THEN d >= 28 WHEN c_custkey % 4 = 1 THEN d >= 7 WHEN c_custkey % 4 = 2 THEN d >= 1 ELSE d >= 30 END AS due FROM (SELECT *, c_custkey % 40 AS d FROM customer)""")
+def due_crawls(spark, sf):
+    k = F.col("c_custkey")
+    cron = F.when(k % 4 == 0, "0 0 1 * *").when(k % 4 == 1, "0 0 * * 1").when(k % 4 == 2, "0 0 * * *").otherwise("weekly")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    last = F.when(k % 5 != 0, now - F.make_dt_interval((k % 40).cast("int")))
+    return table(spark, sf, "customer").select(k.alias("id"), scalars.crawl_due(cron, last, now).alias("due"))
+
+
+@query("SELECT platform, count(*)::BIGINT AS n FROM (SELECT 'a' AS platform FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'b' FROM orders WHERE o_orderkey % 5 = 0) GROUP BY 1")
+def platform_union(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey")
+    both = joins.platforms({"a": o.where("o_orderkey % 2 = 0"), "b": o.where("o_orderkey % 5 = 0").withColumn("extra", F.lit(1))})
+    return both.groupBy("platform").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id AS job_id, CASE WHEN min(CASE WHEN event_type = 'purchase' THEN ts END) IS NOT NULL THEN 'completed' ELSE 'running' END AS status FROM events GROUP BY 1")
+def job_states(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.when(F.col("event_type") == "purchase", "completed").otherwise("running").alias("status"))
+    return limits.job_status(e).select("job_id", "status")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return title_issues(spark, sf_dir)
