@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 BITS = 18
 ORDERS = (4, 5)
 #: The fit's bounds: rows of each label, and characters of a row that may be drawn.
-SAMPLE = 1500
+SAMPLE = 1000
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 
@@ -73,19 +73,22 @@ class Model:
 
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Full-batch gradient steps with momentum on features ``scale[bin] / sqrt(bins of the row)``."""
-    idx = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
-    size = np.array([len(r) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    x = scale[idx]
+    """Full-batch gradient steps with momentum on features ``scale[bin]``."""
     w, b, vw, vb = np.zeros(len(scale)), 0.0, np.zeros(len(scale)), 0.0
-    norm = np.bincount(row, x * x, len(rows)).mean() + 1
+    norm = np.mean([(scale[r] ** 2).sum() for r in rows]) + 1
     rate = 3.0 / norm
+    parts = [range(at, min(at + 100, len(rows))) for at in range(0, len(rows), 100)]  # bounds what is in memory beside the rows
     for _ in range(steps):
-        z = b + np.bincount(row, w[idx] * x, len(rows))
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        gw = np.bincount(idx, g[row] * x, len(scale)) + l2 * w / len(y)
-        vw, vb = 0.9 * vw - rate * len(y) ** 0.5 * gw, 0.9 * vb - rate * len(y) ** 0.5 * g.sum()
+        gw, gb = l2 * w / len(y), 0.0
+        for part in parts:
+            idx = np.concatenate([rows[i] for i in part])
+            row = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+            x = scale[idx]
+            z = b + np.bincount(row, w[idx] * x, len(part))
+            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part.start : part.stop]) / len(y)
+            gw += np.bincount(idx, g[row] * x, len(scale))
+            gb += g.sum()
+        vw, vb = 0.9 * vw - rate * len(y) ** 0.5 * gw, 0.9 * vb - rate * len(y) ** 0.5 * gb
         w, b = w + vw, b + vb
     return w, b
 
