@@ -150,3 +150,22 @@ def test_simhash_is_stable_and_close(spark):
     text = "the quick brown fox jumps over the lazy dog " * 20
     rows = spark.createDataFrame([(text,), (text + "x",), ("ab",), (None,)], "t string").select(scalars.simhash64("t").alias("h")).collect()
     assert (rows[0].h ^ rows[1].h).bit_count() < 6 and rows[2].h == rows[3].h == 0
+
+
+def test_render_and_mobile(spark):
+    page = lambda **v: {k: F.lit(x) for k, x in ({"title": "T", "h1_text": "H", "canonical_url": None, "meta_robots": None, "internal_links_count": 1, "word_count": 100} | v).items()}
+    raw, rich = page(), page(h1_text="H2", internal_links_count=20, word_count=300)
+    got = spark.range(1).select(scalars.render_diff(raw.__getitem__, rich.__getitem__).alias("d"), scalars.mobile_diff(raw.__getitem__, rich.__getitem__).alias("m")).first()
+    assert (got.d.h1_changed, got.d.title_changed, got.d.links_added, got.d.word_count_diff, got.d.has_significant_changes) == (True, False, 19, 200, True)
+    assert got.m.mobile_links == 20
+    need = lambda h, **v: one(spark, scalars.needs_render(F.lit(h), F.lit(v.get("h1", "H")), F.lit("T"), F.lit(v.get("links", 5)), F.lit(200), F.lit(None).cast("string")))
+    full = "<html><body>" + "x" * 2100 + "</body></html>"
+    assert [need("short"), need(full), need(full, links=0), need('<body id="root"><script>' + "x" * 2100 + "</script></body>")] == [True, False, True, True]
+
+
+def test_divergence_and_sections(spark):
+    t, a = F.create_map(F.lit("warm"), F.lit(1.0)), F.create_map(F.lit("warm"), F.lit(0.0), F.lit("dry"), F.lit(0.0))
+    d = one(spark, scalars.divergence(t, a))
+    assert abs(d.distance - 0.5**0.5) < 1e-9 and d.off
+    r = one(spark, scalars.report_sections(F.lit("All good.\n1. Fix titles\n2) Add links\n## Competitor view")))
+    assert r.summary == "All good." and r.priorities == ["1. Fix titles", "2) Add links"] and r.competitors == ["## Competitor view"]
