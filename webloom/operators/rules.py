@@ -332,7 +332,11 @@ def audit(pages: DataFrame, links: DataFrame | None = None, robots: DataFrame |
 
 
 def rollup(violations: DataFrame, sample: int = 10) -> DataFrame:
-    """One row for each (issue_type, severity); the sample keeps the first pages by place, then url, without gathering a whole group."""
+    """One row for each (issue_type, severity); the sample keeps the first pages by place, then url, without gathering a whole group.
+
+    The violations are read twice, so their table is kept: the checks run once.
+    """
+    violations = keep(violations)
     order = Window.partitionBy("issue_type", "severity").orderBy("pos", "url")
     first = violations.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample)
     firsts = first.groupBy("issue_type", "severity").agg(F.sort_array(F.collect_list(F.struct("_r", "url"))).alias("s"))

@@ -12,6 +12,7 @@ from webloom.operators import aggregates as agg
 from webloom.operators import graph, joins, rankings, rules
 from webloom.plans import reports
 from webloom.sources.fixtures import BRANDS, IDX, table, view, with_views
+from webloom.sources.shared import keep
 from webloom.streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,9 +101,10 @@ _ROLLUP = """SELECT issue_type, severity, max(confidence) AS confidence, first(u
 
 @query(_ROLLUP.format(_violations_sql()))
 def audit_issues(spark, sf):
-    """All rules whose columns the view has, as issue rows."""
-    found = rules.audit(_pages(spark, sf), None)
-    orphans = rules._violation(rules.orphans(_pages(spark, sf), _links(spark, sf)), "orphan_page", "medium")
+    """All rules whose columns the view has, as issue rows; the view is computed once, as a crawl's table would be."""
+    pages = keep(_pages(spark, sf))
+    found = rules.audit(pages, None)
+    orphans = rules._violation(rules.orphans(pages, _links(spark, sf)), "orphan_page", "medium")
     return rules.rollup(found.unionByName(orphans))
 
 
