@@ -37,6 +37,8 @@ DEFAULT = "allow"
 #: Ranges of the sweep: one for so many distinct keys, and no more than these.
 KEYS_PER_RANGE = 200_000
 MOST_RANGES = 512
+#: Distinct rule paths up to which they are broadcast.
+BROADCAST = 20_000
 
 
 def host_of(url: Column) -> Column:
@@ -98,7 +100,9 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
         return asked.select(F.col("key_").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(DEFAULT).alias("verdict"))
     cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     heads = asked.where("host <> '' and path <> ''").select("host", F.explode(F.transform(cut, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("path"))
-    heads = heads.join(rules.select("path").distinct(), "path", "left_semi").distinct()
+    paths = rules.select("path").distinct()
+    # few paths lead very many urls: while they are few they are broadcast, else dealt after the urls' heads are made distinct
+    heads = heads.join(F.broadcast(paths), "path", "left_semi").distinct() if paths.count() <= BROADCAST else heads.distinct().join(paths, "path", "left_semi")
     points = heads.select(_key(F.col("host"), F.col("path")).alias("key"), "host", "path")
     if ranges is None:
         points = materialise(points)
