@@ -24,19 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import materialise
+
 MIN_WORDS = 8
 #: A unit runs to the end of its line or to a sentence end that white space follows.
 UNIT = r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)"
 
 
-def units(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised text) of the units that hold words."""
-    for m in re.finditer(UNIT, text):
-        body = " ".join(m[0].lower().split())
-        if body:
-            yield m.start(), m.end(), body
-
-
 def _explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each unit; again: its text has had that unit before."""
     names = ["rank", "mark", "place", "start", "end", "words", "again", "h1", "h2"]
@@ -81,7 +75,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     mark = _mark(F.col("text"))
     found = docs.select(_rank(F.col("doc_id"), mark).alias("rank"), mark.alias("mark"), "text").mapInArrow(_explode, "rank long, mark long, place int, start int, end int, words int, again boolean, h1 long, h2 long")
     first = found.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = found.join(first, ["h1", "h2"]).where("again or rank <> first").select("rank", "mark", "place", "start", "end", "words")
+    # kept apart, so that both sides of the join are dealt anew and a digest that very many units share can be split
+    later = found.join(materialise(first), ["h1", "h2"]).where("again or rank <> first").select("rank", "mark", "place", "start", "end", "words")
     # rows that repeat give the same places more than once
     by_doc = later.groupBy("rank", "mark").agg(F.sort_array(F.collect_set(F.struct("place", "start", "end", "words"))).alias("later"))
 
