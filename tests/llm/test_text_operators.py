@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from webloom.llm import bpe, decontam, licenses, linededup, simhash, toxicity
+from webloom.llm import bpe, decontam, licenses, linededup, neardup, simhash, toxicity
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string, words string, id long, mark string"
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve."
@@ -229,3 +229,41 @@ def test_links_of_crowded_blocks(spark):
     for x in signed:
         groups.setdefault(part[x % 2**64], set()).add(x)
     assert roots == {x: min(g) for g in groups.values() for x in g if x != min(g)}
+
+
+def similar(a, b):
+    """Whether the five-word shingles' Jaccard similarity is 0.8 or more."""
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in (a, b)))
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("group", [256, 4])
+def test_pipeline_copies_are_those_of_similarity_four_fifths(spark, group):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for size in (60, 200, 300):
+        for _ in range(4):
+            base = list(rng.choice(vocabulary, size))
+            texts.append(base)
+            for edits in (1, 2, 3, 5, 8):
+                t = list(base)
+                for at in rng.choice(size, edits, replace=False):
+                    t[at] = "new"
+                texts.append(t)
+    rows = [(100 + i, " ".join(t)) for i, t in enumerate(texts)] + [(1, None), (2, ""), (3, "A b"), (4, "a  B"), (5, "a c"), (None, "a b")]
+    lead = {}
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if similar(rows[i][1], rows[j][1]):
+            a, b = root[i], root[j]
+            root = [a if r == b else r for r in root]
+    for (i, _), r in zip(rows, root):
+        lead[r] = min(lead.get(r, 1e9), 1e9 if i is None else i)
+    table = docs(spark, rows)
+    got = {r.doc_id: r.component_id for r in neardup.groups(table, group=group).collect()}
+    assert got == {i: lead[r] for (i, _), r in zip(rows, root)}
+    if group == 256:
+        assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_copies(spark, table, "").collect()) == sorted(lead.values())

@@ -138,9 +138,9 @@ def groups(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "mark", "fp", F.col("lead.doc_id").alias("component_id"), F.col("lead.mark").alias("lead_mark"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the smallest doc_id, ties by the text's digest; of rows that repeat both, one."""
-    got = groups(docs)
+def keep_one(docs: DataFrame, got: DataFrame | None = None) -> DataFrame:
+    """One row of each component: that of the smallest doc_id, ties by the text's digest; of rows that repeat both, one. got: other components than those of ``groups``."""
+    got = groups(docs) if got is None else got
     lead = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("lead_mark"))
     kept = got.where(lead).groupBy(F.col("doc_id").alias("_wl_id"), F.col("mark").alias("_wl_mark")).agg(F.count("*").alias("_wl_n"))
     left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_wl_id")) & (text_digest(docs["text"]) == F.col("_wl_mark")))
