@@ -112,6 +112,13 @@ def test_later_passages_are_cut_and_offsets_fit(spark):
     assert sorted((r.doc_id or 0, r.text) for r in twice) == [(0, ""), (1, PASSAGE), (1, PASSAGE), (3, "")]
 
 
+def test_later_short_lines_are_cut(spark):
+    rows = [(1, "Released here.\nFirst of all. Yes."), (2, "Own words\nReleased   HERE.\nand more"), (3, "Released here. But not alone."), (4, "Go on. Now.\nx"), (5, "y\nGo on. Now.\nGo on. Here."), (6, "again\nagain\nend")]
+    got = {r.doc_id: r.text for r in linededup.apply(docs(spark, rows)).collect()}
+    assert [got[i].split("\n") for i in (1, 2, 3)] == [["Released here.", "First of all. Yes."], ["Own words", "", "and more"], ["Released here. But not alone."]]
+    assert got[4] == rows[3][1] and [x for x in got[5].split("\n") if x] == ["y", "Go on. Here."] and got[6] == "again\nend"
+
+
 def test_bpe_is_tiktokens(spark):
     public = pytest.importorskip("public_tokenizers")
     import tiktoken

@@ -4,8 +4,8 @@ A text's units are its lines, cut further after sentence ends, so that a passage
 middle of a line still has whole units of its own. A unit is normalised (lower case, runs of white space as
 one blank, no blanks at its ends) and hashed to 128 bits. The digests are grouped over all texts; each keeps its earliest
 occurrence, ranked by doc_id (null last, by the text's hash), then place in the text. Consecutive later occurrences
-of a text form a run, and a run of at least ``MIN_WORDS`` words is removed; shorter ones stay, as chance repeats of
-a few words are no copies. Removed places are given as character offsets of the original text.
+of a text form a run, and a run of at least ``MIN_WORDS`` words is removed; of shorter ones, whole lines go and pieces of a
+line stay, as chance repeats of a few words within lines are no copies. Removed places are given as character offsets of the original text.
 
 Rows that share a doc_id are of one rank: none of them loses a unit to another, only to lower ids and to its own
 text, so rows that repeat both doc_id and text all get the same result. Null and empty
@@ -32,32 +32,45 @@ UNIT = r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)"
 
 
 def _explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each unit; again: its text has had that unit before."""
-    names = ["rank", "mark", "place", "start", "end", "words", "again", "h1", "h2"]
+    """A row for each unit, and for each short line of several units: its span (start, end) and info in a long each.
+
+    info: the unit's place (-1: none, it goes on its own), words, whether a whole line, whether its text has had it before.
+    """
+    names = ["rank", "mark", "span", "info", "h1", "h2"]
     find, digest = re.compile(UNIT).finditer, xxhash.xxh3_128_digest
     for b in parts:
         for lo in range(0, b.num_rows, 256):
             p = b.slice(lo, 256)
-            row, place, start, end, n, again, d = [], [], [], [], [], [], []
+            row, span, info, d = [], [], [], []
             for r, t in enumerate(p.column(2)):
-                k, had = 0, set()
-                for m in find(t.as_py() or ""):
+                text, k, had, line = t.as_py() or "", 0, set(), []
+
+                def put(place: int, start: int, end: int, w: list[str], whole: bool) -> None:
+                    x = digest(" ".join(w).encode("utf-8", "replace"))
+                    row.append(r)
+                    span.append(start << 32 | end)
+                    info.append(place << 24 | min(len(w), (1 << 22) - 1) << 2 | whole << 1 | (x in had))
+                    d.append(x)
+                    had.add(x)
+
+                for m in find(text):
                     w = m[0].lower().split()
                     if w:
-                        x = digest(" ".join(w).encode("utf-8", "replace"))
-                        row.append(r)
-                        place.append(k)
-                        start.append(m.start())
-                        end.append(m.end())
-                        n.append(len(w))
-                        again.append(x in had)
-                        d.append(x)
-                        had.add(x)
+                        line.append((k, m.start(), m.end(), w, False))
                         k += 1
+                    # the line's end: a unit that ends in a line feed, or the text's end
+                    if line and (m[0].endswith("\n") or m.end() == len(text)):
+                        if len(line) == 1:
+                            put(*line[0][:4], True)
+                        else:
+                            for u in line:
+                                put(*u)
+                            words = [x for u in line for x in u[3]]
+                            if len(words) < MIN_WORDS:
+                                put(-1, line[0][1], line[-1][2], words, True)
+                        line = []
             at, halves = pa.array(row, pa.int32()), np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [p.column(0).take(at), p.column(1).take(at), *(pa.array(x, pa.int32()) for x in (place, start, end, n)), pa.array(again, pa.bool_()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=names
-            )
+            yield pa.RecordBatch.from_arrays([p.column(0).take(at), p.column(1).take(at), pa.array(span, pa.int64()), pa.array(info, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=names)
 
 
 def _mark(text: Column) -> Column:
@@ -73,29 +86,46 @@ def _rank(doc_id: Column, mark: Column) -> Column:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rank, mark and the removed places (start, end) of each document that loses some."""
     mark = _mark(F.col("text"))
-    found = docs.select(_rank(F.col("doc_id"), mark).alias("rank"), mark.alias("mark"), "text").mapInArrow(_explode, "rank long, mark long, place int, start int, end int, words int, again boolean, h1 long, h2 long")
+    found = docs.select(_rank(F.col("doc_id"), mark).alias("rank"), mark.alias("mark"), "text").mapInArrow(_explode, "rank long, mark long, span long, info long, h1 long, h2 long")
     first = found.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     # kept apart, so that both sides of the join are dealt anew and a digest that very many units share can be split
-    later = found.join(materialise(first), ["h1", "h2"]).where("again or rank <> first").select("rank", "mark", "place", "start", "end", "words")
+    later = found.join(materialise(first), ["h1", "h2"]).where("info % 2 <> 0 or rank <> first").select("rank", "mark", "info", "span")
     # rows that repeat give the same places more than once
-    by_doc = later.groupBy("rank", "mark").agg(F.sort_array(F.collect_set(F.struct("place", "start", "end", "words"))).alias("later"))
+    by_doc = later.groupBy("rank", "mark").agg(F.sort_array(F.collect_set(F.struct("info", "span"))).alias("later"))
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
-    def runs(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             out = []
             for rows in s:
-                got, last = [], None
+                got, runs, last = [], [], None
                 for u in rows:
-                    if last is not None and u["place"] == last[3] + 1:
-                        last[1], last[2], last[3] = u["end"], last[2] + u["words"], u["place"]
+                    place, words, whole = u["info"] >> 24, u["info"] >> 2 & (1 << 22) - 1, u["info"] & 2
+                    start, end = u["span"] >> 32, u["span"] & (1 << 32) - 1
+                    if whole:
+                        got.append([start, end])
+                    if place < 0:
+                        continue
+                    if last is not None and place == last[3] + 1:
+                        last[1], last[2], last[3] = end, last[2] + words, place
                     else:
-                        last = [u["start"], u["end"], u["words"], u["place"]]
-                        got.append(last)
-                out.append([{"start": x[0], "end": x[1]} for x in got if x[2] >= min_words])
+                        last = [start, end, words, place]
+                        runs.append(last)
+                out.append(_merged(got + [x[:2] for x in runs if x[2] >= min_words]))
             yield pd.Series(out, dtype=object)
 
-    return by_doc.select("rank", "mark", runs("later").alias("removed"))
+    return by_doc.select("rank", "mark", spans("later").alias("removed"))
+
+
+def _merged(spans: list[list[int]]) -> list[dict]:
+    """The union of spans, in order."""
+    out = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"start": start, "end": end})
+    return out
 
 
 def _without(text: Column, removed: Column) -> Column:
