@@ -119,6 +119,30 @@ def test_later_short_lines_are_cut(spark):
     assert got[4] == rows[3][1] and [x for x in got[5].split("\n") if x] == ["y", "Go on. Here."] and got[6] == "again\nend"
 
 
+def test_later_passages_inside_sentences_are_cut(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda n: [f"w{x}" for x in rng.integers(10**6, size=n)]
+    passage, rows = draw(50), []
+    for i in range(20):
+        before, after = draw(3 + i), draw(4 + i)
+        rows.append((i + 1, f"{' '.join(before)} {' '.join(passage)}\n{' '.join(after)}. Ünd  so🎉 on.", set(before + after)))
+    got = {r.doc_id: r for r in linededup.apply(docs(spark, [r[:2] for r in rows]), places="removed").collect()}
+    assert got[1].text == rows[0][1]
+    for i, text, own in rows[1:]:
+        left = got[i].text.split()
+        assert own <= {w.strip(".") for w in left}
+        assert len(set(passage) & set(left)) <= 2 * (linededup.CHOICE - 1)
+        # places are offsets of the original
+        at, kept = 0, ""
+        for a in got[i].removed:
+            kept, at = kept + text[at : a.start], a.end
+        assert kept + text[at:] == got[i].text
+    # a text that repeats itself keeps its first words
+    again = linededup.apply(docs(spark, [(1, "ti " * 100), (2, " ".join(passage * 3))])).collect()
+    left = {r.doc_id: r.text.split() for r in again}
+    assert 8 <= len(left[1]) < 24 and left[2][:50] == passage and len(left[2]) < 80
+
+
 def test_bpe_is_tiktokens(spark):
     public = pytest.importorskip("public_tokenizers")
     import tiktoken

@@ -1,11 +1,14 @@
 """Substring dedup: line hashing with the original offsets kept.
 
-A text's units are its lines, cut further after sentence ends, so that a passage that was put into the
-middle of a line still has whole units of its own. A unit is normalised (lower case, runs of white space as
-one blank, no blanks at its ends) and hashed to 128 bits. The digests are grouped over all texts; each keeps its earliest
-occurrence, ranked by doc_id (null last, by the text's hash), then place in the text. Consecutive later occurrences
-of a text form a run, and a run of at least ``MIN_WORDS`` words is removed; of shorter ones, whole lines go and pieces of a
-line stay, as chance repeats of a few words within lines are no copies. Removed places are given as character offsets of the original text.
+A text's units are its lines, cut further after sentence ends. As a repeated passage may begin and end inside a
+sentence, windows of ``WINDOW`` words are added, whatever lines and sentences they cross: of each ``CHOICE`` neighbouring
+windows the one with the least hash, so a passage of WINDOW + CHOICE - 1 words always holds a chosen one, and
+at most CHOICE - 1 words at each of its ends lie outside of them. Units and windows are normalised (lower case, runs of
+white space as one blank, no blanks at the ends) and hashed, units to 128 bits and windows to 96. The digests are grouped over all texts; each
+keeps its earliest occurrence, ranked by doc_id (null last, by the text's hash), then place in the text. Later
+windows are removed. Consecutive later units of a text form a run, and a run of at least ``MIN_WORDS`` words is removed;
+of shorter ones, whole lines go and pieces of a line stay, as chance repeats of a few words within lines are no copies.
+Removed places are given as character offsets of the original text.
 
 Rows that share a doc_id are of one rank: none of them loses a unit to another, only to lower ids and to its own
 text, so rows that repeat both doc_id and text all get the same result. Null and empty
@@ -27,13 +30,92 @@ from pyspark.sql import functions as F
 from webloom.llm.common import materialise
 
 MIN_WORDS = 8
+#: Words of a window, and how many neighbouring windows one is chosen of.
+WINDOW = 8
+CHOICE = 10
+#: Bits of the table of repeated digests that each worker holds, 16 MB.
+MOST_BITS = 1 << 27
 #: A unit runs to the end of its line or to a sentence end that white space follows.
 UNIT = r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)"
 
 
-def _explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each unit, and for each short line of several units: its span (start, end) and info in a long each.
-
+_SPACES = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def _tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of a text, and where its words start and end."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(np.concatenate([[True], _SPACES[np.minimum(chars, 0x3001)], [True]]).astype(np.int8))
+    return chars, np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+
+
+def _codes(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its characters."""
+    size = end - start
+    powers = np.multiply.accumulate(np.full(size.max(), 0xD6E8FEB86659FD93, np.uint64))
+    first = np.cumsum(size) - size
+    inner = np.arange(size.sum()) - np.repeat(first, size)
+    x = (chars[inner + np.repeat(start, size)] + np.uint64(1)) * powers[inner]
+    x = np.add.reduceat(x, first)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+
+
+def _rolled(h: np.ndarray, factor: int) -> np.ndarray:
+    """A hash of each WINDOW (a power of two) neighbours, from halves."""
+    size, f = 1, factor
+    while size < WINDOW:
+        h = h[:-size] * np.uint64(f) + h[size:]
+        size, f = 2 * size, f * f % (1 << 64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
+    """The least or greatest of each ``size`` neighbours."""
+    of, have = np.minimum if least else np.maximum, 1
+    while have < size:
+        step = min(have, size - have)
+        x, have = of(x[:-step], x[step:]), have + step
+    return x
+
+
+def _chosen(h: np.ndarray) -> np.ndarray:
+    """Places that hold the least of some CHOICE neighbours, so that the same words choose the same windows wherever they stand."""
+    size = min(CHOICE, len(h))
+    low = np.pad(_sliding(h, size, True), size - 1)
+    return np.flatnonzero(_sliding(low, size, False) == h)
+
+
+def _windows(text: str) -> tuple[np.ndarray, ...]:
+    """start, end, again, h1, h2 of the chosen windows of a text; none if it has under ``WINDOW`` words."""
+    chars, start, end = _tokens(text)
+    if len(start) < WINDOW:
+        return (np.zeros(0, np.int64),) * 5
+    # small letters may take more characters
+    h = _codes(*_tokens(text.lower()))
+    h1, h2 = _rolled(h, 0x9E3779B97F4A7C15), _rolled(h, 0xC2B2AE3D27D4EB4F)
+    at = _chosen(h1)
+    _, first, which = np.unique(h1[at], return_index=True, return_inverse=True)
+    again = np.zeros(len(at), bool)
+    if len(first) < len(at):  # else none is there twice
+        # a window that overlaps the last of its own kind adds nothing
+        last, keep = {}, np.ones(len(at), bool)
+        for i, (x, kind) in enumerate(zip(at.tolist(), which.tolist())):
+            if kind in last and x < last[kind] + WINDOW:
+                keep[i] = False
+            else:
+                again[i], last[kind] = kind in last, x
+        at, again = at[keep], again[keep]
+    # the blanks up to the next word go along if it is on the same line
+    feeds, stop = np.concatenate([[0], np.cumsum(chars == 10)]), np.append(start[1:], end[-1])
+    stop = np.where(feeds[stop] == feeds[end], stop, end)
+    return start[at], stop[at + WINDOW - 1], again, h1[at].view(np.int64), (h2[at] >> np.uint64(32)).view(np.int64)
+
+
+def _explode(parts: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each unit, each short line of several units and each chosen window: its span (start, end) and info in a long each.
+
+    bits: rows whose h1 has no bit in this table go.
     info: the unit's place (-1: none, it goes on its own), words, whether a whole line, whether its text has had it before.
     """
     names = ["rank", "mark", "span", "info", "h1", "h2"]
@@ -41,7 +123,7 @@ def _explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in parts:
         for lo in range(0, b.num_rows, 256):
             p = b.slice(lo, 256)
-            row, span, info, d = [], [], [], []
+            row, span, info, d, chosen = [], [], [], [], []
             for r, t in enumerate(p.column(2)):
                 text, k, had, line = t.as_py() or "", 0, set(), []
 
@@ -69,8 +151,17 @@ def _explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             if len(words) < MIN_WORDS:
                                 put(-1, line[0][1], line[-1][2], words, True)
                         line = []
-            at, halves = pa.array(row, pa.int32()), np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([p.column(0).take(at), p.column(1).take(at), pa.array(span, pa.int64()), pa.array(info, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=names)
+                start, end, again, h1, h2 = _windows(text)
+                chosen.append((np.full(len(start), r), start << 32 | end, (-1 << 24) + (WINDOW << 2 | 2) + again, h1, h2))
+            halves = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
+            units = [np.array(x, np.int64) for x in (row, span, info)] + [halves[:, 0], halves[:, 1]]
+            arrays = [np.concatenate(x) for x in zip(units, *chosen)]
+            if bits is not None:
+                place = arrays[3] & (64 * len(bits) - 1)
+                some = (bits[place >> 6] >> (place & 63)) & 1 > 0
+                arrays = [x[some] for x in arrays]
+            at, *columns = (pa.array(x, pa.int64()) for x in arrays)
+            yield pa.RecordBatch.from_arrays([p.column(0).take(at), p.column(1).take(at), *columns], names=names)
 
 
 def _mark(text: Column) -> Column:
@@ -83,13 +174,26 @@ def _rank(doc_id: Column, mark: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(mark, 2))
 
 
+def _bits(first: DataFrame) -> np.ndarray:
+    """A bit for each h1 by its last bits, at most ``MOST_BITS`` in all: spares the join most of the rows that meet nothing."""
+    size = min(MOST_BITS, 1 << max(16, (16 * first.count()).bit_length()))
+    place = F.col("h1").bitwiseAND(F.lit(size - 1))
+    words = first.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, cast(h1 & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rank, mark and the removed places (start, end) of each document that loses some."""
     mark = _mark(F.col("text"))
-    found = docs.select(_rank(F.col("doc_id"), mark).alias("rank"), mark.alias("mark"), "text").mapInArrow(_explode, "rank long, mark long, span long, info long, h1 long, h2 long")
-    first = found.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    texts = docs.select(_rank(F.col("doc_id"), mark).alias("rank"), mark.alias("mark"), "text")
+    kind = "rank long, mark long, span long, info long, h1 long, h2 long"
     # kept apart, so that both sides of the join are dealt anew and a digest that very many units share can be split
-    later = found.join(materialise(first), ["h1", "h2"]).where("info % 2 <> 0 or rank <> first").select("rank", "mark", "info", "span")
+    first = materialise(texts.mapInArrow(_explode, kind).groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(first))
+    found = texts.mapInArrow(lambda parts: _explode(parts, bits.value), kind)
+    later = found.join(first, ["h1", "h2"]).where("info % 2 <> 0 or rank <> first").select("rank", "mark", "info", "span")
     # rows that repeat give the same places more than once
     by_doc = later.groupBy("rank", "mark").agg(F.sort_array(F.collect_set(F.struct("info", "span"))).alias("later"))
 
