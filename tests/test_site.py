@@ -171,6 +171,25 @@ def test_page_rank(spark, bound):
     assert all(abs(ipr[k] - want[k] * 10 / max(want.values())) < 1e-4 for k in nodes)
 
 
+def test_rank_queries_read_all_edges(spark, tmp_path):
+    from webloom.queries import QUERIES
+
+    rng = np.random.default_rng(7)
+    keys = [(int(a), int(b)) for a, b in zip(rng.integers(1, 9, 30), rng.integers(1, 60, 30))]
+    spark.createDataFrame(keys, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 10.0 * k) for k in range(1, 9)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    nodes, edges = [str(k) for k in range(1, 9)], {(str(a), str(b % 8 + 1)) for a, b in keys if a != b % 8 + 1}
+    want = naive_rank(nodes, edges, dict.fromkeys(nodes, 1 / 8), 50)
+    got = {r.node: r["rank"] for r in QUERIES["page_rank"](spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(want[k], abs=1e-8) for k in nodes}
+    raw = {k: 0.7 / 8 + 0.3 * int(k) / 8 for k in nodes}
+    want = naive_rank(nodes, edges, {k: v / sum(raw.values()) for k, v in raw.items()}, 50)
+    ipr = {r.node: r.ipr for r in QUERIES["internal_rank"](spark, str(tmp_path)).collect()}
+    assert ipr == {k: pytest.approx(want[k] * 10 / max(want.values()), abs=1e-4) for k in nodes}
+    plan = {r.src: set(r.removed.split(" | ")) for r in QUERIES["link_plan"](spark, str(tmp_path)).collect()}
+    assert plan == {"5": {b for a, b in edges if a == "5"}}
+
+
 def test_what_if_and_plan(spark):
     n = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")

@@ -442,14 +442,14 @@ def click_depths(spark, sf):
 @query()
 def page_rank(spark, sf):
     nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("node"))
-    return graph.pagerank(nodes, view(spark, sf, "v_edges"), iterations=10).select("node", F.round("rank", 8).alias("rank"))
+    return graph.pagerank(nodes, view(spark, sf, "v_edges")).select("node", F.round("rank", 8).alias("rank"))
 
 
 @query()
 def internal_rank(spark, sf):
     nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("node"))
     authority = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("node"), F.abs("s_acctbal").alias("authority"))
-    return graph.internal_pagerank(nodes, view(spark, sf, "v_edges"), authority, iterations=10)
+    return graph.internal_pagerank(nodes, view(spark, sf, "v_edges"), authority)
 
 
 @query("""SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ' | ') AS removed FROM v_edges WHERE src::BIGINT % 5 = 0 GROUP BY 1""")

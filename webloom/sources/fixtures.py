@@ -39,7 +39,7 @@ V_ANSWERS = """SELECT conv_id * 1000 + turn AS pos, concat('p', CAST(conv_id % 5
   CAST(turn % 3 AS STRING) AS prompt_type, concat('q', CAST(conv_id % 30 AS STRING)) AS query, text AS answer_text FROM conversations WHERE role = 'assistant'"""
 
 V_EDGES = """SELECT DISTINCT CAST(l_suppkey AS STRING) AS src, CAST(l_partkey % s.n + 1 AS STRING) AS dst FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM supplier) AS s
-WHERE l_partkey % 17 = 0 AND l_suppkey <> l_partkey % s.n + 1"""
+WHERE l_suppkey <> l_partkey % s.n + 1"""
 
 VIEWS = {"v_pages": V_PAGES, "v_links": V_LINKS, "v_runs": V_RUNS, "v_issues": V_ISSUES, "v_answers": V_ANSWERS, "v_edges": V_EDGES}
 BRANDS = ["The Of AB", "and", "der", "que la"]
