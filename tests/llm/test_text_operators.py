@@ -115,10 +115,100 @@ def test_later_passages_are_cut_and_offsets_fit(spark):
 def test_later_short_lines_are_cut(spark):
     rows = [(1, "Released here.\nFirst of all. Yes."), (2, "Own words\nReleased   HERE.\nand more"), (3, "Released here. But not alone."), (4, "Go on. Now.\nx"), (5, "y\nGo on. Now.\nGo on. Here."), (6, "again\nagain\nend")]
     got = {r.doc_id: r.text for r in linededup.apply(docs(spark, rows)).collect()}
-    assert [got[i].split("\n") for i in (1, 2, 3)] == [["Released here.", "First of all. Yes."], ["Own words", "", "and more"], ["Released here. But not alone."]]
+    assert [got[i].split("\n") for i in (1, 2, 3)] == [["Released here.", "First of all. Yes."], ["Own words", "and more"], ["Released here. But not alone."]]
     assert got[4] == rows[3][1] and [x for x in got[5].split("\n") if x] == ["y", "Go on. Here."] and got[6] == "again\nend"
 
 
+def naive_units(text):
+    """(words, characters, place, whole) of a text's units and short lines, by the words of the docstring."""
+    out, place, at = [], 0, 0
+    for line in text.split("\n"):
+        units, first = [], at
+        for m in re.finditer(r"\S+", line):
+            units = units or [[]]
+            units[-1].append((m[0].lower(), {at + k for k in range(m.start(), m.end())}))
+            if m[0][-1] in ".!?":
+                units.append([])
+        units = [u for u in units if u]
+        for u in units:
+            out.append((tuple(w for w, _ in u), set().union(*(c for _, c in u)), place, len(units) == 1))
+            place += 1
+        if len(units) > 1 and sum(map(len, units)) < linededup.MIN_WORDS:
+            out.append((tuple(w for u in units for w, _ in u), set().union(*(c for u in units for _, c in u)), -1, True))
+        at = first + len(line) + 1
+    return out
+
+
+def naive_windows(text):
+    w = [(m[0].lower(), set(range(m.start(), m.end()))) for m in re.finditer(r"\S+", text)]
+    each = [(tuple(x for x, _ in w[i : i + 8]), set().union(*(c for _, c in w[i : i + 8]))) for i in range(len(w) - 7)]
+    if not each:
+        return []
+    # a text of eight words has one window, whose hash orders them
+    h = [int(linededup._pieces([" ".join(x)])[3].view(np.uint64)[-1]) for x, _ in each]
+    size = min(linededup.CHOICE, len(h))
+    chosen = sorted({k for i in range(len(h) - size + 1) for k in range(i, i + size) if h[k] == min(h[i : i + size])})
+    out, last = [], {}
+    for k in chosen:
+        if k >= last.get(each[k][0], -8) + 8:
+            out.append(each[k])
+            last[each[k][0]] = k
+    return out
+
+
+def naive_repeats(rows):
+    """The removed characters, blanks left out, of each text."""
+    earliest, pieces = {}, []
+    for rank, text in rows:
+        got = [("u", *u) for u in naive_units(text)] + [("w", *x, -1, True) for x in naive_windows(text)]
+        pieces.append(got)
+        for kind, words, *_ in got:
+            earliest[kind, words] = min(rank, earliest.get((kind, words), rank))
+    out = []
+    for (rank, _), got in zip(rows, pieces):
+        had, gone, later = set(), set(), []
+        for kind, words, chars, place, whole in got:
+            if rank > earliest[kind, words] or (kind, words) in had:
+                gone |= chars if whole else set()
+                later += [(place, len(words), chars)] if place >= 0 else []
+            had.add((kind, words))
+        run = []
+        for k, x in enumerate(later):
+            run.append(x)
+            if k + 1 == len(later) or later[k + 1][0] != x[0] + 1:
+                if sum(n for _, n, _ in run) >= linededup.MIN_WORDS:
+                    gone = gone.union(*(c for *_, c in run))
+                run = []
+        out.append(gone)
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    lines = [" ".join(rng.choice(["a", "B", "c.", "Éa", "d!", "İ", "e\tf"], rng.integers(1, 14))) for _ in range(30)]
+    long = " ".join(f"w{x}" for x in rng.integers(400, size=3000))
+    rows = []
+    for i in range(150):
+        cut = int(rng.integers(2500))
+        some = [*rng.choice(lines, rng.integers(0, 6)), long[cut : cut + int(rng.integers(400))], *rng.choice(lines, rng.integers(0, 3))]
+        rng.shuffle(some)
+        rows.append((i * 3, str(rng.choice(["", "\n", "  "])) + str(rng.choice(["\n", "\n\n", "\n  "])).join(some)))
+    want = naive_repeats(rows)
+    got = {r.doc_id: r for r in linededup.apply(docs(spark, rows), places="removed").collect()}
+    assert any(want)
+    for (i, text), gone in zip(rows, want):
+        removed = {k for a in got[i].removed for k in range(a.start, a.end)}
+        assert {k for k in removed if not text[k].isspace()} == gone, i
+        assert "".join(x for k, x in enumerate(text) if k not in removed) == got[i].text
+
+
+def test_line_dedup_of_a_text_of_megabytes(spark):
+    rng = np.random.default_rng(12)
+    long = "\n".join(" ".join(f"w{x}" for x in rng.integers(10**6, size=20)) for _ in range(10_000))
+    got = {r.doc_id: r.text for r in linededup.apply(docs(spark, [(1, long), (2, "own words\n" + long + "\nmore of them")])).collect()}
+    assert len(long) > 10**6 and got[1] == long and got[2] == "own words\nmore of them"
+
+
 def test_later_passages_inside_sentences_are_cut(spark):
     rng = np.random.default_rng(6)
     draw = lambda n: [f"w{x}" for x in rng.integers(10**6, size=n)]

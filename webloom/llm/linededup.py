@@ -4,72 +4,83 @@ A text's units are its lines, cut further after sentence ends. As a repeated pas
 sentence, windows of ``WINDOW`` words are added, whatever lines and sentences they cross: of each ``CHOICE`` neighbouring
 windows the one with the least hash, so a passage of WINDOW + CHOICE - 1 words always holds a chosen one, and
 at most CHOICE - 1 words at each of its ends lie outside of them. Units and windows are normalised (lower case, runs of
-white space as one blank, no blanks at the ends) and hashed, units to 128 bits and windows to 96. The digests are grouped over all texts; each
+white space as one blank, no blanks at the ends) and hashed to 96 bits. The digests are grouped over all texts; each
 keeps its earliest occurrence, ranked by doc_id (null last, by the text's hash), then place in the text. Later
 windows are removed. Consecutive later units of a text form a run, and a run of at least ``MIN_WORDS`` words is removed;
 of shorter ones, whole lines go and pieces of a line stay, as chance repeats of a few words within lines are no copies.
-Removed places are given as character offsets of the original text.
+A removed line takes its line feed along. Removed places are given as character offsets of the original text.
+
+All texts are read twice: once for the digests that several documents share, and once for the places that hold one of
+them, after a bitmap of bounded size has left out most that don't. The later places are sorted by document and folded as
+they come, so no group of them is ever held but one document's own.
 
 Rows that share a doc_id are of one rank: none of them loses a unit to another, only to lower ids and to its own
 text, so rows that repeat both doc_id and text all get the same result. Null and empty
-texts stay as they are. Extra columns of the input are kept by ``apply``.
+texts stay as they are. Very long texts are hashed whole, with some 100 bytes of memory a character. doc_id must be an integer or cast to one.
+Extra columns of the input are kept by ``apply``, whatever their names but ``_wl_``.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import materialise
+from webloom.llm.common import written
 
 MIN_WORDS = 8
 #: Words of a window, and how many neighbouring windows one is chosen of.
 WINDOW = 8
 CHOICE = 10
-#: Bits of the table of repeated digests that each worker holds, 16 MB.
+#: Bits of the table of repeated digests that each worker holds: 16 MB.
 MOST_BITS = 1 << 27
-#: A unit runs to the end of its line or to a sentence end that white space follows.
-UNIT = r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)"
-
+#: Characters that are hashed together; a longer text is hashed alone.
+TOGETHER = 1 << 16
 
 _SPACES = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+_LAST = np.uint64((1 << 64) - 1)
+#: Odd factors: of a word's characters, and twice of a stretch's words.
+_CHARS, _WORDS1, _WORDS2 = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Keep the hashes of units and windows apart.
+_UNIT, _WIN = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0)
 
 
-def _tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The characters of a text, and where its words start and end."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    edge = np.diff(np.concatenate([[True], _SPACES[np.minimum(chars, 0x3001)], [True]]).astype(np.int8))
-    return chars, np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
-
+@functools.lru_cache(maxsize=12)
+def _powers(factor: int, size: int) -> np.ndarray:
+    out = np.full(size, factor, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-def _codes(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its characters."""
-    size = end - start
-    powers = np.multiply.accumulate(np.full(size.max(), 0xD6E8FEB86659FD93, np.uint64))
-    first = np.cumsum(size) - size
-    inner = np.arange(size.sum()) - np.repeat(first, size)
-    x = (chars[inner + np.repeat(start, size)] + np.uint64(1)) * powers[inner]
-    x = np.add.reduceat(x, first)
-    return (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
 
-
-def _rolled(h: np.ndarray, factor: int) -> np.ndarray:
-    """A hash of each WINDOW (a power of two) neighbours, from halves."""
-    size, f = 1, factor
-    while size < WINDOW:
-        h = h[:-size] * np.uint64(f) + h[size:]
-        size, f = 2 * size, f * f % (1 << 64)
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
+class _Sums:
+    """Hashes of stretches of a sequence as polynomials, from running sums."""
+
+    def __init__(self, values: np.ndarray, factor: int):
+        self.room = 1 << max(16, len(values).bit_length())
+        self.back = pow(factor, -1, 1 << 64)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _powers(factor, self.room)[: len(values)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * _powers(self.back, self.room)[start]
+
+
+def _tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of a text, and where its words start and end."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(np.concatenate([[True], _SPACES[np.minimum(chars, 0x3001)], [True]]).view(np.int8))
+    return chars, np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+
+
 def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
     """The least or greatest of each ``size`` neighbours."""
     of, have = np.minimum if least else np.maximum, 1
@@ -79,89 +90,153 @@ def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
     return x
 
 
-def _chosen(h: np.ndarray) -> np.ndarray:
-    """Places that hold the least of some CHOICE neighbours, so that the same words choose the same windows wherever they stand."""
-    size = min(CHOICE, len(h))
-    low = np.pad(_sliding(h, size, True), size - 1)
-    return np.flatnonzero(_sliding(low, size, False) == h)
-
-
-def _windows(text: str) -> tuple[np.ndarray, ...]:
-    """start, end, again, h1, h2 of the chosen windows of a text; none if it has under ``WINDOW`` words."""
-    chars, start, end = _tokens(text)
-    if len(start) < WINDOW:
+def _chosen(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places that hold the least of some CHOICE neighbours of their owner (of all, if fewer), so that the same words choose the same windows wherever they stand."""
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    group = np.cumsum(np.concatenate([[0], (owner[1:] != owner[:-1]).astype(np.int64)]))
+    count = np.diff(np.append(first, len(h)))
+    # owners are set apart by CHOICE places that no window has
+    at = np.arange(len(h)) + group * CHOICE
+    apart = np.full(at[-1] + 1 + CHOICE, _LAST)
+    apart[at] = h
+    low = _sliding(apart, CHOICE, True)
+    # a stretch that runs over its owner's end counts only where the owner has fewer than CHOICE
+    inner = np.arange(len(h)) - first[group]
+    counts = inner <= np.maximum(0, count[group] - CHOICE)
+    kept = np.zeros(len(apart) + CHOICE - 1, np.uint64)
+    kept[at[counts] + CHOICE - 1] = low[at[counts]]
+    return np.flatnonzero(_sliding(kept, CHOICE, False)[at] == h)
+
+
+def _first_again(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the owner has had the hash at an earlier place of the arrays."""
+    order = np.lexsort((h, owner))
+    again = np.zeros(len(h), bool)
+    again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    return again
+
+
+def _apart(owner: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows stay, and which are there again: one that overlaps the last of its own kind adds nothing."""
+    again, keep = _first_again(owner, h), np.ones(len(h), bool)
+    if again.any():
+        kinds = {x for x in zip(owner[again].tolist(), h[again].tolist())}
+        last: dict = {}
+        for i, (o, x, kind) in enumerate(zip(owner.tolist(), at.tolist(), h.tolist())):
+            if (o, kind) in kinds:
+                if x < last.get((o, kind), -WINDOW) + WINDOW:
+                    keep[i] = again[i] = False
+                else:
+                    last[o, kind] = x
+    return keep, again
+
+
+def _pieces(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """row (place in ``texts``), span, info, h1, h2 of the texts' units, short lines of several units and chosen windows.
+
+    span: start and end, in the halves of a long. info: the unit's place (-1: none, it goes on its own), words, whether a
+    whole line, whether its text has had it before.
+    """
+    joined = "\n".join(texts) + "\n"
+    sizes = np.array([len(t) for t in texts])
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    chars, start, end = _tokens(joined)
+    if not len(start):
         return (np.zeros(0, np.int64),) * 5
+    low = joined.lower()
     # small letters may take more characters
-    h = _codes(*_tokens(text.lower()))
-    h1, h2 = _rolled(h, 0x9E3779B97F4A7C15), _rolled(h, 0xC2B2AE3D27D4EB4F)
-    at = _chosen(h1)
-    _, first, which = np.unique(h1[at], return_index=True, return_inverse=True)
-    again = np.zeros(len(at), bool)
-    if len(first) < len(at):  # else none is there twice
-        # a window that overlaps the last of its own kind adds nothing
-        last, keep = {}, np.ones(len(at), bool)
-        for i, (x, kind) in enumerate(zip(at.tolist(), which.tolist())):
-            if kind in last and x < last[kind] + WINDOW:
-                keep[i] = False
-            else:
-                again[i], last[kind] = kind in last, x
-        at, again = at[keep], again[keep]
-    # the blanks up to the next word go along if it is on the same line
-    feeds, stop = np.concatenate([[0], np.cumsum(chars == 10)]), np.append(start[1:], end[-1])
-    stop = np.where(feeds[stop] == feeds[end], stop, end)
-    return start[at], stop[at + WINDOW - 1], again, h1[at].view(np.int64), (h2[at] >> np.uint64(32)).view(np.int64)
-
-
-def _explode(parts: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """A row for each unit, each short line of several units and each chosen window: its span (start, end) and info in a long each.
-
-    bits: rows whose h1 has no bit in this table go.
-    info: the unit's place (-1: none, it goes on its own), words, whether a whole line, whether its text has had it before.
-    """
-    names = ["rank", "mark", "span", "info", "h1", "h2"]
-    find, digest = re.compile(UNIT).finditer, xxhash.xxh3_128_digest
-    for b in parts:
-        for lo in range(0, b.num_rows, 256):
-            p = b.slice(lo, 256)
-            row, span, info, d, chosen = [], [], [], [], []
-            for r, t in enumerate(p.column(2)):
-                text, k, had, line = t.as_py() or "", 0, set(), []
-
-                def put(place: int, start: int, end: int, w: list[str], whole: bool) -> None:
-                    x = digest(" ".join(w).encode("utf-8", "replace"))
-                    row.append(r)
-                    span.append(start << 32 | end)
-                    info.append(place << 24 | min(len(w), (1 << 22) - 1) << 2 | whole << 1 | (x in had))
-                    d.append(x)
-                    had.add(x)
-
-                for m in find(text):
-                    w = m[0].lower().split()
-                    if w:
-                        line.append((k, m.start(), m.end(), w, False))
-                        k += 1
-                    # the line's end: a unit that ends in a line feed, or the text's end
-                    if line and (m[0].endswith("\n") or m.end() == len(text)):
-                        if len(line) == 1:
-                            put(*line[0][:4], True)
-                        else:
-                            for u in line:
-                                put(*u)
-                            words = [x for u in line for x in u[3]]
-                            if len(words) < MIN_WORDS:
-                                put(-1, line[0][1], line[-1][2], words, True)
-                        line = []
-                start, end, again, h1, h2 = _windows(text)
-                chosen.append((np.full(len(start), r), start << 32 | end, (-1 << 24) + (WINDOW << 2 | 2) + again, h1, h2))
-            halves = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
-            units = [np.array(x, np.int64) for x in (row, span, info)] + [halves[:, 0], halves[:, 1]]
-            arrays = [np.concatenate(x) for x in zip(units, *chosen)]
-            if bits is not None:
-                place = arrays[3] & (64 * len(bits) - 1)
-                some = (bits[place >> 6] >> (place & 63)) & 1 > 0
-                arrays = [x[some] for x in arrays]
-            at, *columns = (pa.array(x, pa.int64()) for x in arrays)
-            yield pa.RecordBatch.from_arrays([p.column(0).take(at), p.column(1).take(at), *columns], names=names)
+    lows, low_start, low_end = (chars, start, end) if low == joined else _tokens(low)
+    code = _mixed(_Sums(lows + np.uint64(1), _CHARS).of(low_start, low_end))
+    one, two = _Sums(code, _WORDS1), _Sums(code, _WORDS2)
+
+    def digests(a: np.ndarray, b: np.ndarray, kind: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return _mixed(one.of(a, b) ^ kind), _mixed(two.of(a, b) ^ kind) >> np.uint64(32)
+
+    owner = np.searchsorted(begin, start, side="right") - 1
+    text_end = np.append(owner[1:] != owner[:-1], True)
+    # the places after a word up to the next one, at most up to the text's end
+    stop = np.where(text_end, (begin + sizes)[owner], np.append(start[1:], 0))
+    feeds = np.flatnonzero(chars == 10)
+    feed = feeds[np.searchsorted(feeds, end)]  # the next one; the last word has that of the end
+    fed = feed < stop
+    line_end = fed | text_end
+    unit_end = line_end | np.isin(chars[end - 1], np.frombuffer(".!?".encode("utf-32-le"), np.uint32))
+
+    b = np.flatnonzero(unit_end)
+    a = np.concatenate([[0], b[:-1] + 1])
+    unit_owner = owner[a]
+    place = np.arange(len(a)) - np.searchsorted(unit_owner, unit_owner)
+    # a line begins after the feed before it
+    opens = np.concatenate([[True], line_end[b[:-1]]])
+    before = np.concatenate([[-1], feeds])[np.searchsorted(feeds, start[a])]
+    unit_start = np.where(opens, np.maximum(before + 1, begin[unit_owner]), start[a])
+    unit_stop = np.where(fed[b], feed[b] + 1, stop[b])
+    line = np.cumsum(opens) - 1
+    units = np.bincount(line)
+    first, last = np.flatnonzero(opens), np.flatnonzero(line_end[b])
+    n_words = b[last] + 1 - a[first]
+    short = np.flatnonzero((units > 1) & (n_words < MIN_WORDS))
+    f, g = first[short], last[short]
+
+    # units, then lines: a line comes after its own units, and is never equal to one of them
+    ua, ub = np.concatenate([a, a[f]]), np.concatenate([b, b[g]]) + 1
+    h1, h2 = digests(ua, ub, _UNIT)
+    row = np.concatenate([unit_owner, unit_owner[f]])
+    place = np.concatenate([place, np.full(len(f), -1)])
+    whole = np.concatenate([units[line] == 1, np.ones(len(f), bool)])
+    order = np.lexsort((ub, row))
+    again = np.zeros(len(row), bool)
+    again[order] = _first_again(row[order], h1[order])
+    info = place << 24 | np.minimum(ub - ua, (1 << 22) - 1) << 2 | whole << 1 | again
+    lo, hi = np.concatenate([unit_start, unit_start[f]]) - begin[row], np.concatenate([unit_stop, unit_stop[g]]) - begin[row]
+    out = [(row, lo << 32 | hi, info, h1.view(np.int64), h2.view(np.int64))]
+
+    at = np.arange(max(0, len(start) - WINDOW + 1))
+    at = at[owner[at] == owner[at + WINDOW - 1]]
+    if len(at):
+        w1 = _mixed(one.of(at, at + WINDOW) ^ _WIN)
+        some = _chosen(w1, owner[at])
+        at, w1 = at[some], w1[some]
+        keep, again = _apart(owner[at], at, w1)
+        at, w1, again = at[keep], w1[keep], again[keep]
+        row, e = owner[at], at + WINDOW - 1
+        # the blanks up to the next word go along if it is on the same line
+        lo, hi = start[at] - begin[row], np.where(fed[e], end[e], stop[e]) - begin[row]
+        out.append((row, lo << 32 | hi, (-1 << 24) + (WINDOW << 2 | 2) + again, w1.view(np.int64), digests(at, at + WINDOW, _WIN)[1].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Stretches of a batch of texts (first row, texts), of about TOGETHER characters."""
+    texts, first, have = [], 0, 0
+    for r, t in enumerate(column):
+        text = t.as_py() or ""
+        if texts and (have + len(text) > TOGETHER or len(texts) == 256):
+            yield first, texts
+            texts, first, have = [], r, 0
+        texts.append(text)
+        have += len(text) + 1
+    if texts:
+        yield first, texts
+
+
+def _digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rank, h1, h2) of each distinct digest of a text."""
+    for p in parts:
+        for first, texts in _together(p.column(2)):
+            row, _, info, h1, h2 = _pieces(texts)
+            new = info & 1 == 0
+            yield pa.RecordBatch.from_arrays([p.column(0).take(pa.array(row[new] + first)), pa.array(h1[new]), pa.array(h2[new])], names=["rank", "h1", "h2"])
+
+
+def _places(parts: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(rank, mark, span, info, h1, h2) of the pieces whose text has had them before, or whose h1 has its bit."""
+    for p in parts:
+        for first, texts in _together(p.column(2)):
+            row, *rest = _pieces(texts)
+            some = (rest[1] & 1 > 0) | _has_bit(bits, rest[2])
+            at = pa.array(row[some] + first)
+            yield pa.RecordBatch.from_arrays([p.column(0).take(at), p.column(1).take(at), *(pa.array(x[some]) for x in rest)], names=["rank", "mark", "span", "info", "h1", "h2"])
 
 
 def _mark(text: Column) -> Column:
@@ -174,62 +249,90 @@ def _rank(doc_id: Column, mark: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(mark, 2))
 
 
-def _bits(first: DataFrame) -> np.ndarray:
-    """A bit for each h1 by its last bits, at most ``MOST_BITS`` in all: spares the join most of the rows that meet nothing."""
-    size = min(MOST_BITS, 1 << max(16, (16 * first.count()).bit_length()))
-    place = F.col("h1").bitwiseAND(F.lit(size - 1))
-    words = first.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, cast(h1 & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _bits(rows: DataFrame, key: str) -> np.ndarray:
+    """A bit for each key by its last bits, at most ``MOST_BITS`` in all: spares a join most of the rows that meet nothing."""
+    size = min(MOST_BITS, 1 << max(16, (16 * rows.count()).bit_length()))
+    place = F.col(key).bitwiseAND(F.lit(size - 1))
+    words = rows.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 
+def _has_bit(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    place = key & (64 * len(bits) - 1)
+    return (bits[place >> 6] >> (place & 63)) & 1 > 0
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rank, mark and the removed places (start, end) of each document that loses some."""
     mark = _mark(F.col("text"))
     texts = docs.select(_rank(F.col("doc_id"), mark).alias("rank"), mark.alias("mark"), "text")
-    kind = "rank long, mark long, span long, info long, h1 long, h2 long"
     # kept apart, so that both sides of the join are dealt anew and a digest that very many units share can be split
-    first = materialise(texts.mapInArrow(_explode, kind).groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(first))
-    found = texts.mapInArrow(lambda parts: _explode(parts, bits.value), kind)
-    later = found.join(first, ["h1", "h2"]).where("info % 2 <> 0 or rank <> first").select("rank", "mark", "info", "span")
-    # rows that repeat give the same places more than once
-    by_doc = later.groupBy("rank", "mark").agg(F.sort_array(F.collect_set(F.struct("info", "span"))).alias("later"))
-
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            out = []
-            for rows in s:
-                got, runs, last = [], [], None
-                for u in rows:
-                    place, words, whole = u["info"] >> 24, u["info"] >> 2 & (1 << 22) - 1, u["info"] & 2
-                    start, end = u["span"] >> 32, u["span"] & (1 << 32) - 1
-                    if whole:
-                        got.append([start, end])
-                    if place < 0:
-                        continue
-                    if last is not None and place == last[3] + 1:
-                        last[1], last[2], last[3] = end, last[2] + words, place
-                    else:
-                        last = [start, end, words, place]
-                        runs.append(last)
-                out.append(_merged(got + [x[:2] for x in runs if x[2] >= min_words]))
-            yield pd.Series(out, dtype=object)
-
-    return by_doc.select("rank", "mark", spans("later").alias("removed"))
-
-
-def _merged(spans: list[list[int]]) -> list[dict]:
-    """The union of spans, in order."""
-    out = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], end)
+    shared = texts.mapInArrow(_digests, "rank long, h1 long, h2 long").groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    first = written(shared.where("first < last").select("h1", "h2", "first"), "digests")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(first, "h1"))
+    found = texts.mapInArrow(lambda parts: _places(parts, bits.value), "rank long, mark long, span long, info long, h1 long, h2 long")
+    later = found.join(first, ["h1", "h2"], "left").where("info % 2 <> 0 or rank > first").select("rank", "mark", "info", "span")
+    # rows that repeat give the same places more than once, side by side: most of them go before they are dealt out
+    once = later.mapInArrow(_once, later.schema)
+    by_doc = once.repartition("rank", "mark").sortWithinPartitions("rank", "mark", "info", "span")
+    return by_doc.mapInArrow(lambda parts: _fold(parts, min_words), "rank long, mark long, removed array<struct<start:int,end:int>>")
+
+
+def _once(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch without those that repeat."""
+    for p in parts:
+        yield pa.Table.from_batches([p]).group_by(p.schema.names).aggregate([]).combine_chunks().to_batches(max_chunksize=max(1, p.num_rows))[0] if p.num_rows else p
+
+
+def _fold(parts: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """The removed places of each document whose later pieces (rank, mark, info, span) come sorted; the last one of a batch waits for the next."""
+    waiting: list[np.ndarray] = []
+
+    def cut(rows: np.ndarray) -> pa.RecordBatch:
+        rank, mark, info, span = rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))]
+        at = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1]) | (mark[1:] != mark[:-1])))
+        owner, start, end = _cuts(np.repeat(np.arange(len(at)), np.diff(np.append(at, len(rank)))), info, span, min_words)
+        pairs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(at) + 1)), pa.int32()), pairs)
+        return pa.RecordBatch.from_arrays([pa.array(rank[at]), pa.array(mark[at]), lists], names=["rank", "mark", "removed"])
+
+    for p in parts:
+        if not p.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in p.columns])
+        # where the batch's last document begins
+        same = (rows[:2] == rows[:2, -1:]).all(axis=0)
+        at = len(same) - int(same[::-1].cumprod().sum())
+        if at or (waiting and (waiting[0][:2, 0] != rows[:2, 0]).any()):
+            done = np.concatenate([*waiting, rows[:, :at]], axis=1)
+            yield cut(done)
+            waiting = [rows[:, at:]]
         else:
-            out.append({"start": start, "end": end})
-    return out
+            waiting.append(rows)
+    if waiting:
+        yield cut(np.concatenate(waiting, axis=1))
+
+
+def _cuts(owner: np.ndarray, info: np.ndarray, span: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """owner, start, end of what goes: of each owner's later pieces in order of info, the unions that touch each other."""
+    place, n, whole = info >> 24, info >> 2 & (1 << 22) - 1, info & 2 > 0
+    start, end = span >> 32, span & (1 << 32) - 1
+    unit = np.flatnonzero(place >= 0)
+    o, q = owner[unit], place[unit]
+    fresh = np.append(True, (o[1:] != o[:-1]) | (q[1:] != q[:-1] + 1))[: len(unit)]
+    run = np.cumsum(fresh) - 1
+    long = np.bincount(run, n[unit]) >= min_words if len(unit) else np.zeros(0, bool)
+    goes = whole.copy()
+    goes[unit] |= long[run]
+    owner, start, end = owner[goes], start[goes], end[goes]
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    reach = np.maximum.accumulate(owner << 32 | end) if len(owner) else end
+    new = np.append(True, (owner[1:] << 32 | start[1:]) > reach[:-1])[: len(owner)]
+    at = np.flatnonzero(new)
+    return owner[at], start[at], (reach & (1 << 32) - 1)[np.append(at[1:], len(owner)) - 1] if len(at) else end[at]
 
 
 def _without(text: Column, removed: Column) -> Column:
