@@ -2,7 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import re
+import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -44,51 +47,84 @@ def test_toxicity_without_labels(spark):
     assert toxicity.classify(docs(spark, []), none).count() == 0
 
 
+def cut_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def naive_blocks(w, templates, threshold=licenses.THRESHOLD, stretch=licenses.STRETCH):
+    """(template, start, end, share, size) of all stretches of words that meet a template and end at one of its words."""
+    out = []
+    for k, (*_, t) in enumerate(templates):
+        t = cut_words(t)
+        room, t = math.ceil(stretch * len(t) - 1e-9), set(t)
+        for end in range(1, len(w) + 1):
+            block = w[max(0, end - room) : end]
+            if block[-1] in t and (n := len(t & set(block))) >= threshold * len(t) - 1e-9:
+                out.append((k, max(0, end - room), end, n / len(t), len(t)))
+    return out
+
+
 def naive_licenses(text):
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)
-    w = cut(low)
-    places, base, labels, best = [], set(), set(), 0.0
+    w = cut_words(text)
+    places, base = [], set()
     for p, label in licenses.PHRASES.items():
         q = p.split()
         at = [i for i in range(len(w) - len(q) + 1) if w[i : i + len(q)] == q]
         places += at
         base |= {label} if at else set()
-    for line in low.split("\n"):
-        have = set(cut(line))
-        for t, label in licenses.TEMPLATES.items():
-            t = set(t.split())
-            if len(t & have) >= licenses.THRESHOLD * len(t) - 1e-9:
-                labels.add(label)
-                best = max(best, len(t & have) / len(t))
-    return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else best)
+    blocks = naive_blocks(w, licenses.TEMPLATES)
+    family = lambda x: licenses.TEMPLATES[x[0]][2]
+    kept = [x for x in blocks if not any(family(x) == family(y) and y[1] < x[2] and x[1] < y[2] and y[3:] > x[3:] for y in blocks)]
+    labels = base | {licenses.TEMPLATES[x[0]][1] for x in kept}
+    return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else max((x[3] for x in blocks), default=0.0))
+
+
+def wrapped(name, width=50, lead="# "):
+    """A template as it stands in the head of a file."""
+    text = next(t for n, *_, t in licenses.TEMPLATES if n == name)
+    return "\n".join(lead + x for x in textwrap.wrap(f"Copyright (c) 2020 Some One. {text}", width))
 
 
-def test_licenses_are_those_of_all_pairs(spark):
+def test_licenses_are_those_of_all_stretches(spark):
     rows = ODD + [
         (10, "Released under the MIT License. Released under the MIT License."),
-        (11, "this work, licensed under gnu general public license version 3\nplain"),
+        (11, "this work, licensed under gnu\ngeneral public license version 3\nplain"),
         (12, "Permission granted free of charge to any person obtaining a copy of this software"),
         (13, "apache\nlicense version 2 apache license version 2.0 and CC BY-NC"),
         (14, "copy software person charge free"),
+        (15, "Licensed under CC BY 4.0. " + "far " * 30 + "Licensed under CC BY-NC 4.0."),
     ]
+    rows += [(20 + k, f"own words\n\n{wrapped(n)}\n\nand more") for k, n in enumerate(("mit", "bsd-2", "bsd clause", "apache notice", "gpl notice", "lgpl notice", "agpl notice"))]
     got = licenses.scan(docs(spark, rows)).collect()
     key = lambda r: repr(r)
     want = sorted([(i, *naive_licenses(t)) for i, t in rows], key=key)
     assert sorted([tuple(r)[:8] for r in got], key=key) == want
+    labels = {r.doc_id: r.labels for r in got}
+    assert [labels[k] for k in range(20, 27)] == ["mit", "bsd", "bsd", "apache-2", "gpl", "lgpl", "agpl-3"] and labels[15] == "cc-by,cc-by-nc"
     assert licenses.scan(docs(spark, [])).count() == 0
+    # a template table of one's own, and its blocks
+    own = licenses.template_table(spark, [("n", "own", "f", "one two three four")])
+    (r,) = licenses.scan(docs(spark, [(1, "x one\ntwo; THREE four x x x four three one two")]), phrases={}, templates=own).collect()
+    assert r.labels == "own" and [(x.start, x.end, x.share) for x in r.blocks] == [(0, 5, 1.0), (7, 12, 1.0)]
 
 
-def test_license_filters_lose_no_pair():
+def test_license_filters_lose_no_block():
     rng = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(12)]
-    templates = {" ".join(rng.choice(vocabulary, n, replace=False)): f"t{n}{k}" for n in (1, 2, 4, 6) for k in range(3)}
-    for threshold in (0.5, 0.8, 1.0):
-        index = licenses.Index(templates, {w.encode(): int(rng.integers(9)) for w in vocabulary}, threshold)
-        for _ in range(300):
-            block = {w.encode() for w in rng.choice(vocabulary, rng.integers(0, 9))}
-            want = {k for k, t in enumerate(templates) if len(set(licenses.words(t)) & block) >= threshold * len(set(licenses.words(t))) - 1e-9}
-            assert {k for k, _ in index.matches(block)} == want
+    templates = [(f"t{n}{k}", "l", f"f{k}", " ".join(rng.choice(vocabulary, n))) for n in (1, 2, 4, 6, 9) for k in range(3)]
+    for threshold, stretch in ((0.5, 1.0), (0.8, 1.25), (1.0, 1.5)):
+        index = licenses.Index(templates, {w.encode(): int(rng.integers(9)) for w in vocabulary}, threshold, stretch)
+        for _ in range(150):
+            w = list(rng.choice([*vocabulary, "x", "y"], rng.integers(0, 25)))
+            got = index.matches([x.encode() for x in w])
+            assert sorted((k, a, b, n / len(index.sorted[k])) for k, a, b, n in got) == sorted(x[:4] for x in naive_blocks(w, templates, threshold, stretch))
+
+
+def test_license_places_in_linear_time():
+    w = licenses.words("under the mit license " * 200_000)
+    began = time.perf_counter()
+    found = licenses.places(w, [(b" under the mit license ", "mit")])
+    assert len(found) == 200_000 and found[-1] == (799_996, "mit") and time.perf_counter() - began < 5
 
 
 def test_later_passages_are_cut_and_offsets_fit(spark):
@@ -388,3 +424,21 @@ def test_pipeline_copies_are_those_of_similarity_four_fifths(spark, group):
     assert got == {i: lead[r] for (i, _), r in zip(rows, root)}
     if group == 256:
         assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_copies(spark, table, "").collect()) == sorted(lead.values())
+
+
+def test_near_copies_of_one_text(spark):
+    rng = np.random.default_rng(15)
+    base = [f"w{i}" for i in rng.integers(10**4, size=200)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for at in rng.choice(200, int(rng.integers(0, 13)), replace=False):
+            t[at] = f"n{rng.integers(10**6)}"
+        rows.append((i, " ".join(t)))
+    root = list(range(150))
+    for i, j in itertools.combinations(range(150), 2):
+        if root[i] != root[j] and similar(rows[i][1], rows[j][1]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert 5 < len(set(root)) < 140
+    assert {r.doc_id: r.component_id for r in neardup.groups(docs(spark, rows)).collect()} == dict(enumerate(root))
