@@ -227,10 +227,10 @@ def test_upsert_patch_and_files(spark, tmp_path):
     assert sorted(map(tuple, tables.upsert(t, new, "id", update=False).collect())) == [(1, "a"), (2, "b"), (3, "c")]
     assert sorted(map(tuple, tables.patch(t, F.col("id") == 1, name="z").collect())) == [(1, "z"), (2, "b")]
     assert tables.delete(t, "id", 1).count() == 1 and tables.add_column(t, "x", "int").columns == ["id", "name", "x"]
-    (tmp_path / "adria_gpt_2024.csv").write_text("prompt_id,original_query,prompt_type,prompt_text,response,success,latency_ms,cosine_score,timestamp\n1,q,t,p,r,true,1.0,0.5,x\n")
+    (tmp_path / "run_gpt_2024.csv").write_text("prompt_id,original_query,prompt_type,prompt_text,response,success,latency_ms,cosine_score,timestamp\n1,q,t,p,r,true,1.0,0.5,x\n")
     (tmp_path / "ai_progress.jsonl").write_text('{"prompt_id": "1", "response": "r"}\nbroken\n')
-    assert tables.read_run_files(spark, str(tmp_path), "gpt").first().response == "r"
-    assert tables.read_run_files(spark, str(tmp_path), "ai").count() == 1 and tables.read_run_files(spark, str(tmp_path), "none").count() == 0
+    assert tables.read_run_files(spark, str(tmp_path), "gpt", "run").first().response == "r"
+    assert tables.read_run_files(spark, str(tmp_path), "ai", "run").count() == 1 and tables.read_run_files(spark, str(tmp_path), "none", "run").count() == 0
     robots = spark.createDataFrame([("e.com", "User-agent: *\nDisallow: /a\nAllow: /a/b\nSitemap: http://e.com/s.xml\nUser-agent: x\nDisallow: /", 200)], "host string, text string, status_code int")
     urls_ = spark.createDataFrame([("1", "e.com", "/a/c"), ("2", "e.com", "/a/b/x"), ("3", "e.com", "/z")], "url string, host string, path string")
     assert {r.url: r.allowed for r in joins.longest_robots_rule(urls_, tables.robots_rules(robots)).collect()} == {"1": False, "2": True, "3": True}

@@ -13,8 +13,10 @@ from pyspark.sql.types import LongType, StringType
 LEGAL_FORMS = ["ab", "hb", "kb", "as", "inc", "ltd", "gmbh", "llc", "bv", "oy"]
 #: Good and fair limits of the web vitals.
 VITALS = {"lcp": (2500, 4000), "cls": (0.1, 0.25), "inp": (200, 500)}
+#: What marks a page that scripts fill.
 SPA_MARKS = ['id="root"', 'id="app"', 'id="__next"', 'id="__nuxt"', "ng-app", "data-reactroot", "data-v-"]
-DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy"]
+#: The formats of dates, read from the first 19 characters without a zone at their end.
+DATE_FORMATS = ["yyyy-M-d'T'H:m:s", "yyyy-M-d"]
 
 
 def blank(c: Column) -> Column:
@@ -26,6 +28,11 @@ def is_indexed(p=F.col) -> Column:
     return F.coalesce(p("is_indexable"), F.lit(True)) & (F.coalesce(p("status_code"), F.lit(0)) == 200)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
 
@@ -228,12 +235,14 @@ def issue_score(p=F.col) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    cut = F.substring(text, 1, 19)
-    return F.coalesce(*[F.try_to_timestamp(cut, F.lit(f)) for f in DATE_FORMATS])
+    """Null where no format fits; a time is one of UTC, whatever zone it names."""
+    cut = F.regexp_replace(F.substring(text, 1, 19), r"(:\d+)(Z|[+-]\d\d:?\d\d)$", "$1")
+    return F.coalesce(*[F.from_utc_timestamp(F.try_to_timestamp(cut, F.lit(f)), F.current_timezone()) for f in DATE_FORMATS])
 
 
 def is_stale(text: Column, now: Column, days: int = 365) -> Column:
-    return F.datediff(now, parse_date(text)) > days
+    """More than so many whole days ago."""
+    return F.floor((F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(parse_date(text))) / 86400) > days
 
 
 def json_list(text: Column) -> Column:

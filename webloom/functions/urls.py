@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit
+from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlparse, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,18 +12,20 @@ from pyspark.sql.types import StringType
 
 #: Query keys that only track visitors.
 TRACKING_PARAMS = (
-    "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_source_platform utm_creative_format utm_marketing_tactic "
-    "gclid gclsrc dclid gbraid wbraid fbclid fb_action_ids fb_action_types fb_source fb_ref msclkid mc_cid mc_eid yclid twclid "
-    "_ga _gl _gid ref ref_src s_cid s_kwcid hsa_acc hsa_cam hsa_grp hsa_ad hsa_src hsa_tgt hsa_kw hsa_mt hsa_net hsa_ver hsa_la hsa_ol"
-).split()
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_source_platform", "utm_creative_format",
+    "utm_marketing_tactic", "gclid", "gclsrc", "dclid", "gbraid", "wbraid", "fbclid", "fb_action_ids", "fb_action_types", "fb_source", "fb_ref",
+    "msclkid", "mc_cid", "mc_eid", "yclid", "twclid", "_ga", "_gl", "_gid", "ref", "ref_src", "s_cid", "s_kwcid", "hsa_acc", "hsa_cam", "hsa_grp",
+    "hsa_ad", "hsa_src", "hsa_tgt", "hsa_kw", "hsa_mt", "hsa_net", "hsa_ver", "hsa_la", "hsa_ol",
+)
 #: Extensions of files that aren't pages.
 RESOURCE_EXTENSIONS = (
-    "jpg jpeg png gif svg webp ico bmp css js json xml pdf doc docx xls xlsx ppt pptx zip tar gz rar "
-    "mp3 mp4 avi mov wmv flv webm woff woff2 ttf eot otf"
-).split()
+    "jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "bmp", "css", "js", "json", "xml", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip",
+    "tar", "gz", "rar", "mp3", "mp4", "avi", "mov", "wmv", "flv", "webm", "woff", "woff2", "ttf", "eot", "otf",
+)
 #: Suffixes of two labels under which names are registered; others count as one label.
-TWO_LABEL_SUFFIXES = frozenset(
-    "co.uk org.uk ac.uk gov.uk me.uk net.uk com.au net.au org.au co.nz org.nz co.jp or.jp ne.jp ac.jp com.br com.mx com.ar com.tr com.cn com.hk com.tw com.sg co.in co.kr co.za co.il".split()
+TWO_LABEL_SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "net.uk", "com.au", "net.au", "org.au", "co.nz", "org.nz", "co.jp", "or.jp", "ne.jp", "ac.jp",
+    "com.br", "com.mx", "com.ar", "com.tr", "com.cn", "com.hk", "com.tw", "com.sg", "co.in", "co.kr", "co.za", "co.il",
 )
 #: Substrings of addresses of trackers, and of the safe characters of a path.
 TRACKER_HOSTS = ["google-analytics.com", "googletagmanager.com", "doubleclick.net", "facebook.net", "hotjar.com", "clarity.ms"]
@@ -136,7 +138,7 @@ def _host(parts) -> tuple[str, int | None] | None:
 def normalize_one(url: str | None, deny: frozenset = frozenset(), allow: frozenset | None = None, drop_tracking: bool = True) -> str | None:
     """The normal form of one address; None where it is no page's."""
     try:
-        parts = urlsplit((url or "").strip())
+        parts = urlparse((url or "").strip())  # parameters of the last segment are split off, and dropped
     except ValueError:
         return None
     scheme, place = parts.scheme.lower(), _host(parts)
@@ -185,12 +187,57 @@ def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else urljoin(b or "", h) for b, h in zip(base, href)], dtype=object)
 
 
+def suffix_rules(text: str) -> frozenset[str]:
+    """The rules of a public suffix list's text, without those that private parties have set for their own names."""
+    official = text.split("===BEGIN PRIVATE DOMAINS===")[0]
+    return frozenset(x.split()[0].lower() for x in official.splitlines() if x.strip() and not x.startswith("//"))
+
+
+def split_host(host: str, rules: frozenset[str]) -> tuple[str, str]:
+    """(subdomain, registrable name) of a host under suffix rules; no name where no rule fits, or nothing lies before the suffix."""
+    labels = host.lower().rstrip(".").split(".")
+    for i in range(len(labels)):
+        rest = ".".join(labels[i + 1 :])
+        if "!" + ".".join(labels[i:]) in rules:
+            n = i + 1
+        elif ".".join(labels[i:]) in rules or f"*.{rest}" in rules and rest:
+            n = i
+        else:
+            continue
+        return (".".join(labels[: n - 1]), ".".join(labels[n - 1 :])) if n else ("", "")
+    return ".".join(labels[:-1]), ""
+
+
+def is_internal_by(rules: frozenset[str], base_host: str, include_subdomains: bool = False, allowlist=()):
+    """``is_internal`` under the rules of a public suffix list, which the caller reads from where it keeps it."""
+    base, allowed = split_host(base_host, rules), frozenset(a.lower() for a in allowlist)
+
+    def one(url: str | None) -> bool:
+        try:
+            host = urlsplit(url or "").hostname or ""
+        except ValueError:
+            return False
+        sub, name = split_host(host, rules)
+        return name == base[1] and (not sub or sub == base[0] or include_subdomains or sub in allowed)
+
+    @F.pandas_udf("boolean")
+    def internal(urls: pd.Series) -> pd.Series:
+        return urls.map(one).astype("bool")
+
+    return internal
+
+
+def should_crawl(url: Column, base_host: str, **how) -> Column:
+    """Has a normal form and is internal."""
+    return normalizer()(url).isNotNull() & is_internal(url, base_host, **how)
+
+
 def registrable(host: Column) -> Column:
     """The last two labels, three under a suffix of two."""
     labels = F.split(F.lower(host), r"\.")
     last2 = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")
     last3 = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 2), F.lit(3)), ".")
-    return F.when(last2.isin(*sorted(TWO_LABEL_SUFFIXES)), last3).otherwise(last2)
+    return F.when(last2.isin(*TWO_LABEL_SUFFIXES), last3).otherwise(last2)
 
 
 def is_internal(url: Column, base_host: str, include_subdomains: bool = False, allowlist=()) -> Column:

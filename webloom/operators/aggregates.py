@@ -39,12 +39,29 @@ def basic_metrics(pages: DataFrame) -> DataFrame:
     return long.unionByName(discrete_quantile(pages, "ttfb_ms", 0.9).select(F.lit("p90_ttfb_ms").alias("metric_name"), F.col("value").cast("double").alias("metric_value"))).where("metric_value is not null")
 
 
-def discrete_quantile(df: DataFrame, column: str, share: float) -> DataFrame:
-    """The value at place floor(n * share) in order, zeros and nulls left out: counts of values, no sort of all rows."""
-    values = df.where(F.coalesce(F.col(column), F.lit(0)) != 0).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    upto = values.withColumn("upto", F.sum("n").over(Window.orderBy("value")))  # distinct values only
-    total = values.agg(F.floor(F.sum("n") * share).alias("place"))
-    return upto.join(F.broadcast(total), F.col("upto") > F.col("place")).agg(F.min("value").alias("value")).where("value is not null")
+def discrete_quantile(df: DataFrame, column: str, share: float, ranges: int = 1024) -> DataFrame:
+    """The value at place floor(n * share) in order, zeros and nulls left out.
+
+    Counts of values, and of ``ranges`` ranges of them: only the values of the range that holds the place are put in order, a few times narrowed down.
+    """
+    values = df.where(F.coalesce(F.col(column), F.lit(0)) != 0).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    place = None
+    for _ in range(4):
+        ends = values.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
+        if not ends.k:
+            break
+        place = int(ends.n * share) if place is None else place
+        if ends.k <= ranges or not 0 < ends.hi - ends.lo < float("inf"):
+            break
+        part = F.least(F.lit(ranges - 1), F.floor((F.col("value") - ends.lo) / (ends.hi - ends.lo) * ranges)).cast("int")
+        before = 0
+        for r in values.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each range
+            if before + r.n > place:
+                values, place = values.where(part == r.part), place - before
+                break
+            before += r.n
+    upto = values.withColumn("upto", F.sum("n").over(Window.orderBy("value")))  # the values of one range
+    return upto.where(F.col("upto") > (place or 0)).agg(F.min("value").alias("value")).where("value is not null")
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:
@@ -266,6 +283,12 @@ def first_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
+def progress(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """Each step of a job with its place (done) among all of the job's steps (total)."""
+    job = Window.partitionBy(by)
+    return df.withColumns({"done": F.row_number().over(job.orderBy(*order)), "total": F.count("*").over(job)})
+
+
 def last_messages(messages: DataFrame, n: int = 12) -> DataFrame:
     """The last messages of each conversation, in order of their turns."""
     return first_n(messages, ["conv_id"], [F.desc("turn")], n)

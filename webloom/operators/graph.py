@@ -25,17 +25,36 @@ def build(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, links.where("is_internal").select(strip_slashes(F.col("source_url")).alias("src"), strip_slashes(key).alias("dst"))
 
 
-def click_depths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, depth): breadth first from the starts over edges into known nodes; unreached nodes are absent."""
+def click_depths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int | None = None, together: int = 16) -> DataFrame:
+    """(node, depth): breadth first from the starts over edges into known nodes, to the last level; unreached nodes are absent.
+
+    Each level is kept once; every ``together`` levels become one table, so that the plan stays small. A graph of more than ``most`` levels
+    is refused, where that is given.
+    """
     inner = keep(edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    found = front = keep(starts.select("node").distinct().join(nodes, "node", "left_semi").withColumn("depth", F.lit(0)))
-    for depth in range(1, most + 1):
+    front = keep(starts.select("node").distinct().join(nodes, "node", "left_semi").withColumn("depth", F.lit(0)))
+    levels, depth = [front], 0
+    while True:
+        depth += 1
+        if most is not None and depth > most:
+            raise RuntimeError(f"more than {most} levels")
         step = inner.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = keep(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        for level in levels:
+            step = step.join(level.select("node"), "node", "left_anti")
+        front = keep(step.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        found = keep(found.unionByName(front))
-    return found
+        levels.append(front)
+        if len(levels) > together:
+            levels = [keep(_union(levels))]
+    return _union(levels)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def with_unreached(nodes: DataFrame, depths: DataFrame) -> DataFrame:

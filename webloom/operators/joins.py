@@ -19,16 +19,23 @@ def keep_first(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(pos))).where("_r = 1").drop("_r")
 
 
+def last_of(facts: DataFrame, key: str, columns: list[str], pos: str = "pos") -> DataFrame:
+    """Of the rows of each key the columns of the last one by ``pos``, or of the greatest where there is no such column."""
+    row = F.struct(*columns)
+    last = F.max_by(row, F.struct(pos, row)) if pos in facts.columns else F.max(row)
+    return facts.groupBy(key).agg(last.alias("_last")).select(key, "_last.*")
+
+
 def merge(pages: DataFrame, facts: DataFrame, columns: list[str], key: str = "url", default=None) -> DataFrame:
-    """Provider columns by exact key; null, or the default, where the provider has none."""
-    side = facts.dropDuplicates([key]).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
+    """Provider columns by exact key, the last row of a key; null, or the default, where the provider has none."""
+    side = last_of(facts, key, columns).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
     value = lambda c: F.col(f"_{c}") if default is None else F.coalesce(F.col(f"_{c}"), F.lit(default))
     return pages.join(side, F.col(key) == F.col("_k"), "left").select(*pages.columns, *[value(c).alias(c) for c in columns])
 
 
 def broken_by_source(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Internal links whose page has status 400 and more, by source; a missing status counts as 200."""
-    bad = pages.where(F.coalesce("status_code", F.lit(200)) >= 400).select(F.col("url").alias("dest_url"), "status_code").dropDuplicates(["dest_url"])
+    bad = last_of(pages, "url", ["status_code"]).where(F.coalesce("status_code", F.lit(200)) >= 400).withColumnRenamed("url", "dest_url")
     return links.where("is_internal").join(bad, "dest_url").groupBy("source_url").agg(F.sort_array(F.collect_set(F.struct(F.col("dest_url").alias("url"), F.col("status_code").alias("status")))).alias("broken"))
 
 
@@ -52,10 +59,10 @@ def mentions(answers: DataFrame, brands: DataFrame, text: str = "answer_text", m
     if len(listed) > most_brands:
         raise ValueError(f"more than {most_brands} brands")
     side = brands.sparkSession.createDataFrame([(r.brand,) for r in listed], "brand string").select("brand", brand_tokens(F.col("brand")).alias("tokens"))
-    every = F.array(*[F.struct(F.lit(r.brand).alias("brand"), F.array(*[F.lit(t) for t in r.tokens]).alias("tokens")) for r in side.collect()])
+    every = side.agg(F.array_sort(F.collect_list(F.struct("brand", "tokens"))).alias("_brands"))
     low = F.lower(F.coalesce(text, F.lit("")))
-    flags = F.transform(every, lambda b: F.struct(b["brand"].alias("brand"), F.exists(b["tokens"], lambda t: F.contains(low, t)).alias("mentioned")))
-    return answers.withColumn("_m", F.explode(flags)).select(*answers.columns, "_m.brand", "_m.mentioned")
+    flags = F.transform("_brands", lambda b: F.struct(b["brand"].alias("brand"), F.exists(b["tokens"], lambda t: F.contains(low, t)).alias("mentioned")))
+    return answers.crossJoin(F.broadcast(every)).withColumn("_m", F.explode(flags)).select(*answers.columns, "_m.brand", "_m.mentioned")  # the brands are one row
 
 
 def mention_columns(flags: DataFrame, key: str) -> DataFrame:
@@ -86,7 +93,7 @@ def pair_by_position(left: DataFrame, right: DataFrame, a: str, b: str, keys: li
 
 
 def posts_by_path(urls: DataFrame, posts: DataFrame) -> DataFrame:
-    p = posts.select(F.col("id").alias("post_id"), path_key(F.col("link")).alias("_path")).dropDuplicates(["_path"])
+    p = posts.groupBy(path_key(F.col("link")).alias("_path")).agg(F.min("id").alias("post_id"))
     return urls.withColumn("_path", path_key(F.col("url"))).join(p, "_path", "left").drop("_path")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,7 +179,13 @@ def toggle(tools: Column, item: str) -> Column:
     return F.when(F.array_contains(tools, item), F.array_remove(tools, item)).otherwise(F.array_append(tools, F.lit(item)))
 
 
+@F.pandas_udf("string")
+def _two_places(x: pd.Series) -> pd.Series:
+    """Rounded from the binary value, which Java's formats round from its shortest decimal form."""
+    return x.map(lambda v: None if v is None or v != v else f"{v:.2f}")
+
+
 def memory_block(memory: DataFrame) -> DataFrame:
     """One text of remembered actions, best first."""
-    line = F.format_string("- %s on %s: %s (reward %.2f)", "action_type", "page_url", F.left("action_value", F.lit(120)), "reward_score")
+    line = F.format_string("- %s on %s: %s (reward %s)", "action_type", "page_url", F.left("action_value", F.lit(120)), _two_places("reward_score"))
     return memory.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("reward_score"), "id", line.alias("t")))), lambda x: x["t"]), "\n").alias("block"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.functions.scalars import blank, hamming, is_indexed, is_stale, simhash64, words
+from webloom.functions.scalars import blank, hamming, is_indexed, is_stale, simhash64, strip, words
 from webloom.functions.urls import base_path, graph_key, query, strip_slashes
 from webloom.sources.shared import keep
 
@@ -30,11 +31,15 @@ REQUIRED_PROPERTIES = {
 }
 #: Language codes.
 LANGUAGES = (
-    "aa ab af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu "
-    "fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky "
-    "la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu "
-    "rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
-).split()
+    "aa", "ab", "af", "ak", "am", "an", "ar", "as", "av", "ay", "az", "ba", "be", "bg", "bh", "bi", "bm", "bn", "bo", "br", "bs", "ca", "ce", "ch",
+    "co", "cr", "cs", "cu", "cv", "cy", "da", "de", "dv", "dz", "ee", "el", "en", "eo", "es", "et", "eu", "fa", "ff", "fi", "fj", "fo", "fr", "fy",
+    "ga", "gd", "gl", "gn", "gu", "gv", "ha", "he", "hi", "ho", "hr", "ht", "hu", "hy", "hz", "ia", "id", "ie", "ig", "ii", "ik", "io", "is", "it",
+    "iu", "ja", "jv", "ka", "kg", "ki", "kj", "kk", "kl", "km", "kn", "ko", "kr", "ks", "ku", "kv", "kw", "ky", "la", "lb", "lg", "li", "ln", "lo",
+    "lt", "lu", "lv", "mg", "mh", "mi", "mk", "ml", "mn", "mr", "ms", "mt", "my", "na", "nb", "nd", "ne", "ng", "nl", "nn", "no", "nr", "nv", "ny",
+    "oc", "oj", "om", "or", "os", "pa", "pi", "pl", "ps", "pt", "qu", "rm", "rn", "ro", "ru", "rw", "sa", "sc", "sd", "se", "sg", "si", "sk", "sl",
+    "sm", "sn", "so", "sq", "sr", "ss", "st", "su", "sv", "sw", "ta", "te", "tg", "th", "ti", "tk", "tl", "tn", "to", "tr", "ts", "tt", "tw", "ty",
+    "ug", "uk", "ur", "uz", "ve", "vi", "vo", "wa", "wo", "xh", "yi", "yo", "za", "zh", "zu",
+)
 SEVERITIES = ["critical", "high", "medium", "low"]
 NEAR_WINDOW = 200
 NEAR_BITS = 6
@@ -80,15 +85,21 @@ def _tags() -> Column:
 
 
 def _tag(test) -> Column:
-    return F.exists("hreflang_tags", lambda t: test(F.lower(F.trim(t["lang"])), t["href"]))
+    return F.exists("hreflang_tags", lambda t: test(F.lower(strip(t["lang"])), t["href"]))
 
 
 def _blocks() -> Column:
     return F.coalesce(F.size("structured_data"), F.lit(0))
 
 
+def _fails(block: Column) -> Column:
+    """The block's _error is there and not empty in Python's sense."""
+    e = F.get_json_object(block, "$._error")
+    return e.isNotNull() & ~e.isin("", "false", "0", "[]", "{}")
+
+
 def _error_block() -> Column:
-    return F.exists("structured_data", lambda b: F.get_json_object(b, "$._error").isNotNull())
+    return F.exists("structured_data", lambda b: F.json_object_keys(b).isNotNull() & _fails(b))
 
 
 def _missing_fields() -> Column:
@@ -98,13 +109,18 @@ def _missing_fields() -> Column:
         some = F.lit(False)
         for name, fields in REQUIRED_PROPERTIES.items():
             some = some | ((kind == name) & (F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), have)) > 0))
-        return have.isNotNull() & F.get_json_object(b, "$._error").isNull() & some
+        return have.isNotNull() & ~_fails(b) & some
 
     return F.exists("structured_data", lacks)
 
 
 def _length(c: str) -> Column:
-    return F.length(F.coalesce(F.col(c), F.lit("")))
+    """A page's own figure, as its extraction gave it."""
+    return F.coalesce(F.col(f"{c}_length"), F.lit(0))
+
+
+def _stripped(c: str) -> Column:
+    return strip(F.coalesce(F.col(c), F.lit("")))
 
 
 def _has(c: str) -> Column:
@@ -138,9 +154,9 @@ ROW_RULES: list[tuple[str, Rule]] = [
     ("meta_desc_too_long", Rule("low", lambda: _IDX() & (_length("meta_description") > 160), needs=("meta_description",))),
     ("h1_missing", Rule("high", lambda: _IDX() & (_n("h1_count") == 0), needs=("h1_count",))),
     ("h1_multiple", Rule("low", lambda: _IDX() & (_n("h1_count") > 1), needs=("h1_count",))),
-    ("h1_too_short", Rule("low", lambda: _IDX() & _has("h1_text") & (_length("h1_text") < 10), needs=("h1_text",))),
-    ("h1_too_long", Rule("low", lambda: _IDX() & (_length("h1_text") > 70), needs=("h1_text",))),
-    ("h1_matches_title", Rule("low", lambda: _IDX() & _has("h1_text") & _has("title") & (F.lower(F.trim("h1_text")) == F.lower(F.trim("title"))), 0.6, ("h1_text", "title"))),
+    ("h1_too_short", Rule("low", lambda: _IDX() & _has("h1_text") & (F.length(_stripped("h1_text")) < 10), needs=("h1_text",))),
+    ("h1_too_long", Rule("low", lambda: _IDX() & (F.length(_stripped("h1_text")) > 70), needs=("h1_text",))),
+    ("h1_matches_title", Rule("low", lambda: _IDX() & _has("h1_text") & _has("title") & (F.lower(_stripped("h1_text")) == F.lower(_stripped("title"))), 0.6, ("h1_text", "title"))),
     ("heading_hierarchy_gap", Rule("low", lambda: _IDX() & (F.coalesce(F.size("heading_hierarchy_gaps"), F.lit(0)) > 0), needs=("heading_hierarchy_gaps",))),
     ("thin_content", Rule("medium", lambda: _IDX() & (_n("word_count") < 100), 0.6, ("word_count",))),
     ("high_click_depth", Rule("low", lambda: (_n("depth") > 5) & _flag("is_indexable", True), needs=("depth",))),
@@ -169,7 +185,7 @@ ROW_RULES: list[tuple[str, Rule]] = [
     ("twitter_card_missing", Rule("low", lambda: _IDX() & blank(F.col("twitter_card")), needs=("twitter_card",))),
     ("viewport_missing", Rule("medium", lambda: (_status() == 200) & ~_flag("has_viewport"), needs=("has_viewport",))),
     ("charset_missing", Rule("low", lambda: (_status() == 200) & blank(F.col("charset_declared")), needs=("charset_declared",))),
-    ("mixed_content", Rule("high", lambda: _https() & _flag("has_mixed_content"), needs=("has_mixed_content",))),
+    ("mixed_content", Rule("high", lambda: _https() & (_status() == 200) & _flag("has_mixed_content"), needs=("has_mixed_content",))),
     ("missing_hsts", Rule("medium", lambda: _https() & (_status() == 200) & ~F.coalesce(F.exists(F.map_keys("headers"), lambda k: F.lower(k) == "strict-transport-security"), F.lit(False)), needs=("headers",))),
     ("insecure_form_action", Rule("high", lambda: _https() & F.exists("form_actions", lambda a: F.startswith(a, F.lit("http://"))), needs=("form_actions",))),
     ("missing_html_lang", Rule("medium", lambda: (_status() == 200) & blank(F.col("html_lang")), needs=("html_lang",))),
@@ -179,13 +195,30 @@ ROW_RULES: list[tuple[str, Rule]] = [
 ]
 
 
+def _analysed(pages: DataFrame, test: Column) -> bool:
+    """Whether a test can be said of the pages; one that can't is left out, and the others go on."""
+    try:
+        pages.select(test)
+    except AnalysisException:
+        return False
+    return True
+
+
+def _with_lengths(pages: DataFrame) -> DataFrame:
+    """Figures that an extraction gives beside its texts, where the table has the texts alone."""
+    return pages.withColumns({f"{c}_length": F.length(c) for c in ("title", "meta_description") if c in pages.columns and f"{c}_length" not in pages.columns})
+
+
 def row_violations(pages: DataFrame, only: set[str] | None = None) -> DataFrame:
-    """One scan over the pages; rules whose columns are absent contribute nothing."""
-    usable = [(t, r) for t, r in ROW_RULES if set(r.needs) <= set(pages.columns) and (only is None or t in only)]
+    """One scan over the pages; rules whose columns are absent, or of another type, contribute nothing."""
+    pages = _with_lengths(pages)
+    usable = [(t, r, F.coalesce(r.test(), F.lit(False))) for t, r in ROW_RULES if set(r.needs) <= set(pages.columns) and (only is None or t in only)]
+    if not _analysed(pages, F.array(*[test for *_, test in usable])):
+        usable = [u for u in usable if _analysed(pages, u[2])]
     if not usable:
-        usable = [("none", Rule("low", lambda: F.lit(False)))]
-    entry = lambda t, r: F.when(F.coalesce(r.test(), F.lit(False)), F.struct(F.lit(t).alias("issue_type"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).cast("double").alias("confidence")))
-    found = F.filter(F.array(*[entry(t, r) for t, r in usable]), lambda x: x.isNotNull())
+        usable = [("none", Rule("low", lambda: F.lit(False)), F.lit(False))]
+    entry = lambda t, r, test: F.when(test, F.struct(F.lit(t).alias("issue_type"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).cast("double").alias("confidence")))
+    found = F.filter(F.array(*[entry(*u) for u in usable]), lambda x: x.isNotNull())
     return pages.select("url", F.col("pos").cast("long").alias("pos"), F.explode_outer(found).alias("v")).select("v.*", "url", "pos").where("issue_type is not null").select(*VIOLATION)
 
 
@@ -193,40 +226,63 @@ def _violation(df: DataFrame, issue: str, severity: str, confidence: float = 1.0
     return df.select(F.lit(issue).alias("issue_type"), F.lit(severity).alias("severity"), F.lit(confidence).cast("double").alias("confidence"), "url", F.col("pos").cast("long").alias("pos"))
 
 
-def _sharing(pages: DataFrame, key: Column, having: Column, *aggs: Column) -> DataFrame:
-    """Pages whose key group fulfils a condition; the groups are counted before pages are joined to them."""
-    keyed = pages.where(key.isNotNull()).withColumn("_key", key)
-    groups = keyed.groupBy("_key").agg(F.count("*").alias("n"), *aggs).where(having).select("_key")
-    return keyed.join(groups, "_key").drop("_key")
-
+@dataclass(frozen=True)
+class Shared:
+    """A rule on pages that have a key in common."""
 
-def duplicates(pages: DataFrame, column: str, fold: bool = True) -> DataFrame:
-    """Indexed pages that share a value."""
-    value = F.lower(F.trim(column)) if fold else F.col(column)
-    return _sharing(pages.where(is_indexed() & ~blank(F.col(column))), value, F.col("n") > 1)
+    severity: str
+    base: Callable[[], Column]
+    key: Callable[[], Column]
+    having: str
+    confidence: float = 1.0
+    needs: tuple[str, ...] = ()
 
 
-def template_spam(pages: DataFrame) -> DataFrame:
-    """More than three pages with one title and h1 but more than one content."""
-    some = pages.where(is_indexed() & ~blank(F.col("title")))
-    key = F.struct(F.lower(F.trim("title")).alias("t"), F.lower(F.trim(F.coalesce("h1_text", F.lit("")))).alias("h"))
-    return _sharing(some, key, (F.col("n") > 3) & (F.col("k") > 1), F.countDistinct(F.coalesce("content_hash", F.lit("\0"))).alias("k"))
+_SEVERAL = "n > 1"
+#: Groups are told by their pages' number n and by the least and largest content hash: with null as a value of its own (a, b), or left out (c, d).
+SHARED_RULES: dict[str, Shared] = {
+    "title_duplicate": Shared("medium", lambda: _IDX() & _has("title"), lambda: F.lower(_stripped("title")), _SEVERAL, needs=("title",)),
+    "meta_desc_duplicate": Shared("low", lambda: _IDX() & _has("meta_description"), lambda: F.lower(_stripped("meta_description")), _SEVERAL, needs=("meta_description",)),
+    "duplicate_content": Shared("high", lambda: _IDX() & _has("content_hash"), lambda: F.col("content_hash"), _SEVERAL, needs=("content_hash",)),
+    "duplicate_title": Shared(
+        "medium",
+        lambda: _IDX() & ((_stripped("title") != "") | (_stripped("h1_text") != "")),
+        lambda: F.concat(F.lower(_stripped("title")), F.lit("\0"), F.lower(_stripped("h1_text"))),
+        "n > 3 and a <> b",
+        0.6,
+        ("title", "h1_text", "content_hash"),
+    ),
+    "param_duplicate": Shared("medium", lambda: _IDX() & (query(F.col("url")) != ""), lambda: base_path(F.col("url")), "n > 1 and coalesce(c = d, true)", needs=("content_hash",)),
+}
 
 
-def param_duplicates(pages: DataFrame) -> DataFrame:
-    """Pages with a query that differ in nothing but that."""
-    return _sharing(pages.where(query(F.col("url")) != ""), base_path(F.col("url")), (F.col("n") > 1) & (F.col("k") <= 1), F.countDistinct("content_hash").alias("k"))
+def shared_violations(pages: DataFrame, only: set[str] | None = None) -> DataFrame:
+    """All rules on common keys at once: a row for each page and key, counted by (rule, key), and the rows whose group counts."""
+    usable = {t: r for t, r in SHARED_RULES.items() if set(r.needs) <= set(pages.columns) and (only is None or t in only) and _analysed(pages, r.base() & (r.key() == ""))}
+    key = lambda t, r: F.when(F.coalesce(r.base(), F.lit(False)), F.struct(F.lit(t).alias("rule"), r.key().alias("key")))
+    keys = F.filter(F.array(*[key(t, r) for t, r in usable.items()]), lambda x: x.isNotNull()) if usable else F.expr("array(named_struct('rule', '', 'key', ''))")
+    hashed = F.col("content_hash") if "content_hash" in pages.columns else F.lit(None).cast("string")
+    each = pages.select("url", F.col("pos").cast("long").alias("pos"), hashed.alias("hash"), F.inline_outer(keys)).where("rule is not null")
+    whole, some = F.coalesce("hash", F.lit("\0")), F.nullif("hash", F.lit(""))
+    groups = each.groupBy("rule", "key").agg(F.count("*").alias("n"), F.min(whole).alias("a"), F.max(whole).alias("b"), F.min(some).alias("c"), F.max(some).alias("d"))
+    counts = F.lit(False)
+    for t, r in usable.items():
+        counts = counts | ((F.col("rule") == t) & F.expr(r.having))
+    found = each.join(groups.where(counts).select("rule", "key"), ["rule", "key"])
+    pick = lambda f, kind: F.coalesce(*[F.when(F.col("rule") == t, F.lit(f(r)).cast(kind)) for t, r in usable.items()], F.lit(None).cast(kind))
+    return found.select(F.col("rule").alias("issue_type"), pick(lambda r: r.severity, "string").alias("severity"), pick(lambda r: r.confidence, "double").alias("confidence"), "url", "pos")
 
 
 def near_duplicates(pages: DataFrame, window: int = NEAR_WINDOW, bits: int = NEAR_BITS) -> DataFrame:
     """Pages with another near them in order whose simhash differs in few bits: buckets of ``window`` places, then the exact distance.
 
-    A page meets its own and the next bucket only, so the work grows with pages times ``window``.
+    The text is main_text, else the content hash. Places are counted over all indexed pages of more than 50 words; those whose text
+    is too short for a simhash then drop out. A page meets its own and the next bucket only, so the work grows with pages times ``window``.
     """
-    some = pages.where(is_indexed() & (F.coalesce("word_count", F.lit(0)) > 50) & ~blank(F.col("main_text")))
-    some = some.select("url", F.col("pos").cast("long").alias("pos"), "content_hash", simhash64(F.col("main_text")).alias("sim")).where("sim <> 0")
+    some = pages.where(is_indexed() & (F.coalesce("word_count", F.lit(0)) > 50))
+    text = F.coalesce(F.nullif("main_text", F.lit("")), "content_hash", F.lit(""))
     # places in order without a global sort: ranks within ranges of pos, plus the sizes of the ranges before
-    some = ranked(keep(some), "pos")
+    some = ranked(keep(some.select("url", F.col("pos").cast("long").alias("pos"), "content_hash", simhash64(text).alias("sim"))), "pos", "url").where("sim <> 0")
     left = some.select(F.col("url").alias("a_url"), F.col("pos").alias("a_pos"), F.col("content_hash").alias("a_hash"), F.col("sim").alias("a_sim"), F.col("i").alias("a_i"), F.explode(F.array((F.col("i") / window).cast("long"), (F.col("i") / window).cast("long") + 1)).alias("bucket"))
     right = some.withColumn("bucket", (F.col("i") / window).cast("long"))
     apart = F.col("i") - F.col("a_i")
@@ -235,28 +291,52 @@ def near_duplicates(pages: DataFrame, window: int = NEAR_WINDOW, bits: int = NEA
     return both.select("p.url", "p.pos").distinct()
 
 
-def ranked(df: DataFrame, by: str, step: int = 1_000_000) -> DataFrame:
-    """``df`` with i, the place of each row in the order of ``by`` (a bigint): a range's rows are ranked apart, the ranges' sizes added up."""
-    part = F.expr(f"{by} div {step}")
-    sizes = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+def ranked(df: DataFrame, by: str, tie: str, ranges: int = 2048) -> DataFrame:
+    """``df`` with i, the place of each row in the order of ``by`` (a bigint, null first), then of ``tie``.
+
+    The span of ``by`` is cut into no more than ``ranges`` ranges; a range's rows are ranked apart, the ranges' sizes added up.
+    """
+    ends = df.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()
+    low, step = ends.lo or 0, ((ends.hi or 0) - (ends.lo or 0)) // ranges + 1
+    part = F.coalesce(F.expr(f"({by} - {low}L) div {step}L"), F.lit(-1))
+    own = df.withColumn("_part", part)
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    own = df.withColumn("_part", part).withColumn("i", F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1)
-    return own.join(F.broadcast(before), "_part").withColumn("i", F.col("i") + F.col("_before")).drop("_part", "_before")
+    placed = own.withColumn("i", F.row_number().over(Window.partitionBy("_part").orderBy(by, tie)) - 1)
+    return placed.join(F.broadcast(before), "_part").withColumn("i", F.col("i") + F.col("_before")).drop("_part", "_before")  # ranges + 1 rows
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: as a lambda's variable the optimizer can't repeat it in its places."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def keyword_stuffing(pages: DataFrame, share: float = 0.05) -> DataFrame:
-    """Pages of 100 words and more of whose three commonest words (ties by first place) one of over three letters has too large a share."""
-    listed = pages.select("url", "pos", words(F.lower("main_text")).alias("w")).where(F.size("w") >= 100)
-    each = listed.select("url", "pos", F.size("w").alias("total"), F.posexplode("w").alias("at", "word"))
-    counted = each.groupBy("url", "pos", "total", "word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("url", "pos").orderBy(F.desc("n"), "at"))).where("r <= 3")
-    return top.where((F.length("word") > 3) & (F.col("n") / F.col("total") > share)).select("url", "pos").distinct()
+    """Indexed pages of 100 words and more of whose three commonest words (ties by first place) one of over three letters has too large a share.
+
+    Only words above the share are compared with each other: those before one of them in the order are above it too.
+    """
+
+    def stuffed(w: Column, s: Column, heads: Column) -> Column:
+        """w: words, s: the same sorted, heads: where each word begins in s."""
+        runs = F.transform(heads, lambda i, k: F.struct((F.coalesce(F.get(heads, k + 1), F.size(s)) - i).alias("n"), F.get(s, i).alias("word")))
+        often = F.filter(runs, lambda r: r["n"] / F.size(s) > share)
+        top = F.slice(F.array_sort(F.transform(often, lambda r: F.struct((-r["n"]).alias("n"), F.array_position(w, r["word"]).alias("at"), F.length(r["word"]).alias("size")))), 1, 3)
+        return F.exists(top, lambda r: r["size"] > 3)
+
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    found = let(words(F.lower("main_text")), lambda w: F.when(F.size(w) >= 100, let(F.array_sort(w), lambda s: let(begins(s), lambda heads: stuffed(w, s, heads)))))
+    return pages.where(is_indexed() & F.coalesce(found, F.lit(False))).select("url", "pos")
 
 
 def stale_content(pages: DataFrame, now: Column) -> DataFrame:
-    each = pages.select("url", "pos", F.explode("structured_data").alias("b"))
-    when = F.coalesce(F.nullif(F.get_json_object("b", "$.dateModified"), F.lit("")), F.get_json_object("b", "$.datePublished"))
-    return each.where(is_stale(when, now)).select("url", "pos").distinct()
+    """Indexed pages with a structured block whose date of change, else of publication, is over a year old."""
+
+    def old(b: Column) -> Column:
+        when = F.coalesce(F.nullif(F.get_json_object(b, "$.dateModified"), F.lit("")), F.get_json_object(b, "$.datePublished"))
+        return F.json_object_keys(b).isNotNull() & is_stale(when, now)
+
+    return pages.where(is_indexed() & F.exists("structured_data", lambda b: F.coalesce(old(b), F.lit(False)))).select("url", "pos")
 
 
 def broken_links(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -276,7 +356,7 @@ def orphans(pages: DataFrame, links: DataFrame) -> DataFrame:
 def hreflang_without_return(pages: DataFrame) -> DataFrame:
     """Pages one of whose targets doesn't name them; a target is looked up as it is, then with a slash."""
     tags = pages.where(F.coalesce(F.size("hreflang_tags"), F.lit(0)) > 0).select("url", "pos", F.transform("hreflang_tags", lambda t: strip_slashes(t["href"])).alias("to"))
-    asked = tags.select("url", "pos", strip_slashes(F.col("url")).alias("me"), F.explode(F.array_distinct("to")).alias("target")).where("target <> me")
+    asked = tags.select("url", "pos", strip_slashes(F.col("url")).alias("me"), F.explode(F.array_distinct("to")).alias("target")).where("target <> '' and target <> me")
     own = tags.groupBy("url").agg(F.flatten(F.collect_list("to")).alias("back"))
     a, b = own.withColumnsRenamed({"url": "u1", "back": "b1"}), own.withColumnsRenamed({"url": "u2", "back": "b2"})
     met = asked.join(a, F.col("target") == F.col("u1"), "left").join(b, F.concat("target", F.lit("/")) == F.col("u2"), "left")
@@ -305,32 +385,95 @@ def robots_violations(robots: DataFrame, sitemap_urls: int | None) -> DataFrame:
     return robots.select(F.explode_outer(found).alias("v")).where("v is not null").select("v.*", F.lit(None).cast("string").alias("url"), F.lit(0).cast("long").alias("pos"))
 
 
-def audit(pages: DataFrame, links: DataFrame | None = None, robots: DataFrame | None = None, sitemap_urls: int | None = None, now: Column | None = None) -> DataFrame:
-    """The violations of all checks whose columns are there."""
-    have, out = set(pages.columns), [row_violations(pages)]
-    add = lambda needs, make, *what: out.append(_violation(make(), *what)) if set(needs) <= have else None
-    add(["title"], lambda: duplicates(pages, "title"), "title_duplicate", "medium")
-    add(["meta_description"], lambda: duplicates(pages, "meta_description"), "meta_desc_duplicate", "low")
-    add(["content_hash"], lambda: duplicates(pages, "content_hash", fold=False), "duplicate_content", "high")
-    add(["title", "h1_text", "content_hash"], lambda: template_spam(pages), "duplicate_title", "medium", 0.6)
-    add(["content_hash"], lambda: param_duplicates(pages), "param_duplicate", "medium")
+#: The checks, and the issue types that each of them tells of.
+CHECKS: dict[str, tuple[str, ...]] = {
+    "robots": ("robots_txt_error", "robots_txt_missing", "robots_blocks_important", "sitemap_missing"),
+    "sitemap": ("sitemap_missing", "sitemap_url_error", "sitemap_robots_conflict"),
+    "status_codes": ("http_4xx", "http_5xx", "soft_404"),
+    "redirects": ("redirect_chain", "redirect_loop", "redirect_to_error", "mixed_redirect_chain"),
+    "canonicals": ("canonical_missing", "canonical_multiple", "canonical_mismatch"),
+    "indexing": ("noindex_should_index", "robots_noindex_conflict"),
+    "on_page": (
+        "title_missing", "title_too_short", "title_too_long", "title_duplicate", "meta_desc_missing", "meta_desc_duplicate", "meta_desc_too_short", "meta_desc_too_long",
+        "h1_missing", "h1_multiple", "h1_too_short", "h1_too_long", "h1_matches_title", "heading_hierarchy_gap", "thin_content",
+    ),
+    "links": ("broken_internal_link", "orphan_page", "high_click_depth", "internal_nofollow"),
+    "images": ("img_missing_alt", "img_lazy_broken", "img_missing_dimensions"),
+    "structured_data": ("structured_data_invalid", "structured_data_missing", "structured_data_missing_fields"),
+    "js_parity": ("js_render_errors", "js_content_parity", "js_link_parity"),
+    "performance": ("slow_ttfb", "large_page"),
+    "hreflang": ("hreflang_missing_self", "hreflang_missing_return", "hreflang_canonical_conflict", "hreflang_invalid_lang", "hreflang_x_default_missing", "hreflang_to_error"),
+    "duplicate_content": ("duplicate_content", "near_duplicate_content", "duplicate_title", "param_duplicate"),
+    "mobile_parity": ("mobile_content_parity", "mobile_link_parity"),
+    "meta_tags": ("og_tags_missing", "twitter_card_missing", "viewport_missing", "charset_missing"),
+    "content_quality": ("keyword_stuffing", "stale_content"),
+    "performance_hints": ("cls_risk", "render_blocking_resource"),
+    "security": ("mixed_content", "missing_hsts", "insecure_form_action"),
+    "accessibility": ("missing_html_lang", "empty_link_text", "missing_form_label", "missing_skip_nav"),
+}
+
+
+def audit(pages: DataFrame, links: DataFrame | None = None, robots: DataFrame | None = None, sitemap_urls: int | None = None, now: Column | None = None, checks: set[str] | None = None) -> DataFrame:
+    """The violations of all checks, or of some by name, whose columns are there.
+
+    A check whose columns are absent or of another type is left out, and the others go on. Row rules share one scan, and rules on
+    common keys one grouping.
+    """
+    have, only = set(pages.columns), None if checks is None else {t for c in checks for t in CHECKS[c]}
+    out = [row_violations(pages, only), shared_violations(pages, only)]
+
+    def add(needs: list[str], make: Callable[[], DataFrame], issue: str, *what) -> None:
+        if set(needs) <= have and (only is None or issue in only):
+            try:
+                out.append(_violation(make(), issue, *what))
+            except AnalysisException:
+                pass
+
     add(["main_text", "content_hash", "word_count"], lambda: near_duplicates(pages), "near_duplicate_content", "medium", 0.7)
     add(["main_text"], lambda: keyword_stuffing(pages), "keyword_stuffing", "medium", 0.5)
     add(["hreflang_tags"], lambda: hreflang_without_return(pages), "hreflang_missing_return", "high")
     add(["hreflang_tags"], lambda: hreflang_to_error(pages), "hreflang_to_error", "high")
     add(["structured_data"], lambda: stale_content(pages, now if now is not None else F.current_timestamp()), "stale_content", "low", 0.5)
-    if links is not None and "url_normalized" in have:
-        place = F.xxhash64("url")
-        out.append(_violation(broken_links(pages, links).withColumn("pos", place), "broken_internal_link", "high"))
-        add(["depth"], lambda: orphans(pages, links), "orphan_page", "medium")
+    if links is not None:
+        # sources are urls of the links, without a place among the pages
+        add(["url_normalized"], lambda: broken_links(pages, links).withColumn("pos", F.xxhash64("url")), "broken_internal_link", "high")
+        add(["url_normalized", "depth"], lambda: orphans(pages, links), "orphan_page", "medium")
     if robots is not None:
-        out.append(robots_violations(robots, sitemap_urls).select(*VIOLATION))
+        told = robots_violations(robots, sitemap_urls).select(*VIOLATION)
+        if checks is not None:
+            # both checks tell of a missing sitemap, with severities of their own
+            of = {"robots": "issue_type like 'robots%' or severity = 'low'", "sitemap": "issue_type = 'sitemap_missing' and severity = 'medium'"}
+            told = told.where(" or ".join(f"({of[c]})" for c in of if c in checks) or "false")
+        out.append(told)
     total = out[0]
     for v in out[1:]:
         total = total.unionByName(v)
     return total
 
 
+def details(pages: DataFrame) -> DataFrame:
+    """(issue_type, name, value): the figures over all pages that issue rows carry beside their pages; those of absent columns are left out."""
+    html = _status() == 200
+    sums = [
+        ("img_missing_alt", "total_images_missing_alt", F.col("img_missing_alt"), F.lit(True)),
+        ("img_missing_dimensions", "total_images_missing_dimensions", F.col("img_missing_dimensions"), F.lit(True)),
+        ("empty_link_text", "total_empty_links", F.col("empty_link_count"), html),
+    ]
+    usable = [(t, n, F.sum(F.when(on, F.coalesce(c, F.lit(0))))) for t, n, c, on in sums if _analysed(pages, c)]
+    own = pages.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(t) for t, _, c in usable] or [F.lit(0).cast("long").alias("_")])
+    rows = F.array(*[F.struct(F.lit(t).alias("issue_type"), F.lit(n).alias("name"), F.col(t).alias("value")) for t, n, _ in usable] or [F.expr("named_struct('issue_type', '', 'name', '', 'value', 0L)")])
+    named = {"title_duplicate": "duplicate_groups", "meta_desc_duplicate": "duplicate_groups", "duplicate_content": "duplicate_clusters"}
+    keys = {t: r for t, r in SHARED_RULES.items() if t in named and set(r.needs) <= set(pages.columns)}
+    entries = [F.when(F.coalesce(r.base(), F.lit(False)), F.struct(F.lit(t).alias("issue_type"), F.lit(named[t]).alias("name"), r.key().alias("key"))) for t, r in keys.items()]
+    total = own.select(F.inline(rows)).where("issue_type <> ''")
+    if entries:
+        each = pages.select(F.inline_outer(F.filter(F.array(*entries), lambda x: x.isNotNull()))).where("issue_type is not null")
+        groups = each.groupBy("issue_type", "name", "key").agg(F.count("*").alias("n")).where("n > 1")
+        total = total.unionByName(groups.groupBy("issue_type", "name").agg(F.count("*").alias("value")))
+        total = total.unionByName(groups.where("issue_type = 'duplicate_content'").groupBy("issue_type").agg(F.sum("n").alias("value")).select("issue_type", F.lit("total_duplicate_pages").alias("name"), "value"))
+    return total.where("value > 0")
+
+
 def rollup(violations: DataFrame, sample: int = 10) -> DataFrame:
     """One row for each (issue_type, severity); the sample keeps the first pages by place, then url, without gathering a whole group.
 

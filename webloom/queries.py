@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom import queries_audit, queries_cases, queries_more
 from webloom.functions import scalars, urls
 from webloom.operators import aggregates as agg
 from webloom.operators import graph, joins, rankings, rules
 from webloom.plans import reports
 from webloom.sources.fixtures import BRANDS, IDX, table, view, with_views
-from webloom.sources.shared import keep
 from webloom.streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,93 +37,7 @@ def _links(spark, sf):
     return view(spark, sf, "v_links")
 
 
-# audit: each rule's predicate once more, as SQL
-
-_BLANK = "({0} IS NULL OR {0} = '')"
-_ROWS = [
-    ("robots_blocks_important", "high", 1.0, "NOT robots_txt_allowed"),
-    ("sitemap_url_error", "high", 1.0, "source = 'sitemap' AND status_code >= 400"),
-    ("sitemap_robots_conflict", "high", 1.0, "source = 'sitemap' AND is_noindex"),
-    ("http_4xx", "high", 1.0, "status_code BETWEEN 400 AND 499"),
-    ("http_5xx", "critical", 1.0, "status_code >= 500"),
-    ("soft_404", "medium", 0.7, "status_code = 200 AND word_count < 50 AND regexp_matches(lower(title), 'not found|404|error')"),
-    ("canonical_missing", "medium", 1.0, f"{IDX} AND canonical_url IS NULL"),
-    ("canonical_multiple", "high", 1.0, "canonical_count > 1"),
-    ("canonical_mismatch", "medium", 0.8, f"{IDX} AND canonical_url IS NOT NULL AND rtrim(canonical_url, '/') <> rtrim(url, '/')"),
-    ("noindex_should_index", "critical", 0.7, "is_noindex AND status_code = 200 AND internal_links_count > 5 AND word_count > 200"),
-    ("robots_noindex_conflict", "high", 1.0, "NOT robots_txt_allowed AND is_noindex"),
-    ("title_missing", "high", 1.0, f"{IDX} AND title = ''"),
-    ("title_too_short", "medium", 1.0, f"{IDX} AND title <> '' AND length(title) < 15"),
-    ("title_too_long", "low", 1.0, f"{IDX} AND length(title) > 70"),
-    ("meta_desc_missing", "low", 1.0, f"{IDX} AND " + _BLANK.format("meta_description")),
-    ("meta_desc_too_short", "low", 1.0, f"{IDX} AND meta_description <> '' AND length(meta_description) < 70"),
-    ("meta_desc_too_long", "low", 1.0, f"{IDX} AND length(meta_description) > 160"),
-    ("h1_missing", "high", 1.0, f"{IDX} AND h1_count = 0"),
-    ("h1_multiple", "low", 1.0, f"{IDX} AND h1_count > 1"),
-    ("h1_too_short", "low", 1.0, f"{IDX} AND h1_text <> '' AND length(h1_text) < 10"),
-    ("h1_too_long", "low", 1.0, f"{IDX} AND length(h1_text) > 70"),
-    ("h1_matches_title", "low", 0.6, f"{IDX} AND h1_text <> '' AND title <> '' AND lower(trim(h1_text)) = lower(trim(title))"),
-    ("thin_content", "medium", 0.6, f"{IDX} AND word_count < 100"),
-    ("high_click_depth", "low", 1.0, "depth > 5 AND is_indexable"),
-    ("internal_nofollow", "low", 1.0, "internal_nofollow_count > 0"),
-    ("img_missing_alt", "medium", 1.0, "img_missing_alt > 0"),
-    ("img_missing_dimensions", "medium", 1.0, "img_missing_dimensions > 0"),
-    ("slow_ttfb", "high", 1.0, "ttfb_ms > 2000"),
-    ("slow_ttfb", "medium", 1.0, "ttfb_ms > 600 AND ttfb_ms <= 2000"),
-    ("large_page", "low", 1.0, "response_bytes > 3000000"),
-    ("cls_risk", "medium", 1.0, "img_missing_dimensions > 0 AND status_code = 200"),
-    ("render_blocking_resource", "medium", 0.4, "response_bytes > 100000 AND status_code = 200"),
-    ("missing_html_lang", "medium", 1.0, "status_code = 200 AND " + _BLANK.format("html_lang")),
-]
-_SHARED = [
-    ("title_duplicate", "medium", 1.0, f"{IDX} AND title <> '' AND count(*) FILTER (WHERE {IDX} AND title <> '') OVER (PARTITION BY lower(trim(title))) > 1"),
-    ("meta_desc_duplicate", "low", 1.0, f"{IDX} AND meta_description <> '' AND count(*) FILTER (WHERE {IDX} AND meta_description <> '') OVER (PARTITION BY lower(trim(meta_description))) > 1"),
-    ("duplicate_content", "high", 1.0, f"{IDX} AND count(*) FILTER (WHERE {IDX}) OVER (PARTITION BY content_hash) > 1"),
-]
-_TEMPLATE = f"""SELECT 'duplicate_title', 'medium', 0.6, v.url, v.pos FROM v_pages v JOIN
-  (SELECT lower(trim(title)) AS t, lower(trim(h1_text)) AS h FROM v_pages WHERE {IDX} AND title <> '' GROUP BY 1, 2 HAVING count(*) > 3 AND count(DISTINCT content_hash) > 1) g
-  ON lower(trim(v.title)) = g.t AND lower(trim(v.h1_text)) = g.h WHERE {IDX} AND v.title <> ''"""
-_PARAM = """SELECT 'param_duplicate', 'medium', 1.0, v.url, v.pos FROM v_pages v JOIN
-  (SELECT split_part(split_part(url, '#', 1), '?', 1) AS b FROM v_pages WHERE regexp_extract(url, '[?]([^#]*)', 1) <> '' GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT content_hash) <= 1) g
-  ON split_part(split_part(v.url, '#', 1), '?', 1) = g.b WHERE regexp_extract(v.url, '[?]([^#]*)', 1) <> ''"""
-_ORPHAN = f"""SELECT 'orphan_page', 'medium', 1.0, url, pos FROM v_pages WHERE {IDX} AND depth > 0 AND url NOT IN (SELECT dest_url FROM v_links WHERE is_internal)"""
-
-
-def _violations_sql() -> str:
-    rows = [f"SELECT '{t}' AS issue_type, '{s}' AS severity, {c}::DOUBLE AS confidence, url, pos FROM v_pages WHERE {p}" for t, s, c, p in _ROWS]
-    shared = [f"SELECT '{t}', '{s}', {c}::DOUBLE, url, pos FROM v_pages QUALIFY {p}" for t, s, c, p in _SHARED]
-    return " UNION ALL ".join([*rows, *shared, _TEMPLATE, _PARAM, _ORPHAN])
-
-
-_ROLLUP = """SELECT issue_type, severity, max(confidence) AS confidence, first(url ORDER BY pos, url) AS affected_url, count(url)::BIGINT AS affected_urls_count,
-  list(url ORDER BY pos, url)[1:10] AS sample_urls FROM ({0}) GROUP BY issue_type, severity"""
-
-
-@query(_ROLLUP.format(_violations_sql()))
-def audit_issues(spark, sf):
-    """All rules whose columns the view has, as issue rows; the view is computed once, as a crawl's table would be."""
-    pages = keep(_pages(spark, sf))
-    found = rules.audit(pages, None)
-    orphans = rules._violation(rules.orphans(pages, _links(spark, sf)), "orphan_page", "medium")
-    return rules.rollup(found.unionByName(orphans))
-
-
-@query(_ROLLUP.format(" UNION ALL ".join(f"SELECT '{t}' AS issue_type, '{s}' AS severity, {c}::DOUBLE AS confidence, url, pos FROM v_pages WHERE {p}" for t, s, c, p in _ROWS if t.startswith("title_")) + " UNION ALL " + f"SELECT '{_SHARED[0][0]}', 'medium', 1.0::DOUBLE, url, pos FROM v_pages QUALIFY {_SHARED[0][3]}"))
-def title_issues(spark, sf):
-    pages = _pages(spark, sf)
-    titles = {t for t, _ in rules.ROW_RULES if t.startswith("title_")}
-    twice = rules._violation(rules.duplicates(pages, "title"), "title_duplicate", "medium")
-    return rules.rollup(rules.row_violations(pages, titles).unionByName(twice))
-
-
-@query("SELECT DISTINCT source_url AS url FROM v_links JOIN v_pages p ON dest_url = p.url WHERE is_internal AND p.status_code >= 400")
-def broken_link_sources(spark, sf):
-    return rules.broken_links(_pages(spark, sf), _links(spark, sf))
-
-
-@query(f"SELECT url, pos FROM v_pages WHERE {IDX} AND depth > 0 AND url NOT IN (SELECT dest_url FROM v_links WHERE is_internal)")
-def orphan_pages(spark, sf):
-    return rules.orphans(_pages(spark, sf), _links(spark, sf)).select("url", "pos")
+# pages and texts
 
 
 @query("""SELECT text_hash, count(*)::BIGINT AS n, min(doc_id)::BIGINT AS first_id FROM (SELECT doc_id, sha256(text) AS text_hash FROM documents) GROUP BY 1 HAVING count(*) > 1""")
@@ -146,7 +60,7 @@ SELECT url, pos FROM (SELECT 'd' || doc_id AS url, doc_id AS pos, word, n, total
 WHERE r <= 3 AND length(word) > 3 AND n / total > 0.05 GROUP BY url, pos""")
 def keyword_stuffed(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").alias("pos"), F.col("text").alias("main_text"))
-    return rules.keyword_stuffing(d)
+    return rules.keyword_stuffing(d.withColumns({"is_indexable": F.lit(True), "status_code": F.lit(200)}))
 
 
 # urls
@@ -201,7 +115,7 @@ def html_quick(spark, sf):
 def html_extract(spark, sf):
     from webloom.functions import html
 
-    return html.extract_pages(table(spark, sf, "pages")).drop("main_text", "images", "sections")
+    return html.extract_pages(table(spark, sf, "pages"))
 
 
 @query()
@@ -416,11 +330,6 @@ def sample_answers(spark, sf):
     return agg.sample_answers(_flags(spark, sf), "and")
 
 
-@query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
-def last_messages(spark, sf):
-    return agg.last_messages(table(spark, sf, "conversations"), 4)
-
-
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, (i / 100 + 1)::INTEGER AS chunk, array_to_string(w[i + 1 : i + 100], ' ') AS text FROM w, unnest(range(0, len(w), 100)) AS x(i)""")
 def text_chunks(spark, sf):
@@ -439,26 +348,6 @@ def click_depths(spark, sf):
     return graph.with_unreached(nodes, graph.click_depths(nodes, edges, start))
 
 
-@query()
-def page_rank(spark, sf):
-    nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("node"))
-    return graph.pagerank(nodes, view(spark, sf, "v_edges")).select("node", F.round("rank", 8).alias("rank"))
-
-
-@query()
-def internal_rank(spark, sf):
-    nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("node"))
-    authority = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("node"), F.abs("s_acctbal").alias("authority"))
-    return graph.internal_pagerank(nodes, view(spark, sf, "v_edges"), authority)
-
-
-@query("""SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ' | ') AS removed FROM v_edges WHERE src::BIGINT % 5 = 0 GROUP BY 1""")
-def link_plan(spark, sf):
-    e = view(spark, sf, "v_edges")
-    gone = e.where("cast(src as bigint) % 5 = 0")
-    return reports.link_plan_report(e.select(F.col("src").alias("node")), e, None, gone).select("src", "removed")
-
-
 # vitals, events, online state
 
 
@@ -474,17 +363,6 @@ def event_sessions(spark, sf):
     return agg.event_reports(table(spark, sf, "events"))["sessions"]
 
 
-@query("SELECT event_type, count(*)::BIGINT AS n FROM events WHERE coalesce(props->>'$.k', '') = '' GROUP BY 1")
-def events_without_key(spark, sf):
-    return agg.event_reports(table(spark, sf, "events"))["without"]
-
-
-@query()
-def rate_limited(spark, sf):
-    e = table(spark, sf, "events").select((F.col("user_id") % 5).alias("tenant"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
-    return limits.rate_limit_batch(e, limit=3, window_s=3600)
-
-
 @query("""WITH a AS (SELECT user_id % 5 AS host, epoch_us(ts)::BIGINT AS us, event_id AS id FROM events), b AS (SELECT *, (row_number() OVER (PARTITION BY host ORDER BY us, id) - 1) * 500000 AS k FROM a)
 SELECT host, us, id, (max(us - k) OVER (PARTITION BY host ORDER BY us, id ROWS UNBOUNDED PRECEDING) + k)::BIGINT AS start_us FROM b""")
 def host_schedule(spark, sf):
@@ -507,12 +385,6 @@ def upserted(spark, sf):
     return upsert(c, c.where("id % 4 = 0").select("id", F.lit("changed").alias("updated")), "id")
 
 
-@query("SELECT o_custkey::VARCHAR AS url, o_orderkey AS keyword, o_totalprice AS traffic FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
-def organic_keywords(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("url"), F.col("o_orderkey").alias("keyword"), F.col("o_totalprice").alias("traffic"))
-    return agg.first_n(o, ["url"], [F.desc("traffic"), "keyword"], 3)
-
-
 # smaller operators, each on the substrate that fits
 
 
@@ -535,11 +407,6 @@ def depth_distribution(spark, sf):
     return agg.depth_distribution(_pages(spark, sf))
 
 
-@query("""SELECT url, status_code, title, word_count, CASE WHEN is_indexable THEN 'Yes' ELSE 'No' END AS is_indexable, depth, round_even(ttfb_ms, 1) AS ttfb_ms FROM v_pages""")
-def pages_sheet(spark, sf):
-    return reports.pages_sheet(_pages(spark, sf)).select("url", "status_code", "title", "word_count", "is_indexable", "depth", "ttfb_ms")
-
-
 @query("SELECT id, status, pages FROM v_runs WHERE tenant = 1")
 def tenant_runs(spark, sf):
     sites = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), (F.col("c_custkey") % 3).cast("string").alias("tenant_id"))
@@ -638,4 +505,9 @@ def job_states(spark, sf):
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return title_issues(spark, sf_dir)
+    return queries_audit.title_issues(spark, sf_dir)
+
+
+for _more in (queries_audit, queries_cases, queries_more):
+    QUERIES |= _more.QUERIES
+    SQL |= _more.SQL

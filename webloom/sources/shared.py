@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, one of its own."""
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not place:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="webloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(place)
+    return place
+
+
+def fresh_dir(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/webloom-{what}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Computes a table once; what lies before it is cut off, and any executor can read it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-")
-        spark.sparkContext.setCheckpointDir(place)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -41,7 +41,12 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     """Flat columns; nested ones as JSON text."""
     some = present(df, fields)
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in some.dtypes]
-    some.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    _csv(some.select(*flat), path)
+
+
+def _csv(df: DataFrame, path: str) -> None:
+    """With a header, and with the blanks at the ends of its texts."""
+    df.write.mode("overwrite").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def export_csv(dataset: str, tables: dict[str, DataFrame], path: str) -> None:
@@ -51,7 +56,7 @@ def export_csv(dataset: str, tables: dict[str, DataFrame], path: str) -> None:
 def write_report(sheets: dict[str, DataFrame], folder: str) -> None:
     for name, df in sheets.items():
         flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in df.dtypes]
-        df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        _csv(df.select(*flat), f"{folder}/{name}")
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str, update: bool = True) -> DataFrame:
@@ -87,11 +92,11 @@ def with_defaults(config: DataFrame, numbers: dict, flags: dict) -> DataFrame:
     return config.withColumns(loose | {c: F.coalesce(c, F.lit(v)) for c, v in flags.items()})
 
 
-def read_run_files(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """The newest CSV of a platform by name, else its progress lines (broken ones passed over), else nothing."""
+def read_run_files(spark: SparkSession, folder: str, key: str, prefix: str) -> DataFrame:
+    """The newest CSV of a platform by name (prefix_key_time.csv), else its progress lines (broken ones passed over), else nothing."""
     fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     names = lambda pattern: sorted(str(s.getPath()) for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")) or [])
-    if found := names(f"adria_{key}_*.csv"):
+    if found := names(f"{prefix}_{key}_*.csv"):
         return spark.read.schema(schemas.TRACKER_RUN).option("header", True).option("multiLine", True).option("escape", '"').csv(found[-1])
     if found := names(f"{key}_progress.jsonl"):
         return spark.read.schema(schemas.TRACKER_RUN).option("mode", "DROPMALFORMED").json(found[-1])
@@ -181,5 +186,5 @@ def page_records(fetched: DataFrame) -> DataFrame:
     """Page rows of fetch results (url, final_url, status_code, headers, redirect_chain, ttfb_ms, body)."""
     from webloom.functions.scalars import content_type
 
-    header = lambda name: F.element_at(F.map_values(F.map_filter("headers", lambda k, v: F.lower(k) == name)), 1)
+    header = lambda name: F.get(F.map_values(F.map_filter("headers", lambda k, v: F.lower(k) == name)), F.lit(0))
     return fetched.withColumns({"content_type": content_type(header("content-type")), "redirect_hops": F.size("redirect_chain"), "response_bytes": F.octet_length("body").cast("long")})

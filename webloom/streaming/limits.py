@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
@@ -86,6 +87,31 @@ def host_schedule(requests: DataFrame, rps: float = 2.0) -> DataFrame:
     return led.select("host", "us", "id", (F.max(F.col("us") - F.col("_k")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_k")).alias("start_us"))
 
 
+def host_schedule_in_flight(requests: DataFrame, rps: float = 2.0, burst: int = 5) -> DataFrame:
+    """(host, us, id, start_us) of requests that take a known time (took_us): besides the interval, no more than ``burst`` of a host are under way at once.
+
+    Rows are sorted within hosts and folded in a stream, so no host is gathered whole.
+    """
+    gap = int(1_000_000 / rps)
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, ends = None, None, []
+        for p in parts:
+            out = []
+            for host, us, took in zip(p["host"], p["us"], p["took_us"]):
+                if host != now:
+                    now, last, ends = host, None, []
+                at = us if len(ends) < burst else max(us, heapq.heappop(ends))
+                last = at if last is None else max(at, last + gap)
+                heapq.heappush(ends, last + took)
+                out.append(last)
+            yield p[["host", "us", "id"]].assign(start_us=out)
+
+    kind = dict(requests.dtypes)
+    ordered = requests.select("host", "us", "id", "took_us").repartition("host").sortWithinPartitions("host", "us", "id")
+    return ordered.mapInPandas(fold, f"host {kind['host']}, us long, id {kind['id']}, start_us long")
+
+
 def next_runs(sites: DataFrame, now: Column, stagger: tuple[int, int] = (5, 10)) -> DataFrame:
     """When each scheduled site runs next: its hours after the last run, or from now on, staggered by its place."""
     from pyspark.sql.window import Window
@@ -120,10 +146,27 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return timed.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("user_id", "session_window.start", "session_window.end", "n")
 
 
+#: Retries of one request, and the seconds of chance that each wait has besides.
+MOST_RETRIES = 3
+JITTER_S = 1.0
+
+
 def backoff(attempt: Column, base: float = 2.0) -> Column:
+    """The least wait before a retry, counted from 1; a request adds up to ``JITTER_S`` of chance."""
     return F.pow(F.lit(base), attempt)
 
 
+def may_retry(attempt: Column, most: int = MOST_RETRIES) -> Column:
+    return attempt <= most
+
+
+def frontier_state(found: DataFrame, done: DataFrame, max_pages: int) -> DataFrame:
+    """How many addresses (url) are seen, done and queued, and how many pages may still be fetched."""
+    seen, over = found.select("url").unionByName(done.select("url")).distinct(), done.select("url").distinct().withColumn("over", F.lit(True))
+    met = seen.join(over, "url", "left").agg(F.count("*").alias("seen"), F.count("over").alias("done"))
+    return met.select("seen", "done", F.greatest(F.lit(0), max_pages - F.col("done")).cast("long").alias("budget"), (F.col("seen") - F.col("done")).alias("queued"))
+
+
 def seed_frontier(seeds: DataFrame, sitemap: DataFrame, discovered: DataFrame, max_depth: int = 50) -> DataFrame:
     """First seen by priority wins for one address; seeds pass without tests, others must be shallow pages."""
     from webloom.functions.urls import is_resource, priority
