@@ -68,3 +68,13 @@ def test_each_issue_type_fires(sql):
     for name in queries_audit.CHECKS:
         seen |= {r[0] for r in sql.execute(queries.SQL[f"audit_{name}"]).fetchall()}
     assert {t for c in rules.CHECKS.values() for t in c} - seen == {"near_duplicate_content"}
+
+
+def test_the_entry_can_be_imported_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) - set(e.queries()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert int(said.stdout.split()[-2]) > 200 and said.stdout.split()[-1] == "set()"
