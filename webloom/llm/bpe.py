@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import worker_cache
+from webloom.llm.common import lean, worker_cache
 
 #: Distinct pieces that a worker remembers; it forgets all when they are more, and encodes anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longer pieces aren't remembered.
 LONG_PIECE = 64
 
@@ -132,7 +132,7 @@ def codec_parts(path: str | None = None, pattern: str | None = None) -> tuple[st
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", column: str = "text", offsets: bool = False) -> DataFrame:
     """Key and ids (array of long) of each row; with ``offsets`` also starts and ends, in characters."""
-    sent = docs.sparkSession.sparkContext.broadcast(codec_parts(path, pattern))
+    sent = lean(docs).sparkSession.sparkContext.broadcast(codec_parts(path, pattern))
     more = ["starts", "ends"] if offsets else []
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
 def decode(rows: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", column: str = "ids") -> DataFrame:
     """Key, data (the bytes of the ids) and text (those bytes as UTF-8, what is broken replaced)."""
-    sent = rows.sparkSession.sparkContext.broadcast(codec_parts(path, pattern))
+    sent = lean(rows).sparkSession.sparkContext.broadcast(codec_parts(path, pattern))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _codec(sent)
@@ -171,7 +171,7 @@ def decode(rows: DataFrame, path: str | None = None, pattern: str | None = None,
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:
     """Key, n_tokens and the hashes of the ids and of the bytes that they decode to; ids never leave the worker."""
-    sent = docs.sparkSession.sparkContext.broadcast(codec_parts(path, pattern))
+    sent = lean(docs).sparkSession.sparkContext.broadcast(codec_parts(path, pattern))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = _codec(sent), hashlib.sha256

@@ -1,43 +1,43 @@
-"""What the operators share: the shared folder, materialised tables, word classes."""
+"""What the operators share: materialised tables in the shared folder, bounded batches, word classes."""
 
 from __future__ import annotations
 
+import re
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.sources.shared import fresh_dir, keep
+
 #: ASCII capitals and their small letters; other letters keep their case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes of an Arrow batch: what a task holds of texts at a time, in the JVM and in Python, beside a single longer one.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    sc = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="webloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(place)
-    return place
+def lean(df: DataFrame) -> DataFrame:
+    """Lowers the session's bound of Arrow batches to ``BATCH_BYTES`` where it is higher: ten thousand texts, or 64 MB of them, are too many for small executors."""
+    conf = df.sparkSession.conf
+    n, unit = re.fullmatch(r"(\d+)([a-z]*)", str(conf.get(_BATCH, str(64 << 20))).lower()).groups()
+    if int(n) * _UNITS.get(unit, 1) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
 
 
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/webloom-{what}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Computes a table once, into the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return keep(df)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

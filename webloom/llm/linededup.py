@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import written
+from webloom.llm.common import lean, written
 
 MIN_WORDS = 8
 #: Words of a window, and how many neighbouring windows one is chosen of.
@@ -267,7 +267,7 @@ def _has_bit(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rank, mark and the removed places (start, end) of each document that loses some."""
     mark = _mark(F.col("text"))
-    texts = docs.select(_rank(F.col("doc_id"), mark).alias("rank"), mark.alias("mark"), "text")
+    texts = lean(docs).select(_rank(F.col("doc_id"), mark).alias("rank"), mark.alias("mark"), "text")
     # kept apart, so that both sides of the join are dealt anew and a digest that very many units share can be split
     shared = texts.mapInArrow(_digests, "rank long, h1 long, h2 long").groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
     first = written(shared.where("first < last").select("h1", "h2", "first"), "digests")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import materialise, text_digest
+from webloom.llm.common import lean, materialise, text_digest
 
 SHINGLE = 3
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             fp = pa.array([fingerprint(t.as_py()) for t in b.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], names=["doc_id", "mark", "fp"])
 
-    read = docs.select(F.col(key).cast("long").alias("doc_id"), text_digest(F.col("text")).alias("mark"), "text")
+    read = lean(docs).select(F.col(key).cast("long").alias("doc_id"), text_digest(F.col("text")).alias("mark"), "text")
     return read.mapInArrow(run, "doc_id long, mark binary, fp long")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import fresh_dir, materialise
+from webloom.llm.common import fresh_dir, lean, materialise
 
 LEAST = 100
 SEGMENT = 1 << 16
@@ -91,7 +91,7 @@ def records(key: int | None, url: str | None, payload: bytes, digest: str, origi
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", segment: int = SEGMENT) -> None:
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
+    rows = lean(pages).select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
     long = F.length("payload") >= LEAST
     # digests and keys alone are shuffled for this
     origin = rows.where(long).groupBy("digest").agg(F.min("key").alias("origin"), F.count("*").alias("n")).where("n > 1 and origin is not null").select("digest", "origin")
