@@ -40,7 +40,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.format_chats(transcripts.transcripts(table(spark, sf_dir, "conversations")))
+    held = transcripts.held_out(F.col("conv_id"))
+    got = transcripts.format_chats(transcripts.transcripts(table(spark, sf_dir, "conversations")), train=~held)
+    return got.withColumn("held_out", held)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,26 +71,36 @@ def _words(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), {_AZ}), '{_WORD}')"
 
 
-def _list(words: str) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
 def _op2_sql() -> str:
-    phrases = ", ".join(f"({_list(p)}, '{label}')" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"({_list(' '.join(dict.fromkeys(t.split())))}, '{label}', {max(1, math.ceil(licenses.THRESHOLD * len(set(t.split())) - 1e-9))})" for t, label in licenses.TEMPLATES.items())
+    phrases = ", ".join(f"({_list(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
+    rows = []
+    for k, (_, label, family, text) in enumerate(licenses.TEMPLATES):
+        w = [x.decode() for x in licenses.words(text)]
+        n = len(set(w))
+        rows.append(f"({k}, '{label}', '{family}', {n}, {math.ceil(licenses.THRESHOLD * n - 1e-9)}, {math.ceil(licenses.STRETCH * len(w) - 1e-9)}, {_list(sorted(set(w)))})")
     return f"""
-WITH phrases(p, label) AS (VALUES {phrases}), templates(t, label, need) AS (VALUES {templates}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_words('text')} AS w FROM documents),
+WITH phrases(p, label) AS (VALUES {phrases}), templates(k, label, family, size, need, room, t) AS (VALUES {', '.join(rows)}), tw AS (SELECT k, room, need, unnest(t) AS word FROM templates),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_words('text')} AS w FROM documents),
 places AS (SELECT r, label, i FROM docs, phrases, unnest(range(0, len(w) - len(p) + 1)) AS x(i) WHERE w[i + 1 : i + len(p)] = p),
 base AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM places GROUP BY r),
-lines AS (SELECT r, list_distinct({_words('line')}) AS b FROM docs, unnest(string_split(text, chr(10))) AS x(line)),
-found AS (SELECT r, label, len(list_intersect(b, t))::DOUBLE / len(t) AS share FROM lines, templates WHERE len(list_intersect(b, t)) >= need),
-method AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY r)
+flat AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM docs),
+every AS (SELECT r, k, room, need, i, word FROM flat JOIN tw USING (word)),
+enough AS (SELECT r, k FROM every GROUP BY r, k, need HAVING count(DISTINCT word) >= need),
+occ AS (SELECT r, k, room, need, i, lag(i) OVER (PARTITION BY r, k, word ORDER BY i) AS before FROM every JOIN enough USING (r, k)),
+hits AS (SELECT e.r, e.k, greatest(0, e.i + 1 - e.room) AS lo, e.i + 1 AS hi, count(*) AS n FROM occ e JOIN occ j ON e.r = j.r AND e.k = j.k AND j.i <= e.i AND j.i > e.i - e.room AND (j.before IS NULL OR j.before <= e.i - e.room)
+  GROUP BY e.r, e.k, e.i, e.room, e.need HAVING count(*) >= e.need),
+found AS (SELECT r, label, family, lo, hi, n::DOUBLE / size AS share, size FROM hits JOIN templates USING (k)),
+kept AS (SELECT * FROM found f WHERE NOT EXISTS (FROM found g WHERE g.r = f.r AND g.family = f.family AND g.lo < f.hi AND f.lo < g.hi AND (g.share > f.share OR (g.share = f.share AND g.size > f.size)))),
+method AS (SELECT r, list(DISTINCT label) AS labels FROM kept GROUP BY r), best AS (SELECT r, max(share) AS share FROM found GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(method.labels, [])))), ',') AS labels,
   CASE WHEN n IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
-FROM docs LEFT JOIN base USING (r) LEFT JOIN method USING (r)"""
+FROM docs LEFT JOIN base USING (r) LEFT JOIN method USING (r) LEFT JOIN best USING (r)"""
 
 
 OP3_SQL = f"""
