@@ -135,6 +135,27 @@ def test_viterbi_is_the_best_path():
         assert abs(p - naive_path(model, seen)) < 1e-9
 
 
+def naive_fit(rows):
+    """The counts of a single pass over each conversation."""
+    n = transcripts.STATES
+    starts, moves, shows = np.zeros(n), np.zeros((n, n)), np.zeros((n, transcripts.OBSERVATIONS))
+    for c in {r[0] for r in rows}:
+        last, fresh = None, True
+        for _, _, role, text in sorted({r for r in rows if r[0] == c}, key=lambda r: (r[1] is not None, r[1] or 0, r[3] or "", r[2] or "")):
+            if role not in transcripts.ROLES:
+                last, fresh = None, False
+                continue
+            for k, o in enumerate(transcripts.observations(text)):
+                s = 2 * transcripts.ROLES.index(role) + (k > 0)
+                shows[s, o] += 1
+                if last is not None:
+                    moves[last, s] += 1
+                elif fresh:
+                    starts[s] += 1
+                last, fresh = s, False
+    return transcripts.Model(starts, moves, shows)
+
+
 def talks(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, chunk string, before int")
 
@@ -151,10 +172,21 @@ def test_long_conversations_are_decoded_as_one(spark, monkeypatch, chunk, fan):
             mark = {"user": "User: ", "assistant": "Bot: "}[role] if rng.random() < 0.6 else ""
             rows.append((c, t, role, mark + "\n".join(["a line?" if role == "user" else "b" * 90] * int(rng.integers(1, 4)))))
     rows += [(4, 0, "user", None), (4, 1, None, ""), (4, 1, None, ""), (None, None, "user", "Q: hi"), (5, -3, "tool", "x\n" * 300)]
-    parts = transcripts.materialise(transcripts.chunks(talks(spark, rows)))
+    # a conversation without numbers, in the order of its texts
+    unnumbered = [(7, None, ["user", "assistant"][t % 2], f"{t:03d} {'User' if t % 2 == 0 else 'Bot'}: {'ab' * 50}") for t in range(21)]
+    rows += unnumbered
+    parts = transcripts.numbered(transcripts.materialise(transcripts.chunks(talks(spark, rows))))
     model = transcripts.fit(parts)
-    got = {(r.conv_id, r.turn): r for r in transcripts.decode(parts, model).collect()}
-    assert len(got) == len(rows) - 1
+    want = naive_fit(rows)
+    for name in ("first", "move", "show"):
+        assert np.allclose(getattr(model, name), getattr(want, name))
+    every = transcripts.decode(parts, model).collect()
+    got = {(r.conv_id, r.turn): r for r in every}
+    assert len(every) == len(rows) - 1
+    seen = [o for r in unnumbered for o in transcripts.observations(r[3])]
+    path = [transcripts.ROLES[s // 2] for s in model.path(seen, True, 0, None)]
+    found = sorted((r.rendered, r.found) for r in every if r.conv_id == 7)
+    assert len(found) == 21 and sorted(f for _, f in found) == sorted(path)
     for c in (1, 2, 3):
         own = [r for r in rows if r[0] == c]
         seen = [o for r in own for o in transcripts.observations(r[3])]
@@ -200,3 +232,19 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert {i for i, _ in clean} <= ids["bpe"]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in after["bpe"].values()}
+
+
+def test_pipeline_of_nothing_and_of_clashing_columns(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kind = "doc_id long, text string, id long, mark string, node long, rank long, score string, n_chars int, removed string"
+    for name, rows in (("none", []), ("some", [(1, "a text of five words", 1, "m", 2, 3, "s", 20, "r"), (2, None, 1, "m", 2, 3, "s", None, "r"), (None, "a text of five words", 1, "m", 2, 3, "s", 20, "r")])):
+        docs = spark.createDataFrame(rows, kind)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns[0] == "doc_id" and got.count() == (2 if rows else 0)
+        state = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            state = stage(spark, state, f"{tmp_path}/{name}")
+            assert state.columns == docs.columns and dict(state.dtypes) == dict(docs.dtypes)

@@ -11,8 +11,8 @@ length that occurs are looked up as they are.
 The fingerprint hashes use ``lower``, which maps more letters together than A-Z: that can only add candidates,
 and the comparison of windows has the exact words.
 
-The items' fingerprints and windows are broadcast while they are ``BROADCAST`` rows or fewer, else joined by
-shuffles. Null and empty texts have no words. Rows that repeat doc_id and text each get their row; items that
+The items' fingerprints and windows are broadcast while they are ``BROADCAST`` rows or fewer, of some 60 bytes each whatever number of items
+share a window, else joined by shuffles; the items are joined to the windows that were found. Very long texts are taken whole. Other columns aren't read. Null and empty texts have no words. Rows that repeat doc_id and text each get their row; items that
 share an item_id are one item; items without an id take part and count under the empty string.
 """
 
@@ -100,9 +100,8 @@ def _sized(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST else df
 
 
-def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """For each distinct (doc_id, mark) of ``docs``: copies, n_words, spans (start, end) of the found windows, and the items."""
-    known = materialise(windows(items))
+def hits(docs: DataFrame, known: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """For each distinct (doc_id, mark) of ``docs``: copies, n_words, spans (start, end) of the found windows, and their hashes; known: the items' windows, kept."""
     size = known.count()
     short = sorted(r.n for r in known.where(F.col("n") < WINDOW).select("n").distinct().collect())
     prints = known.select("print").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(_ROW).cast("long").alias("print")))
@@ -127,14 +126,14 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "
     each = F.transform(F.sequence("from", F.col("to") - 1), lambda i: F.struct(i.alias("start"), F.when(i >= 0, _window_hash(F.col("words"), i, F.col("n"))).alias("hash")))
     met = met.select("id", "mark", "n_words", "print", "n", each.alias("each"))
     spread = met.select("id", "mark", "n_words", "print", "n", F.inline_outer("each"))
-    found = spread.join(_sized(known.select("print", "n", "hash", "items"), size), ["print", "n", "hash"], "left")
-    found = found.where("start < 0 or items is not null")
+    found = spread.join(_sized(known.select("print", "n", "hash", F.lit(True).alias("there")), size), ["print", "n", "hash"], "left")
+    found = found.where("start < 0 or there")
     span = F.when(F.col("start") >= 0, F.struct("start", (F.col("start") + F.col("n")).alias("end")))
     by_doc = found.groupBy("id", "mark").agg(
         F.count(F.when(F.col("start") < 0, 1)).alias("copies"),
         F.max("n_words").alias("n_words"),
         F.sort_array(F.collect_set(span)).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.collect_set(F.when(F.col("there"), F.col("hash"))).alias("windows"),
     )
     return by_doc
 
@@ -148,7 +147,13 @@ def covered(spans: Column) -> Column:
 
 def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """For each row its key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    got = hits(docs, items, key, column).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    known = materialise(windows(items))
+    by_doc = materialise(hits(docs, known, key, column))
+    # a window's hash, of its exact words, names it
+    hit = by_doc.where(F.size("windows") > 0).select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), F.explode("windows").alias("hash"))
+    named = hit.join(known.select("hash", F.explode("items").alias("item")), "hash").groupBy("id_", "mark_").agg(F.array_sort(F.collect_set("item")).alias("items_"))
+    got = by_doc.join(named, F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")), "left")
+    got = got.withColumn("items", F.coalesce("items_", F.array().cast("array<string>"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     n_hit = covered(F.col("spans"))
     return got.select(
         F.col("id").alias(key),
@@ -162,5 +167,5 @@ def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str =
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
-    bad = hits(docs, items).where(F.size("spans") > 0).select(F.col("id").alias("_wl_id"), F.col("mark").alias("_wl_mark"))
+    bad = hits(docs, materialise(windows(items))).where(F.size("spans") > 0).select(F.col("id").alias("_wl_id"), F.col("mark").alias("_wl_mark"))
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_wl_id")) & (text_digest(docs["text"]) == F.col("_wl_mark")), "left_anti")

@@ -1,13 +1,15 @@
 """Toxicity: a linear classifier on character n-grams whose features carry naive Bayes log-count ratios.
 
-Fitting uses a bounded sample of the labelled rows (``SAMPLE``); scoring reads every whole text.
-A text is lower-cased, its 4- and 5-grams of characters are hashed into ``2**BITS`` bins, a bin counts
+Fitting uses a bounded sample of the labelled rows (``SAMPLE`` of each label, drawn by a hash of their ids, of any length);
+scoring reads every whole text. A text is lower-cased, its 4- and 5-grams of characters are hashed into ``2**BITS`` bins, a bin counts
 once for a text, and its weight is the log-count ratio times a coefficient of an L2-regularised
-logistic regression. The margin becomes a probability by Platt scaling on rows kept from the fit.
+logistic regression. The margin becomes a probability by Platt scaling on rows kept from the fit. The sampled texts become
+bins on the executors; the driver gets bits, at most ``2**BITS`` for a row whatever its length.
 
 Null and empty texts have no n-grams: their score is that of the intercept, which rows without n-grams in the fit keep low. Repeated rows are scored
-each. Labels that are null, or whose document is missing, take no part in the fit; without labels of
-both kinds every score is the share of label 1 among the labels (0 without any).
+each. Labels that are null, or whose document is missing, take no part in the fit; a document with labels of both kinds counts as 1, and one
+with several texts gives the least of them. Without labels of both kinds every score is the share of label 1 among the labels (0 without any).
+doc_id must be an integer or cast to one; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import lean
+
 BITS = 18
 ORDERS = (4, 5)
-#: The fit's bounds: rows of each label, and characters of a row that may be drawn.
-SAMPLE = 1000
-SAMPLE_CHARS = 20_000
+#: The fit's bound: rows of each label.
+SAMPLE = 1500
 THRESHOLD = 0.3
 
 
@@ -110,19 +114,20 @@ def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(max(t[0], 1e-3)), float(t[1])
 
 
-def fit_rows(texts: list[str], labels: list[int], prior: float) -> Model:
-    """A model from texts in memory; every fifth row calibrates the scores, weighed to the share ``prior`` of label 1."""
+def fit_rows(rows: list[np.ndarray], labels: list[int], prior: float) -> Model:
+    """A model from the distinct bins of texts; every fifth row calibrates the scores, weighed to the share ``prior`` of label 1."""
     y, n = np.array(labels, np.float64), 1 << BITS
     if not len(y) or y.min() == y.max():
         p = min(max(prior, 1e-6), 1 - 1e-6) if len(y) else 1e-6
         return Model(np.zeros(n, np.float32), float(np.log(p / (1 - p))), 1.0, 0.0)
     # rows without n-grams, label 0: a text that shows nothing isn't toxic
-    texts, labels = [*texts, *[""] * (1 + len(texts) // 20)], [*labels, *[0] * (1 + len(texts) // 20)]
-    y = np.array(labels, np.float64)
-    rows = [distinct_bins(t) for t in texts]
+    more = 1 + len(rows) // 20
+    rows, y = [*rows, *[np.empty(0, np.uint32)] * more], np.concatenate([y, np.zeros(more)])
     last = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     keep = [i for i in range(len(y)) if not last[i]]
-    count = [np.bincount(np.concatenate([rows[i] for i in keep if y[i] == k] or [np.empty(0, np.uint32)]), minlength=n) + 1.0 for k in (0, 1)]
+    count = [np.ones(n), np.ones(n)]
+    for i in keep:
+        count[int(y[i])][rows[i]] += 1
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
     w, b = _logistic([rows[i] for i in keep], y[keep], ratio)
     weights = (w * ratio).astype(np.float32)
@@ -133,31 +138,49 @@ def fit_rows(texts: list[str], labels: list[int], prior: float) -> Model:
     return Model(weights, float(b), *_platt(z, y[held], weight))
 
 
+def packed(bins_: np.ndarray) -> bytes:
+    """Distinct bins as themselves, or as bits where those are shorter."""
+    if 4 * len(bins_) <= 1 << BITS - 3:
+        return b"i" + bins_.astype("<u4").tobytes()
+    bits = np.zeros(1 << BITS, bool)
+    bits[bins_] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[:1] == b"i":
+        return np.frombuffer(data, "<u4", offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1))).astype(np.uint32)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Model:
     """The model of a bounded sample of labelled rows; ``train`` tells from doc_id which labels may be seen."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1)")
-    known = known.where(train if train is not None else F.lit(True)).where("id is not null").dropDuplicates(["id"])
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select(F.col("doc_id").alias("id"))
+    seen = labels.where(train) if train is not None else labels
+    known = seen.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1) and id is not null").groupBy("id").agg(F.max("y").alias("y"))
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    usable = known.join(short.distinct(), "id", "left_semi")
-    drawn = [usable.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for k in (0, 1)]
-    ids = [r for d in drawn for r in d.collect()]
+    usable = known.join(docs.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id", "left_semi")
+    ids = [r for k in (0, 1) for r in usable.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
     if not ids:
         return fit_rows([], [], 0.0)
+
+    def of_texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(distinct_bins(t.as_py())) for t in b.column(2)], pa.binary())], names=["id", "y", "bins"])
+
     wanted = docs.sparkSession.createDataFrame([(r.id, r.y) for r in ids], "id long, y int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    got = texts.join(F.broadcast(wanted), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-    rows = sorted(got.select("id", "y", "text").collect(), key=lambda r: ((r.id * 0x9E3779B97F4A7C15) & (2**64 - 1), r.id))
-    return fit_rows([r.text for r in rows], [r.y for r in rows], total.get(1, 0) / max(1, sum(total.values())))
+    texts = lean(docs).select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted), "id")  # 2 * SAMPLE rows
+    got = texts.groupBy("id", "y").agg(F.min("text").alias("text")).mapInArrow(of_texts, "id long, y int, bins binary")
+    rows = sorted(got.collect(), key=lambda r: ((r.id * 0x9E3779B97F4A7C15) & (2**64 - 1), r.id))
+    return fit_rows([unpacked(bytes(r.bins)) for r in rows], [r.y for r in rows], total.get(1, 0) / max(1, sum(total.values())))
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """The score of each text as a column."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = lean(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def toxic_score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

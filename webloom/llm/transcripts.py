@@ -12,7 +12,8 @@ at the borders are then fixed from the top down, and each chunk is decoded betwe
 conversation never comes into one task, and the path is that of a single pass.
 
 Turns are ordered by turn (null first), then text. Rows that repeat conversation, turn, role and text are one turn. Null and
-empty texts are one empty line. Negative turns are in the first chunk.
+empty texts are one empty line. Negative turns, and turns without a number, are in the first stretch of CHUNK numbers; a stretch of more turns
+is cut again by their order. Very long texts are whole, a class for each line. conv_id and turn must be integers or cast to such; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom.llm.common import materialise
 
@@ -140,27 +142,40 @@ def _chunk(turn: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(F.coalesce(turn.cast("long"), F.lit(0)) / CHUNK)).cast("long")
 
 
+#: Room for the parts of a stretch of numbers that holds more turns than CHUNK.
+PARTS = 1 << 20
+
+
 def chunks(blocks: DataFrame) -> DataFrame:
-    """conv_id, chunk and its turns in order."""
+    """conv_id, chunk and its turns in order, at most CHUNK of them."""
     rows = blocks.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
     turn = F.struct("turn", F.coalesce("text", F.lit("")).alias("text"), "role")
-    return rows.groupBy("conv_id", _chunk(F.col("turn")).alias("chunk")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    placed = rows.select("conv_id", _chunk(F.col("turn")).alias("chunk"), turn.alias("t"))
+    order = Window.partitionBy("conv_id", "chunk").orderBy("t")
+    placed = placed.withColumn("part", F.floor((F.row_number().over(order) - 1) / CHUNK).cast("long"))
+    return placed.groupBy("conv_id", "chunk", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+
+
+def numbered(parts: DataFrame) -> DataFrame:
+    """conv_id, chunk and turns of kept chunks, with the parts of a stretch as chunks of their own where there are any."""
+    several = parts.where("part > 0").limit(1).count() > 0
+    return parts.select("conv_id", (F.col("chunk") * PARTS + F.col("part") if several else F.col("chunk")).alias("chunk"), "turns")
 
 
-_PAIRS = "kind string, a int, b int, n long"
+_COUNTS = ["kind", "a", "b", "n", "conv_id", "chunk", "first", "last"]
 
 
 def fit(parts: DataFrame) -> Model:
-    """Counts over all labelled chunks; roles outside ``ROLES`` break the chain and are left out."""
+    """Counts over all labelled chunks and across their borders; roles outside ``ROLES`` break the chain and are left out."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts, moves, shows = np.zeros(STATES, np.int64), np.zeros((STATES, STATES), np.int64), np.zeros((STATES, OBSERVATIONS), np.int64)
+        starts, moves, shows, edges = np.zeros(STATES, np.int64), np.zeros((STATES, STATES), np.int64), np.zeros((STATES, OBSERVATIONS), np.int64), []
         for p in batches:
-            for chunk, turns in zip(p["chunk"], p["turns"]):
-                last = None
+            for conv, chunk, opening, turns in zip(p["conv_id"], p["chunk"], p["opening"], p["turns"]):
+                last, first, fresh = None, None, True
                 for t in turns:
                     if t["role"] not in ROLES:
-                        last = None
+                        last, fresh = None, False
                         continue
                     r = 2 * ROLES.index(t["role"])
                     for k, o in enumerate(observations(t["text"])):
@@ -168,16 +183,29 @@ def fit(parts: DataFrame) -> Model:
                         shows[s, o] += 1
                         if last is not None:
                             moves[last, s] += 1
-                        elif chunk == 0:
-                            starts[s] += 1
-                        last = s
+                        elif fresh:
+                            if opening:
+                                starts[s] += 1
+                            first = s
+                        last, fresh = s, False
+                edges.append((conv, chunk, first, last))
+            if edges:
+                yield pd.DataFrame([("edge", None, None, None, *e) for e in edges], columns=_COUNTS).astype({c: "Int64" for c in _COUNTS[1:]})
+                edges = []
         for kind, x in (("start", starts[:, None]), ("move", moves), ("show", shows)):
             a, b = np.nonzero(x)
-            yield pd.DataFrame({"kind": kind, "a": a.astype(np.int32), "b": b.astype(np.int32), "n": x[a, b]})
-
-    total = parts.select("chunk", "turns").mapInPandas(count, _PAIRS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+            yield pd.DataFrame({"kind": kind, "a": a, "b": b, "n": x[a, b], "conv_id": None, "chunk": None, "first": None, "last": None}).astype({c: "Int64" for c in _COUNTS[1:]})
+
+    opened = parts.groupBy("conv_id").agg(F.min("chunk").alias("least")).withColumnRenamed("conv_id", "c_")
+    told = parts.join(opened, F.col("conv_id").eqNullSafe(F.col("c_"))).select("conv_id", "chunk", (F.col("chunk") == F.col("least")).alias("opening"), "turns")
+    counted = materialise(told.mapInPandas(count, "kind string, a long, b long, n long, conv_id long, chunk long, first long, last long"))
+    total = counted.where("kind <> 'edge'").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    # the last state of a chunk and the first of the next one: two numbers for CHUNK turns
+    order = Window.partitionBy("conv_id").orderBy("chunk")
+    borders_ = counted.where("kind = 'edge'").select("first", F.lag("last").over(order).alias("before")).where("first is not null and before is not null")
+    total = total.unionByName(borders_.groupBy(F.lit("move").alias("kind"), F.col("before").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("n")))
     x = {"start": np.zeros((STATES, 1)), "move": np.zeros((STATES, STATES)), "show": np.zeros((STATES, OBSERVATIONS))}
-    for r in total:
+    for r in total.collect():  # no more rows than the model has numbers, twice
         x[r.kind][r.a, r.b] += r.n
     return Model(x["start"][:, 0], x["move"], x["show"])
 
@@ -280,7 +308,12 @@ def render(lines: list[str], states: list[int]) -> str:
     return "".join(out) + "<|end|>\n"
 
 
-def format_chats(blocks: DataFrame, model: Model | None = None) -> DataFrame:
-    """Recovers the roles of transcripts; without a model it is fitted on the blocks' own roles."""
-    parts = materialise(chunks(blocks))
-    return decode(parts, model or fit(parts))
+def format_chats(blocks: DataFrame, model: Model | None = None, train: Column | None = None) -> DataFrame:
+    """Recovers the roles of transcripts; without a model it is fitted on the blocks' own roles, of the conversations that ``train`` takes (else of all)."""
+    parts = numbered(materialise(chunks(blocks)))
+    return decode(parts, model or fit(parts if train is None else parts.where(train)))
+
+
+def held_out(conv_id: Column) -> Column:
+    """A quarter of the conversations, whose roles the fit of the query doesn't see."""
+    return F.coalesce(F.crc32(conv_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -13,8 +13,8 @@ For each (host, rule path) the sweep gives the longest host rule; among a url's
 
 Null urls and those without ``://`` have empty host and path and no rule. A rule that is given more than
 once counts once; if one of them blocks, it blocks. Rules with an empty or null host or path are void. Repeated rows
-stay as they are. Hot hosts: the sweep sees each host once, and the join back is left to adaptive skew
-handling, which can split a host's urls.
+stay as they are, and so do very long urls. Hot hosts: the sweep sees each host once, a host's rules are never gathered, and the join back
+by host and path is left to adaptive skew handling, which can split the rows of one url. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,17 +99,20 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     if not lengths:
         return asked.select(F.col("key_").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(DEFAULT).alias("verdict"))
     cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
-    heads = asked.where("host <> '' and path <> ''").select("host", F.explode(F.transform(cut, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("path"))
-    paths = rules.select("path").distinct()
+    each = asked.where("host <> '' and path <> ''").select("host", "path").distinct()
+    each = each.select("host", "path", F.explode(F.transform(cut, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("head"))
+    paths = rules.select(F.col("path").alias("head")).distinct()
     # few paths lead very many urls: while they are few they are broadcast, else dealt after the urls' heads are made distinct
-    heads = heads.join(F.broadcast(paths), "path", "left_semi").distinct() if paths.count() <= BROADCAST else heads.distinct().join(paths, "path", "left_semi")
-    points = heads.select(_key(F.col("host"), F.col("path")).alias("key"), "host", "path")
+    few = paths.count() <= BROADCAST
+    heads = each.join(F.broadcast(paths), "head", "left_semi").select("host", "head").distinct() if few else each.select("host", "head").distinct().join(paths, "head", "left_semi")
+    points = heads.select(_key(F.col("host"), F.col("head")).alias("key"), "host", F.col("head").alias("path"))
     if ranges is None:
         points = materialise(points)
-    won = sweep(points, rules, ranges)
-    by_host = won.groupBy("host").agg(F.collect_list(F.struct((F.length("rhost") + F.length("path")).alias("n"), F.concat("rhost", "path").alias("rule"), "verdict", F.col("path").alias("head"))).alias("rules"))
-    fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["head"]))
-    best = F.aggregate(fits, F.lit(None).cast("struct<n:int,rule:string,verdict:string,head:string>"), lambda a, r: F.when(a.isNull() | (r["n"] > a["n"]) | ((r["n"] == a["n"]) & (r["rule"] < a["rule"])), r).otherwise(a))
-    # kept apart, so that both sides are dealt anew and a hot host's urls can be split
-    joined = asked.join(materialise(by_host), "host", "left").withColumn("best", best)
+    won = materialise(sweep(points, rules, ranges).select(F.col("host").alias("h_"), F.col("path").alias("p_"), "rhost", "verdict"))
+    # the longest rule of each distinct url, ties to the smaller text
+    rule = F.struct((-F.length("rhost") - F.length("head")).alias("n"), F.concat("rhost", "head").alias("rule"), "verdict")
+    best = each.join(won, (F.col("host") == F.col("h_")) & (F.col("head") == F.col("p_"))).groupBy("host", "path").agg(F.min(rule).alias("best"))
+    # kept apart, so that both sides are dealt anew and the rows of a hot url can be split
+    best = materialise(best).withColumnsRenamed({"host": "h_", "path": "p_"})
+    joined = asked.join(best, (F.col("host") == F.col("h_")) & (F.col("path") == F.col("p_")), "left")
     return joined.select(F.col("key_").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"))
