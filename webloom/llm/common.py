@@ -40,6 +40,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return keep(df)
 
 
+def few(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """No more partitions than one for ``each`` of so many rows: small tables that go round by round needn't be hundreds of files each time."""
+    return df.coalesce(1 + rows // each)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Computes a table once, as Parquet in the shared folder: smaller than ``materialise`` for tables of many rows."""
     path = fresh_dir(df.sparkSession, what)

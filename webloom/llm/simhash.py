@@ -11,7 +11,8 @@ open, so no group has over 256 nodes, and none is dropped. Links become componen
 small-star steps, whose tables are kept in the shared folder.
 
 A component's id is its smallest doc_id (null if all its doc_ids are null). Null texts count as empty;
-repeated rows each get their row.
+repeated rows each get their row; ties of doc_id go to the text's digest. Very long texts are taken whole, 65,536 shingles at a time. doc_id must be an
+integer or cast to one; other columns aren't read, and ``keep_one`` returns them, whatever their names but ``_wl_``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import lean, materialise, text_digest
+from webloom.llm.common import few, lean, materialise, text_digest
 
 SHINGLE = 3
 SEED = 42
@@ -110,7 +111,8 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node with links; root is the smallest node that it reaches. Edges: (u, v), u > v."""
     edges = materialise(edges.select("u", "v"))
-    if edges.isEmpty():
+    size = edges.count()
+    if not size:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     before = None
     while True:
@@ -119,7 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.where("u <> v").distinct())
+        edges = materialise(few(small.where("u <> v").distinct(), size, 50_000))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
