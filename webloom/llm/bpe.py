@@ -7,7 +7,8 @@ ids are looked up afterwards. Offsets are characters of the text: a token that h
 bytes covers the whole character. Decoding joins the bytes of the ids; a character that tokens split comes
 together again there.
 
-Null texts count as empty: no ids, hashes of the empty string. Repeated rows each get their row.
+Null texts count as empty: no ids, hashes of the empty string. Repeated rows each get their row. Very long texts are encoded whole, with memory
+for their pieces and ids; pieces of over ``LONG_PIECE`` characters aren't remembered. The key may be of any type; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import lean, worker_cache
 
 #: Distinct pieces that a worker remembers; it forgets all when they are more, and encodes anew.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Longer pieces aren't remembered.
 LONG_PIECE = 64
 
