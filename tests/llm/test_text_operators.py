@@ -442,3 +442,22 @@ def test_near_copies_of_one_text(spark):
             root = [a if r == b else r for r in root]
     assert 5 < len(set(root)) < 140
     assert {r.doc_id: r.component_id for r in neardup.groups(docs(spark, rows)).collect()} == dict(enumerate(root))
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k % 5000}" for k in range(200_000)]
+    long = " ".join(words)
+    assert len(long) > 10**6
+    table = docs(spark, [(1, long), (2, long + " released under the mit license"), (3, "short")])
+    fp = {r.doc_id: r.fp for r in simhash.fingerprints(table).collect()}
+    assert fp[1] == simhash.fingerprint(long)
+    tokens = {r.doc_id: r for r in bpe.digests(table).collect()}
+    assert tokens[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and tokens[1].n_tokens > 200_000
+    found = {r.doc_id: r for r in licenses.scan(table).collect()}
+    assert found[1].n_words == 200_000 and found[1].labels == "" and (found[2].first_word, found[2].labels) == (200_001, "mit")
+    item = spark.createDataFrame([(7, " ".join(words[100_000:100_030]))], "item_id long, text string")
+    hit = {r.doc_id: r for r in decontam.judge(table, item).collect()}
+    assert (hit[1].n_words, hit[1].n_hit, hit[1].n_items) == (200_000, 40 * 30, 1) and not hit[3].contaminated
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity.classify(table, labels).collect())
+    assert {r.doc_id: r.component_id for r in neardup.groups(table).collect()} == {1: 1, 2: 1, 3: 3}

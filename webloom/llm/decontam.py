@@ -123,7 +123,11 @@ def hits(docs: DataFrame, known: DataFrame, key: str = "doc_id", column: str = "
         by_doc = asked.groupBy("id", "mark").agg(F.collect_list(F.struct("from", "to", "print", "n")).alias("runs"))
         met = read.select("id", "mark", "words", "n_words").join(by_doc.withColumnsRenamed({"id": "id_", "mark": "mark_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")))
         met = met.select("id", "mark", "words", "n_words", F.inline_outer("runs"))
-    each = F.transform(F.sequence("from", F.col("to") - 1), lambda i: F.struct(i.alias("start"), F.when(i >= 0, _window_hash(F.col("words"), i, F.col("n"))).alias("hash")))
+    # only the words of a run go on: a long text with many runs would be copied with each of them. The generator of one row
+    # keeps the optimizer from putting the whole words back into the next step
+    part = F.slice("words", F.greatest(F.lit(1), F.col("from") + 1), F.greatest(F.lit(0), F.col("to") - F.col("from") + F.col("n") - 1))
+    met = met.select("id", "mark", "n_words", "print", "n", "from", "to", F.explode(F.array(part)).alias("part"))
+    each = F.transform(F.sequence("from", F.col("to") - 1), lambda i: F.struct(i.alias("start"), F.when(i >= 0, _window_hash(F.col("part"), i - F.col("from"), F.col("n"))).alias("hash")))
     met = met.select("id", "mark", "n_words", "print", "n", each.alias("each"))
     spread = met.select("id", "mark", "n_words", "print", "n", F.inline_outer("each"))
     found = spread.join(_sized(known.select("print", "n", "hash", F.lit(True).alias("there")), size), ["print", "n", "hash"], "left")

@@ -12,7 +12,8 @@ verifies the total length and the payload digest, and decodes the framing. Revis
 that they refer to.
 
 Null payloads are empty; payloads under ``LEAST`` bytes are all responses. Rows that share key and payload, and hold the smallest
-key, are all responses. Of equal payloads without any key, all are responses; a row without a key revisits a keyed one.
+key, are all responses. Of equal payloads without any key, all are responses; a row without a key revisits a keyed one. Very long payloads are
+segments of ``SEGMENT`` bytes; one payload at a time is put together. The key must be an integer or cast to one; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
