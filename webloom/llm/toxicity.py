@@ -3,7 +3,7 @@
 Fitting uses a bounded sample of the labelled rows (``SAMPLE`` of each label, drawn by a hash of their ids, of any length);
 scoring reads every whole text. A text is lower-cased, its 4- and 5-grams of characters are hashed into ``2**BITS`` bins, a bin counts
 once for a text, and its weight is the log-count ratio times a coefficient of an L2-regularised
-logistic regression. The margin becomes a probability by Platt scaling on rows kept from the fit. The sampled texts become
+logistic regression. The margin becomes a probability by Platt scaling on margins of models that haven't seen the row. The sampled texts become
 bins on the executors; the driver gets bits, at most ``2**BITS`` for a row whatever its length.
 
 Null and empty texts have no n-grams: their score is that of the intercept, which rows without n-grams in the fit keep low. Repeated rows are scored
@@ -30,6 +30,9 @@ ORDERS = (4, 5)
 #: The fit's bound: rows of each label.
 SAMPLE = 1500
 THRESHOLD = 0.3
+#: Parts of the sample for the calibration; weight of the penalty, against so many rows.
+FOLDS = 2
+L2 = 30.0
 
 
 def bins(text: str | None, bits: int = BITS) -> list[np.ndarray]:
@@ -76,7 +79,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40)))
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
+def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = L2, steps: int = 60) -> tuple[np.ndarray, float]:
     """Full-batch gradient steps with momentum on features ``scale[bin]``."""
     w, b, vw, vb = np.zeros(len(scale)), 0.0, np.zeros(len(scale)), 0.0
     norm = np.mean([(scale[r] ** 2).sum() for r in rows]) + 1
@@ -114,8 +117,18 @@ def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(max(t[0], 1e-3)), float(t[1])
 
 
+def _weights(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weight by bin, ratio times coefficient, and intercept."""
+    count = [np.ones(1 << BITS), np.ones(1 << BITS)]
+    for r, label in zip(rows, y):
+        count[int(label)][r] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    w, b = _logistic(rows, y, ratio)
+    return w * ratio, b
+
+
 def fit_rows(rows: list[np.ndarray], labels: list[int], prior: float) -> Model:
-    """A model from the distinct bins of texts; every fifth row calibrates the scores, weighed to the share ``prior`` of label 1."""
+    """A model from the distinct bins of texts; scores are calibrated on the margins that rows get from models of the other ``FOLDS`` - 1 parts, weighed to the share ``prior`` of label 1."""
     y, n = np.array(labels, np.float64), 1 << BITS
     if not len(y) or y.min() == y.max():
         p = min(max(prior, 1e-6), 1 - 1e-6) if len(y) else 1e-6
@@ -123,19 +136,20 @@ def fit_rows(rows: list[np.ndarray], labels: list[int], prior: float) -> Model:
     # rows without n-grams, label 0: a text that shows nothing isn't toxic
     more = 1 + len(rows) // 20
     rows, y = [*rows, *[np.empty(0, np.uint32)] * more], np.concatenate([y, np.zeros(more)])
-    last = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    keep = [i for i in range(len(y)) if not last[i]]
-    count = [np.ones(n), np.ones(n)]
-    for i in keep:
-        count[int(y[i])][rows[i]] += 1
-    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
-    w, b = _logistic([rows[i] for i in keep], y[keep], ratio)
-    weights = (w * ratio).astype(np.float32)
-    held = np.flatnonzero(last) if last.any() and y[last].min() != y[last].max() else np.arange(len(y))
-    z = np.array([b + weights[rows[i]].sum(dtype=np.float64) for i in held])
-    share = y[held].mean()
-    weight = np.where(y[held] == 1, prior / share, (1 - prior) / (1 - share))
-    return Model(weights, float(b), *_platt(z, y[held], weight))
+    weights, b = _weights(rows, y)
+    margin = lambda w, b, i: b + w[rows[i]].sum()
+    fold = np.arange(len(y)) % FOLDS
+    if all(y[fold != k].min() != y[fold != k].max() for k in range(FOLDS)) and len(y) >= 50:
+        z = np.zeros(len(y))
+        for k in range(FOLDS):
+            part = _weights([r for r, f in zip(rows, fold) if f != k], y[fold != k])
+            for i in np.flatnonzero(fold == k):
+                z[i] = margin(*part, i)
+    else:
+        z = np.array([margin(weights, b, i) for i in range(len(y))])
+    share = y.mean()
+    weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    return Model(weights.astype(np.float32), float(b), *_platt(z, y, weight))
 
 
 def packed(bins_: np.ndarray) -> bytes:
