@@ -35,6 +35,7 @@ LEAF = 128
 PILOT = 2048
 #: Leaves of the pilot, at most: with a centre each they are broadcast.
 MOST_LEAVES = 256
+LEAST_LEAVES = 16
 SHARD_BYTES = 2 << 20
 BLOCK_ROWS = 1024
 #: Leaves that a query visits in each round; after these, all that remain.
@@ -190,12 +191,15 @@ def search(
     rows = table.select(F.col(key).cast("long").alias("id"), integers(F.col(column), scale).alias("v")).where("v is not null")
     rows = rows.withColumns({"dim": F.size("v"), "at": F.xxhash64("id", "v")})
 
+    n = rows.count()
     drawn = rows.orderBy("at").limit(pilot).select("dim", "id", "v").collect()
     cuts: dict[int, tuple[Leaves, BallTree]] = {}
     for d in {r.dim for r in drawn}:
         own = [r for r in drawn if r.dim == d]
         m = _matrix(r.v for r in own)
-        cuts[d] = Leaves(m, min(MOST_LEAVES, max(1, len(own) // 8))), BallTree(np.array([NO_ID if r.id is None else r.id for r in own], np.int64), m)
+        # about two leaves for a shard's bytes, so that a leaf is seldom more than one tree
+        leaves_ = max(LEAST_LEAVES, 2 * n * len(own) // len(drawn) * (8 * d + 8) // shard_bytes)
+        cuts[d] = Leaves(m, min(MOST_LEAVES, leaves_, max(1, len(own) // 8))), BallTree(np.array([NO_ID if r.id is None else r.id for r in own], np.int64), m)
     sent = spark.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("struct<leaf:int,away:double>")
@@ -281,7 +285,8 @@ def search(
     for last in [*np.cumsum(rounds).tolist(), None]:
         asked = now.select("id", "v", "dim", "at", "least", F.explode(wanted(first, last)("v", "least")).alias("leaf"))
         # queries meet a tree in blocks; a leaf's trees are joined to them
-        numbered = asked.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("dim", "leaf", F.pmod("at", F.lit(64))).orderBy("at")) - 1) / block_rows) * 64 + F.pmod("at", F.lit(64)))
+        sizes = {(r.dim, r.leaf): -(-r.n // block_rows) for r in asked.groupBy("dim", "leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+        numbered = asked.withColumn("block", _block(spark, sizes)("dim", "leaf", "at"))
         blocks = numbered.groupBy("dim", "leaf", "block").agg(F.collect_list(F.struct("id", "v", "at", "least")).alias("asked"))
         got = trees.join(blocks, ["dim", "leaf"]).select("tree", "asked").mapInArrow(meet, "at long, query_id long, vec_id long, score long")
         found = got if found is None else found.unionByName(got)
@@ -294,6 +299,17 @@ def search(
     return _ranked(found, itself, k)
 
 
+def _block(spark, sizes: dict[tuple[int, int], int]):
+    """A query's block among those of its leaf."""
+    sent = spark.sparkContext.broadcast(sizes)
+
+    @F.pandas_udf("long")
+    def block(dim: pd.Series, leaf: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([x % sent.value.get((d, n), 1) for d, n, x in zip(dim, leaf, at)], dtype="int64")
+
+    return block
+
+
 def _ranked(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best of each query without one row of its own; each query row gets them."""
 
