@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, decontam, licenses, linededup, simhash, topk, toxicity, transcripts, urlrules, warc
+from webloom.llm import bpe, decontam, licenses, linededup, quality, simhash, topk, toxicity, transcripts, urlrules, warc
 from webloom.llm.common import table
 
 
@@ -58,8 +58,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_licenses, op3_urls, op4_topk, op5_linededup, op6_warc, op7_chats, op8_bpe, op9_decontam, op10_simhash]
+    own = [op1_toxicity, op2_licenses, op3_urls, op4_topk, op5_linededup, op6_warc, op7_chats, op8_bpe, op9_decontam, op10_simhash, op13_quality]
     return {f.__name__: f for f in own}
 
 
@@ -144,5 +148,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)"""
 
 
+def _op13_sql() -> str:
+    of = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    blank, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
+    phrases = " OR ".join(f"contains(low, '{x}')" for x in quality.BOILERPLATE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+flat AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+win AS (SELECT r, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS s FROM flat WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, s FROM win WHERE s IS NOT NULL GROUP BY r, s HAVING count(*) > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM win JOIN twice USING (r, s), unnest([0, 1, 2]) AS x(k) GROUP BY r),
+every AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+l AS (SELECT r, line, regexp_extract_all(line, '{word}') AS w, translate(line, {_AZ}) AS low, right(regexp_replace(line, '{blank}+$', ''), 1) AS last,
+  length(line) - length(regexp_replace(line, '{quality.SIGNS}', '', 'g')) AS signs FROM every WHERE regexp_matches(line, '{word}')),
+told AS (SELECT r, line, CASE WHEN signs * 8 > length(line) OR last NOT IN ({of(quality.ENDS)}) AND len(w) >= {quality.LONG_LINE} THEN 'punctuation'
+  WHEN len(list_filter(w, lambda x: x IN ({of(quality.SEPARATORS)}))) >= greatest(2, len(w) / 4.0) OR regexp_matches(low, '{quality.MENU}') AND len(w) <= {quality.MENU_WORDS} THEN 'navigation'
+  WHEN {phrases} THEN 'boilerplate' END AS rule FROM l),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup, count(*) AS n, sum(length(line)) AS chars, sum(length(line)) FILTER (rule IS NOT NULL) AS lost,
+  count(*) FILTER (rule = 'punctuation') AS p, count(*) FILTER (rule = 'navigation') AS v, count(*) FILTER (rule = 'boilerplate') AS b FROM told GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0)::BIGINT AS n_lines, coalesce(chars, 0)::BIGINT AS n_line_chars, coalesce(lost, 0)::BIGINT AS n_lost_chars,
+  coalesce(p, 0)::BIGINT AS n_punctuation, coalesce(v, 0)::BIGINT AS n_navigation, coalesce(b, 0)::BIGINT AS n_boilerplate FROM d LEFT JOIN repeated USING (r) LEFT JOIN lines USING (r))
+SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND 100 * n_lost_chars <= {quality.MOST_LOST} * n_line_chars AS kept FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": _op2_sql(), "op3_urls": OP3_SQL, "op4_topk": OP4_SQL, "op6_warc": OP6_SQL, "op9_decontam": _op9_sql()}
+    return {"op2_licenses": _op2_sql(), "op3_urls": OP3_SQL, "op4_topk": OP4_SQL, "op6_warc": OP6_SQL, "op9_decontam": _op9_sql(), "op13_quality": _op13_sql()}
