@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, decontam, licenses, linededup, quality, simhash, topk, toxicity, transcripts, urlrules, warc
+from webloom.llm import align, bpe, decontam, licenses, linededup, negatives, quality, simhash, topk, toxicity, transcripts, urlrules, warc
 from webloom.llm.common import table
 
 
@@ -58,12 +58,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_licenses, op3_urls, op4_topk, op5_linededup, op6_warc, op7_chats, op8_bpe, op9_decontam, op10_simhash, op13_quality]
+    own = [op1_toxicity, op2_licenses, op3_urls, op4_topk, op5_linededup, op6_warc, op7_chats, op8_bpe, op9_decontam, op10_simhash, op11_negatives, op12_align, op13_quality]
     return {f.__name__: f for f in own}
 
 
@@ -122,6 +130,15 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::B
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS a, c.vec_id AS b, q.label = c.label AS same, list_inner_product(q.e, c.e)::BIGINT AS s FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+p AS (SELECT a, b, s FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY o.s DESC, o.b)::INTEGER AS rank, o.b AS negative_id, p.s AS positive_score, o.s AS negative_score
+  FROM p JOIN pairs o ON o.a = p.a AND NOT o.same AND 50 * p.s <= 100 * o.s AND 100 * o.s <= 95 * p.s)
+SELECT * FROM n WHERE rank <= 3"""
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 o AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS origin FROM p)
@@ -174,4 +191,4 @@ SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": _op2_sql(), "op3_urls": OP3_SQL, "op4_topk": OP4_SQL, "op6_warc": OP6_SQL, "op9_decontam": _op9_sql(), "op13_quality": _op13_sql()}
+    return {"op2_licenses": _op2_sql(), "op3_urls": OP3_SQL, "op4_topk": OP4_SQL, "op6_warc": OP6_SQL, "op9_decontam": _op9_sql(), "op11_negatives": OP11_SQL, "op13_quality": _op13_sql()}
