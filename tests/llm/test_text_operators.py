@@ -175,13 +175,26 @@ def naive_units(text):
     return out
 
 
+def naive_window_hash(words):
+    """The order of windows: polynomials over characters and words, in plain integers."""
+
+    def mixed(h):
+        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) % 2**64
+        return h ^ (h >> 29)
+
+    codes = []
+    for w in words:
+        a, b = (sum((ord(c) + 1) * pow(f, k, 2**31 - 1) for k, c in enumerate(w)) % (2**31 - 1) for f in (0x2F0B4C47, 0x59E3A1B5))
+        codes.append(mixed(a << 31 | b) % (2**61 - 1))
+    return mixed(sum(c * pow(0x1B873593CC9E2D51, k, 2**61 - 1) for k, c in enumerate(codes)) % (2**61 - 1))
+
+
 def naive_windows(text):
     w = [(m[0].lower(), set(range(m.start(), m.end()))) for m in re.finditer(r"\S+", text)]
     each = [(tuple(x for x, _ in w[i : i + 8]), set().union(*(c for _, c in w[i : i + 8]))) for i in range(len(w) - 7)]
     if not each:
         return []
-    # a text of eight words has one window, whose hash orders them
-    h = [int(linededup._pieces([" ".join(x)])[3].view(np.uint64)[-1]) for x, _ in each]
+    h = [naive_window_hash(x) for x, _ in each]
     size = min(linededup.CHOICE, len(h))
     chosen = sorted({k for i in range(len(h) - size + 1) for k in range(i, i + size) if h[k] == min(h[i : i + size])})
     out, last = [], {}
@@ -238,6 +251,20 @@ def test_line_dedup_against_brute_force(spark):
         assert "".join(x for k, x in enumerate(text) if k not in removed) == got[i].text
 
 
+def test_line_dedup_tells_patterns_apart_that_sums_modulo_powers_of_two_do_not(spark):
+    """Complements of the sequence of bit counts cancel out in polynomials modulo 2^64, whatever their odd factor."""
+    odd = [k.bit_count() % 2 for k in range(2048)]
+    for n in (1024, 2048):
+        words = [" ".join(("red", "blue")[x ^ y] for x in odd[:n]) for y in (0, 1)]
+        chars = ["".join("ab"[x ^ y] for x in odd[:n]) for y in (0, 1)]
+        rows = [(1, words[0]), (2, words[1]), (3, f"one.\n{chars[0]}"), (4, f"two.\n{chars[1]}")]
+        row, _, _, h1, h2 = linededup._pieces([*words, *chars])
+        whole = [(a, b) for r in range(4) for a, b in [(h1[row == r][0], h2[row == r][0])]]
+        assert len({a for a, _ in whole}) == len({b for _, b in whole}) == 4
+        got = {r.doc_id: r.text for r in linededup.apply(docs(spark, rows)).collect()}
+        assert got[3] == rows[2][1] and got[4] == rows[3][1]
+
+
 def test_line_dedup_of_a_text_of_megabytes(spark):
     rng = np.random.default_rng(12)
     long = "\n".join(" ".join(f"w{x}" for x in rng.integers(10**6, size=20)) for _ in range(10_000))

@@ -4,7 +4,7 @@ A text's units are its lines, cut further after sentence ends. As a repeated pas
 sentence, windows of ``WINDOW`` words are added, whatever lines and sentences they cross: of each ``CHOICE`` neighbouring
 windows the one with the least hash, so a passage of WINDOW + CHOICE - 1 words always holds a chosen one, and
 at most CHOICE - 1 words at each of its ends lie outside of them. Units and windows are normalised (lower case, runs of
-white space as one blank, no blanks at the ends) and hashed to 96 bits. The digests are grouped over all texts; each
+white space as one blank, no blanks at the ends) and hashed to 96 bits, as polynomials modulo primes with two factors each. The digests are grouped over all texts; each
 keeps its earliest occurrence, ranked by doc_id (null last, by the text's hash), then place in the text. Later
 windows are removed. Consecutive later units of a text form a run, and a run of at least ``MIN_WORDS`` words is removed;
 of shorter ones, whole lines go and pieces of a line stay, as chance repeats of a few words within lines are no copies.
@@ -43,17 +43,43 @@ TOGETHER = 1 << 16
 
 _SPACES = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 _LAST = np.uint64((1 << 64) - 1)
-#: Odd factors: of a word's characters, and twice of a stretch's words.
-_CHARS, _WORDS1, _WORDS2 = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Primes of the hashes of a word's characters and of a stretch's words, and two factors for each.
+_P31, _P61 = (1 << 31) - 1, (1 << 61) - 1
+_CHARS = (0x2F0B4C47, 0x59E3A1B5)
+_WORDS = (0x1B873593CC9E2D51, 0x09E3779B97F4A7C1)
 #: Keep the hashes of units and windows apart.
 _UNIT, _WIN = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0)
 
 
-@functools.lru_cache(maxsize=12)
-def _powers(factor: int, size: int) -> np.ndarray:
-    out = np.full(size, factor, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _times31(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^31 - 1, but for a multiple of it; of numbers below 2^32."""
+    x = a * b
+    return (x & np.uint64(_P31)) + (x >> np.uint64(31))
+
+
+def _times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, but for a multiple of it; of numbers little above it at most, by their halves."""
+    low, s = np.uint64(_P31), np.uint64(31)
+    a1, a0, b1, b0 = a >> s, a & low, b >> s, b & low
+    mid = a0 * b1
+    mid += a1 * b0
+    a1 *= b1
+    a1 += a1
+    a1 += mid >> np.uint64(30)
+    mid &= np.uint64((1 << 30) - 1)
+    mid <<= s
+    a1 += mid
+    a0 *= b0
+    a1 += a0
+    return (a1 & np.uint64(_P61)) + (a1 >> np.uint64(61))
+
+
+@functools.lru_cache(maxsize=24)
+def _powers(factor: int, size: int, prime: int) -> np.ndarray:
+    out, times = np.ones(1, np.uint64), _times31 if prime == _P31 else _times61
+    while len(out) < size:
+        out = np.concatenate([out, times(out, np.full(len(out), pow(factor, len(out), prime), np.uint64)) % np.uint64(prime)])
+    return out
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -62,16 +88,30 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class _Sums:
-    """Hashes of stretches of a sequence as polynomials, from running sums."""
+    """Hashes of stretches of a sequence as polynomials modulo a prime, from running sums; values below the prime.
+
+    Two different stretches of n values share a hash for at most n of the prime's factors, whatever their pattern; modulo a power of two, some patterns would for all.
+    """
 
-    def __init__(self, values: np.ndarray, factor: int):
-        self.room = 1 << max(16, len(values).bit_length())
-        self.back = pow(factor, -1, 1 << 64)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _powers(factor, self.room)[: len(values)], out=self.sums[1:])
+    def __init__(self, values: np.ndarray, factor: int, prime: int):
+        self.prime, self.room = np.uint64(prime), 1 << max(16, len(values).bit_length())
+        self.back = pow(factor, -1, prime)
+        self.times = _times31 if prime == _P31 else _times61
+        terms = self.times(values, _powers(factor, self.room, prime)[: len(values)])
+        # sums of halves stay in range; they are brought below the prime where they are needed
+        self.low, self.high = np.zeros(len(values) + 1, np.uint64), None
+        if prime == _P61:
+            self.high = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(terms >> np.uint64(31), out=self.high[1:])
+            terms &= np.uint64(_P31)
+        np.cumsum(terms, out=self.low[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * _powers(self.back, self.room)[start]
+        x = self.low[end] - self.low[start]
+        if self.high is not None:
+            high = self.high[end] - self.high[start]
+            x += (high >> np.uint64(30)) + ((high & np.uint64((1 << 30) - 1)) << np.uint64(31))
+        return self.times(x % self.prime, _powers(self.back, self.room, int(self.prime))[start]) % self.prime
 
 
 def _tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,8 +186,9 @@ def _pieces(texts: list[str]) -> tuple[np.ndarray, ...]:
     low = joined.lower()
     # small letters may take more characters
     lows, low_start, low_end = (chars, start, end) if low == joined else _tokens(low)
-    code = _mixed(_Sums(lows + np.uint64(1), _CHARS).of(low_start, low_end))
-    one, two = _Sums(code, _WORDS1), _Sums(code, _WORDS2)
+    high, rest = (_Sums(lows.astype(np.uint64) + np.uint64(1), f, _P31).of(low_start, low_end) for f in _CHARS)
+    code = _mixed(high << np.uint64(31) | rest) % np.uint64(_P61)
+    one, two = (_Sums(code, f, _P61) for f in _WORDS)
 
     def digests(a: np.ndarray, b: np.ndarray, kind: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         return _mixed(one.of(a, b) ^ kind), _mixed(two.of(a, b) ^ kind) >> np.uint64(32)
