@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom import queries_audit, queries_cases, queries_more
+from webloom import queries_audit, queries_cases, queries_deep, queries_more
 from webloom.functions import scalars, urls
 from webloom.operators import aggregates as agg
 from webloom.operators import graph, joins, rankings, rules
@@ -508,6 +508,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries_audit.title_issues(spark, sf_dir)
 
 
-for _more in (queries_audit, queries_cases, queries_more):
+for _more in (queries_audit, queries_cases, queries_deep, queries_more):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL
