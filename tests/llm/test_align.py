@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from webloom.llm import align
@@ -109,16 +110,17 @@ def test_digests_are_those_of_the_plain_version(spark, plain, most):
     assert align.digests(docs(spark, []), most=most).count() == 0
 
 
-def test_units_remembered_or_not_give_the_same(spark, plain, monkeypatch):
+def test_ids_and_ends_are_those_of_both_libraries(plain):
     pair = align._Pair(*align.models())
-    monkeypatch.setattr(align, "REMEMBERED", 3)
-    monkeypatch.setattr(align, "LONG_UNIT", 4)
-    for _ in range(2):
-        for _, t in CASES:
-            a, ends_a, b, ends_b = (x.tolist() for x in pair.encode(t))
-            want_a, want_b = plain(t)
-            assert a == [i for i, _ in want_a] and b == [i for i, _ in want_b]
-            assert ends_a == [e for *_, e in spans(want_a)] and ends_b == [e for *_, e in spans(want_b)]
+    rng = np.random.default_rng(2)
+    # letters, digits, marks, blanks and unassigned characters of all planes
+    points = [c for c in [*range(0x3400), *rng.integers(0x3400, 0x110000, 4000).tolist()] if not 0xD800 <= c < 0xE000]
+    odd = ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)} " for c in points[i : i + 200]) for i in range(0, len(points), 200)]
+    for t in [t for _, t in CASES] + odd:
+        a, ends_a, b, ends_b = (x.tolist() for x in pair.encode(t))
+        want_a, want_b = plain(t)
+        assert a == [i for i, _ in want_a] and b == [i for i, _ in want_b]
+        assert ends_a == [e for *_, e in spans(want_a)] and ends_b == [e for *_, e in spans(want_b)]
 
 
 def test_groups_and_links_of_each_row(spark, plain):

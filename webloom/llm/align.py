@@ -1,11 +1,9 @@
 """Cross-tokenizer alignment: two tokenizers' tokens of the same text, cut into groups and linked where they overlap.
 
-Python only tokenises: A, byte-level BPE, encodes a space and the text; B, byte-pair pieces with byte fallback, encodes the text, before which it puts the
-space itself. Each token's end is the number of bytes up to it. All that follows is Spark's array functions: ``array_intersect`` of the two end arrays gives
-the cuts, places of ends among each other come from sorting both together (``_below``), and ``transform`` and ``sequence`` build groups and links from these.
-
-Tokenisers work on units: stretches between two single spaces with plain characters on both sides. No token of either reaches over such a space (A's split begins
-a piece at it, no piece of B has a space after another character; ``_Pair`` tests that), so a unit is encoded once for a worker and remembered.
+Python only tokenises, whole texts at a time: A, byte-level BPE, encodes a space and the text; B, byte-pair pieces with byte fallback, encodes the text, before
+which it puts the space itself. A's file is that of the tokenizers library; tiktoken, which takes its vocabulary as ranks, gives the same ids in a fourth of the time (compared
+for every code point). Each token's end is the number of bytes up to it. All that follows is Spark's array functions: ``array_intersect`` of the two end arrays gives the cuts,
+places of ends among each other come from sorting both together (``_below``), and ``transform`` and ``sequence`` build groups and links from these.
 
 Null and empty texts have no tokens, nor have texts whose joined bytes differ from the space and the text in either (B turns U+2581 into a space): zeros, and an
 empty string for the groups. Repeated rows each get their row and each count as a document; rows of null key take part. Texts are taken whole; very long
@@ -17,6 +15,7 @@ Counts of id pairs are made over all documents and kept in the shared folder. Up
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,108 +28,64 @@ from webloom.llm.common import lean, worker_cache, written
 from webloom.operators.rules import let
 
 BROADCAST = 1_000_000
-#: Distinct units that a worker remembers; it forgets all when they are more. Longer units aren't remembered.
-REMEMBERED = 200_000
-LONG_UNIT = 64
 #: Bytes of text whose tokens are handed back together.
 PART_BYTES = 256 << 10
 _SPACE = "▁"
 
 
-def _bytes_of_a(tokens: dict[str, int]) -> list[bytes]:
-    from webloom.llm.bpe import byte_characters
-
-    back = {c: b for b, c in enumerate(byte_characters())}
-    out = [b""] * (max(tokens.values(), default=-1) + 1)
-    for token, i in tokens.items():
-        out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-    return out
-
-
 class _Pair:
     """Both tokenizers, made on a worker from what the driver sends."""
 
-    def __init__(self, a: str, b: bytes):
+    def __init__(self, a: str, b: bytes, pattern: str):
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_str(a)
-        self.a.encode_special_tokens = True
+        import tiktoken
+
+        from webloom.llm.bpe import byte_characters
+
+        spec = json.loads(a)
+        model = spec["model"]
+        back = {c: n for n, c in enumerate(byte_characters())}
+        made = {t: i for t, i in model["vocab"].items() if all(c in back for c in t) and t not in {x["content"] for x in spec["added_tokens"]}}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        order = [made["".join(m)] for m in pairs]
+        if order != sorted(order):
+            raise ValueError("A's ids aren't in the order of its merges")
+        ranks = {bytes(back[c] for c in t): i for t, i in made.items()}
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        self.bytes_a = _bytes_of_a(self.a.get_vocab())
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.bytes_a[i] = t
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        byte = [self.b.is_byte(i) for i in range(len(pieces))]
-        self.bytes_b = [bytes([int(p[3:-1], 16)]) if is_byte else p.replace(_SPACE, " ").encode() for p, is_byte in zip(pieces, byte)]
-        if any(_SPACE in p.lstrip(_SPACE) for p in pieces):
-            raise ValueError("a piece of B has a space after another character")
-        self.known: dict[str, tuple] = {}
-
-    def units(self, text: str) -> list[str]:
-        """The text cut at single spaces between plain characters; joined by spaces they are the text."""
-        parts = text.split(" ")
-        if all(p in self.known for p in parts):
-            return parts
-        plain = lambda c: "!" <= c <= "~" or c.isalpha()
-        if all(p and plain(p[0]) and plain(p[-1]) for p in parts):
-            return parts
-        out = [parts[0]]
-        for p in parts[1:]:
-            if out[-1] and plain(out[-1][-1]) and p and plain(p[0]):
-                out.append(p)
-            else:
-                out[-1] += " " + p
-        return out
-
-    def learn(self, units: list[str]) -> list[tuple]:
-        """(ids of A, their bytes' numbers, ids of B, theirs, whether all bytes are right) of each unit, arrays as bytes."""
-        known = self.known
-        try:
-            return [known[u] for u in units]
-        except KeyError:
-            pass
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(units))
-        got = {}
-        of = lambda n: np.array(n, "<i4").tobytes()
-        for u, a, b in zip(new, self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False), self.b.encode(new, num_threads=1)):
-            bytes_a, bytes_b, want = [self.bytes_a[i] for i in a.ids], [self.bytes_b[i] for i in b], (" " + u).encode("utf-8", "replace")
-            got[u] = (of(a.ids), of([*map(len, bytes_a)]), of(b), of([*map(len, bytes_b)]), b"".join(bytes_a) == want == b"".join(bytes_b))
-        known.update((u, x) for u, x in got.items() if len(u) <= LONG_UNIT)
-        return [got[u] if u in got else known[u] for u in units]
+        self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array([*map(len, x)], np.int32) for x in (self.bytes_a, self.bytes_b))
 
     def encode(self, text: str | None) -> list[np.ndarray]:
         """ids and ends of A, ids and ends of B; empty where there are no tokens."""
-        none = [np.empty(0, np.int32)] * 4
         if not text:
-            return none
-        units = self.learn(self.units(text))
-        a, na, b, nb = (np.frombuffer(b"".join([u[k] for u in units]), "<i4") for k in range(4))
-        if not all(u[4] for u in units):
-            want = (" " + text).encode("utf-8", "replace")
-            if b"".join([self.bytes_a[i] for i in a.tolist()]) != want or b"".join([self.bytes_b[i] for i in b.tolist()]) != want:
-                return none
-        return [a, np.cumsum(na, dtype=np.int32), b, np.cumsum(nb, dtype=np.int32)]
+            return [np.empty(0, np.int32)] * 4
+        a, b, want = self.a.encode_ordinary(" " + text), self.b.encode(text), (" " + text).encode("utf-8", "replace")
+        if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
+            return [np.empty(0, np.int32)] * 4
+        a, b = np.array(a, np.int32), np.array(b, np.int32)
+        return [a, np.cumsum(self.sizes_a[a], dtype=np.int32), b, np.cumsum(self.sizes_b[b], dtype=np.int32)]
 
 
 def _pair(sent) -> _Pair:
-    kept, (a, b) = worker_cache(), sent.value
-    name = hashlib.sha256(a.encode() + b).digest()
+    kept, (a, b, pattern) = worker_cache(), sent.value
+    name = hashlib.sha256(a.encode() + b + pattern.encode()).digest()
     if name not in kept:
         kept.clear()
-        kept[name] = _Pair(a, b)
+        kept[name] = _Pair(a, b, pattern)
     return kept[name]
 
 
-def models(a: str | None = None, b: str | None = None) -> tuple[str, bytes]:
-    """The files of both tokenizers."""
-    if a is None or b is None:
-        import public_tokenizers
+def models(a: str | None = None, b: str | None = None) -> tuple[str, bytes, str]:
+    """The files of both tokenizers, and the pattern by which A cuts a text."""
+    import public_tokenizers
 
-        a, b = a or public_tokenizers.path("byte_bpe_50k.json"), b or public_tokenizers.path("piece_bpe_32k.model")
-    with open(a, encoding="utf-8") as f, open(b, "rb") as g:
-        return f.read(), g.read()
+    with open(a or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, open(b or public_tokenizers.path("piece_bpe_32k.model"), "rb") as g:
+        return f.read(), g.read(), public_tokenizers.PATTERN
 
 
 def tokens(docs: DataFrame, a: str | None = None, b: str | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -174,8 +129,9 @@ def _below(xs: Column, ys: Column) -> Column:
     return F.transform(places, lambda k, i: k - i)
 
 
-def _before(array: Column, i: Column, default: int) -> Column:
-    return F.coalesce(F.get(array, i - 1), F.lit(default))
+def lets(values: list[Column], use) -> Column:
+    """``use`` of several values, each read once: arrays of a row would be looked up anew for each element of another."""
+    return let(values[0], lambda x: use(x) if len(values) == 1 else lets(values[1:], lambda *more: use(x, *more)))
 
 
 def link(a: Column, b: Column) -> Column:
@@ -184,54 +140,62 @@ def link(a: Column, b: Column) -> Column:
 
 
 def aligned(df: DataFrame) -> DataFrame:
-    """Adds to ids and ends: reach (for each token of A the place of B's last token that overlaps it), ga and gb (last places of A and B in each group)."""
-    cuts = F.array_intersect("ends_a", "ends_b")
-    df = df.withColumn("got", let(_below(F.col("ends_b"), F.col("ends_a")), lambda r: F.struct(r.alias("reach"), _below(F.col("ends_a"), cuts).alias("ga"))))
-    return df.withColumn("got", let(F.col("got"), lambda g: F.struct(g["reach"].alias("reach"), g["ga"].alias("ga"), F.transform(g["ga"], lambda i: F.get(g["reach"], i)).alias("gb"))))
+    """Adds to ids and ends: n_groups and, in ``got``, reach (for each token of A the place of B's token that holds its last byte), closes (whether both end there) and ga (the last places of A in each group)."""
+    a, b = F.col("ends_a"), F.col("ends_b")
+    last = lambda c: F.filter(F.transform(c, lambda x, i: F.when(x, i).otherwise(-1)), lambda i: i >= 0)
+    parts = lambda r, c: F.struct(r.alias("reach"), c.alias("closes"), last(c).alias("ga"))
+    got = lets([a, b, _below(b, a)], lambda a, b, r: let(F.transform(r, lambda x, i: F.get(b, x) == F.get(a, i)), lambda c: parts(r, c)))
+    return df.withColumns({"got": got, "n_groups": F.size(F.array_intersect("ends_a", "ends_b")).cast("long")})
 
 
-def groups_text(a: Column, b: Column, ga: Column, gb: Column) -> Column:
+def groups_text(a: Column, b: Column, reach: Column, ga: Column) -> Column:
     """``a1,a2|b1;a3|b2,b3``: the ids of A and B in each group, in order."""
 
-    def text(sa: Column, sb: Column) -> Column:
-        part = lambda s, ends, g: let(_before(ends, g, -1), lambda lo: F.array_join(F.slice(s, lo + 2, F.get(ends, g) - lo), ","))
-        return F.array_join(F.transform(ga, lambda _, g: F.concat(part(sa, ga, g), F.lit("|"), part(sb, gb, g))), ";")
+    def part(s: Column, lo: Column, hi: Column) -> Column:
+        return F.when(hi - lo == 1, F.get(s, hi)).otherwise(F.array_join(F.slice(s, lo + 2, hi - lo), ","))
+
+    def text(sa: Column, sb: Column, reach: Column, ga: Column) -> Column:
+        before = lambda g: F.coalesce(F.get(ga, g - 1), F.lit(-1))
+        own = lambda x, g: F.concat(part(sa, before(g), x), F.lit("|"), part(sb, F.coalesce(F.get(reach, before(g)), F.lit(-1)), F.get(reach, x)))
+        return F.array_join(F.transform(ga, own), ";")
 
-    return let(a.cast("array<string>"), lambda sa: let(b.cast("array<string>"), lambda sb: text(sa, sb)))
+    return lets([a.cast("array<string>"), b.cast("array<string>"), reach, ga], text)
 
 
-def links_of(a: Column, ends_a: Column, b: Column, ends_b: Column, reach: Column) -> Column:
+def links_of(a: Column, b: Column, reach: Column, closes: Column) -> Column:
     """All overlapping pairs of token occurrences, as ``link``, in order."""
 
-    def of(i: Column, last: Column) -> Column:
+    def every(a: Column, b: Column, reach: Column, closes: Column) -> Column:
+        one = lambda i, j: link(F.get(a, i), F.get(b, j))
         # B's token that reaches up to this one's start, or the next if it ends there
-        first = let(_before(reach, i, -1), lambda p: p + F.when(F.coalesce(F.get(ends_b, p) == F.get(ends_a, i - 1), F.lit(True)), 1).otherwise(0))
-        return F.transform(F.sequence(first, last), lambda j: link(F.get(a, i), F.get(b, j)))
+        first = lambda i: F.coalesce(F.get(reach, i - 1) + F.when(F.get(closes, i - 1), 1).otherwise(0), F.lit(0))
+        return F.flatten(F.transform(reach, lambda last, i: F.when(first(i) == last, F.array(one(i, last))).otherwise(F.transform(F.sequence(first(i), last), lambda j: one(i, j)))))
 
-    return F.flatten(F.transform(reach, lambda last, i: of(i, last)))
+    return lets([a, b, reach, closes], every)
 
 
 def align(docs: DataFrame, a: str | None = None, b: str | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key, a, ends_a, b, ends_b, groups (from and to places of A and B, inclusive) and links (a, b) of each row."""
     got = aligned(tokens(docs, a, b, key, column))
-    ga, gb = F.col("got.ga"), F.col("got.gb")
-    group = F.transform(ga, lambda x, g: F.struct((_before(ga, g, -1) + 1).alias("from_a"), x.alias("to_a"), (_before(gb, g, -1) + 1).alias("from_b"), F.get(gb, g).alias("to_b")))
-    links = F.transform(links_of(F.col("a"), F.col("ends_a"), F.col("b"), F.col("ends_b"), F.col("got.reach")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("a"), x.bitwiseAND(0x7FFFFFFF).cast("int").alias("b")))
+    ga, reach = F.col("got.ga"), F.col("got.reach")
+    before = lambda g: F.coalesce(F.get(ga, g - 1), F.lit(-1))
+    group = F.transform(ga, lambda x, g: F.struct((before(g) + 1).alias("from_a"), x.alias("to_a"), (F.coalesce(F.get(reach, before(g)), F.lit(-1)) + 1).alias("from_b"), F.get(reach, x).alias("to_b")))
+    links = F.transform(links_of(F.col("a"), F.col("b"), reach, F.col("got.closes")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("a"), x.bitwiseAND(0x7FFFFFFF).cast("int").alias("b")))
     return got.select(key, "a", "ends_a", "b", "ends_b", group.alias("groups"), links.alias("links"))
 
 
 def digests(docs: DataFrame, a: str | None = None, b: str | None = None, key: str = "doc_id", column: str = "text", most: int = BROADCAST) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row."""
     got = aligned(tokens(docs, a, b, key, column).withColumnRenamed(key, "key"))
-    text = groups_text(F.col("a"), F.col("b"), F.col("got.ga"), F.col("got.gb"))
+    text = groups_text(F.col("a"), F.col("b"), F.col("got.reach"), F.col("got.ga"))
     got = got.select(
         F.monotonically_increasing_id().alias("row"),
         "key",
         F.size("a").cast("long").alias("n_a"),
         F.size("b").cast("long").alias("n_b"),
-        F.size("got.ga").cast("long").alias("n_groups"),
+        "n_groups",
         F.when(F.size("a") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"),
-        links_of(F.col("a"), F.col("ends_a"), F.col("b"), F.col("ends_b"), F.col("got.reach")).alias("links"),
+        links_of(F.col("a"), F.col("b"), F.col("got.reach"), F.col("got.closes")).alias("links"),
     )
     got = written(got, "links")
     counts = written(got.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count("*").alias("n")), "pairs")
