@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.operators import domains
+from webloom.operators import domains, graph, joins, mentions, search
 
 
 def naive_split(host, rules):
@@ -50,3 +50,60 @@ def test_suffix_files_and_hosts(spark, tmp_path):
     assert name(every)[1] == "me.github.io"
     inside = domains.with_internal(rows, "url", "shop.co.uk", official, allowlist=["blog"]).orderBy("id").collect()
     assert [r.internal for r in inside] == [True, False, False, False, False, False]
+
+
+def answers(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "pos int, answer_text string")
+
+
+@pytest.mark.parametrize("list_bytes", [mentions.LIST_BYTES, 60])
+def test_mentions_are_those_of_each_brand_alone(spark, list_bytes):
+    names = ["Amazing Group AB", "amazing", "The Of AB", "of", "Übermut GmbH", "he", "she", "hers", None, "", "of"]
+    texts = ["An AMAZING group, hers", "übermut of the", None, "", "x" * 100_000 + "she", "nothing", "An AMAZING group, hers"]
+    brands = spark.createDataFrame([(x,) for x in names], "brand string")
+    got = mentions.found(answers(spark, texts), brands, list_bytes=list_bytes)
+    want = joins.mentions(answers(spark, texts), brands.where("brand <> ''")).where("mentioned").drop("mentioned")
+    assert got.columns == ["pos", "answer_text", "brand"]
+    assert sorted((r.pos, r.brand) for r in got.collect()) == sorted((r.pos, r.brand) for r in want.collect())
+    assert mentions.found(answers(spark, []), brands).count() == 0 and mentions.found(answers(spark, texts), brands.limit(0)).count() == 0
+
+
+def test_mentions_of_fifty_thousand_brands(spark):
+    brands = spark.range(50_000).selectExpr("concat('brand', id, 'x') AS brand")
+    texts = [f"brand{k}x and brand{7 * k}x" for k in range(0, 20_000, 10)]
+    got = {r.brand: r.answers for r in mentions.counts(answers(spark, texts), brands).collect()}
+    want = {}
+    for k in range(0, 20_000, 10):
+        for n in {k, 7 * k}:
+            if n < 50_000:
+                want[f"brand{n}x"] = want.get(f"brand{n}x", 0) + 1
+    assert got == want
+
+
+def test_trigram_search_finds_what_a_scan_finds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abAé ß🎉"), rng.integers(0, 30))) for _ in range(200)] + [None, "", "ab", "a" * 50_000 + "needle"]
+    rows = spark.createDataFrame([(i % 190, t, "k") for i, t in enumerate(texts)], "id int, text string, key string")
+    index = search.Trigrams(rows, "id", "text", folders=8)
+    for bound in (search.BROADCAST, 0):
+        monkeypatch.setattr(search, "BROADCAST", bound)
+        for needle in ("", "a", "ab", "aba", "AÉß", "ab a", "🎉a", "needle", "zzz", "aaaaaaa"):
+            got = sorted(map(repr, index.search(needle).collect()))
+            assert got == sorted(map(repr, rows.where(F.contains(F.lower("text"), F.lit(needle.lower()))).collect())), needle
+    plan = index.candidates("needle")[0]._jdf.queryExecution().executedPlan().toString()
+    assert "folder#" in plan.split("PartitionFilters: [")[1].split("]")[0]  # other folders aren't read
+    assert search.Trigrams(rows.limit(0), "id", "text").search("abc").count() == 0
+
+
+def test_redirects_of_a_thousand_hops_take_few_joins(spark, monkeypatch):
+    rounds = []
+    kept = graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df: rounds.append(1) or kept(df))
+    chain = [(f"a{k:04}", f"a{k + 1:04}") for k in range(1000)]
+    loops = [("x", "y"), ("y", "z"), ("z", "y"), ("s", "s"), ("into", "x"), ("two", "b"), ("two", "a0999"), (None, "q"), ("end", None)]
+    got = {r.url: (r.final_url, r.hops, r.looped) for r in graph.resolved_redirects(spark.createDataFrame(chain + loops, "url string, location string")).collect()}
+    assert len(rounds) <= 13
+    assert all(got[a] == ("a1000", 1000 - int(a[1:]), False) for a, _ in chain)
+    assert {k: got[k] for k in ("x", "y", "z", "s", "into")} == dict.fromkeys(("x", "y", "z", "s", "into"), (None, None, True))
+    assert got["two"] == ("a1000", 2, False) and "end" not in got
+    assert graph.resolved_redirects(spark.createDataFrame([], "url string, location string")).count() == 0

@@ -154,21 +154,22 @@ def naive_rank(nodes, edges, p, iterations):
     return pr
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_page_rank(spark, bound):
+@pytest.mark.parametrize("together", [1, 3])
+def test_page_rank(spark, monkeypatch, together):
+    monkeypatch.setattr(graph.Ranks.__init__, "__defaults__", (*graph.Ranks.__init__.__defaults__[:-1], together))
     nodes = [str(k) for k in range(8)]
     rng = np.random.default_rng(5)
     edges = [(str(a), str(b)) for a, b in rng.integers(0, 9, (20, 2)) if a != 3]
     n = spark.createDataFrame([(x,) for x in nodes], "node string")
     e = spark.createDataFrame(edges, "src string, dst string")
-    got = {r.node: r["rank"] for r in graph.pagerank(n, e, iterations=4, in_one_task=bound).collect()}
-    want = naive_rank(nodes, edges, dict.fromkeys(nodes, 1 / 8), 4)
+    got = {r.node: r["rank"] for r in graph.pagerank(n, e, iterations=3).collect()}
+    want = naive_rank(nodes, edges, dict.fromkeys(nodes, 1 / 8), 3)
     assert all(abs(got[k] - want[k]) < 1e-12 for k in nodes) and abs(sum(got.values()) - 1) < 1e-9
     authority = spark.createDataFrame([("1", 10.0), ("2", 5.0)], "node string, authority double")
     raw = {k: 0.7 / 8 + 0.3 * {"1": 1.0, "2": 0.5}.get(k, 0.0) for k in nodes}
     p = {k: v / sum(raw.values()) for k, v in raw.items()}
-    want = naive_rank(nodes, edges, p, 4)
-    ipr = {r.node: r.ipr for r in graph.internal_pagerank(n, e, authority, iterations=4, in_one_task=bound).collect()}
+    want = naive_rank(nodes, edges, p, 3)
+    ipr = {r.node: r.ipr for r in graph.internal_pagerank(n, e, authority, iterations=3).collect()}
     assert all(abs(ipr[k] - want[k] * 10 / max(want.values())) < 1e-4 for k in nodes)
 
 
@@ -191,12 +192,42 @@ def test_rank_queries_read_all_edges(spark, tmp_path):
     assert plan == {"5": {b for a, b in edges if a == "5"}}
 
 
+def tables_of_edges(spark):
+    return [t.name for t in spark.catalog.listTables() if t.name.startswith("webloom_edges")]
+
+
+@pytest.mark.parametrize("few", [200, 0])
+def test_differences_of_edits_are_those_of_full_ranks(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "SMALL", few)
+    rng = np.random.default_rng(8)
+    nodes = [f"n{k}" for k in range(12)]
+    edges = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 13, (24, 2)) if a not in (3, 4)]
+    n, e = spark.createDataFrame([(x,) for x in nodes], "node string"), spark.createDataFrame(edges, "src string, dst string")
+    # a node without edges gets some, one loses all, some targets are unknown or the source itself
+    more = [("n3", "n0"), ("n3", "n5"), ("n1", "n7"), ("n1", "n1"), ("n2", "unknown"), ("n99", "n1"), edges[0]]
+    gone = [x for x in edges if x[0] == edges[1][0]] + [edges[5], ("n7", "n98")]
+    added, removed = (spark.createDataFrame(x, "src string, dst string") for x in (more, gone))
+    p = dict.fromkeys(nodes, 1 / 12)
+    want = naive_rank(nodes, [x for x in {*edges, *more} if x not in gone], p, 7)
+    own = graph.Ranks(n, e, iterations=7)
+    plans = {r.node: r["rank"] for r in own.after(added, removed).collect()}
+    assert plans == {k: pytest.approx(want[k], abs=1e-12) for k in nodes}
+    for a, b in ((added, None), (None, None)):
+        want = naive_rank(nodes, [x for x in {*edges, *(more if a else [])} if b is None or x not in gone], p, 7)
+        assert {r.node: r["rank"] for r in own.after(a, b).collect()} == {k: pytest.approx(want[k], abs=1e-12) for k in nodes}
+    plan = own._flow(own.shares.select("node", F.lit(1.0).alias("x")), own.edges)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.index("Exchange") > plan.index("Bucketed: true")  # the edges stay where they lie
+    own.close()
+    assert tables_of_edges(spark) == []
+
+
 def test_what_if_and_plan(spark):
     n = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     more = spark.createDataFrame([("a", "c"), ("a", "a")], "src string, dst string")
-    got = {r.url: r.delta for r in graph.what_if(n, e, added=more, iterations=20).collect()}
-    assert got["b"] < 0
+    got = {r.url: r.delta for r in graph.what_if(n, e, added=more, iterations=5).collect()}
+    assert got["b"] < 0 and tables_of_edges(spark) == []
     plan = graph.link_plan(e, graph.edit_edges(e, more, e.where("src = 'b'"))).collect()
     assert {(r.src, r.added, r.removed) for r in plan} == {("a", "c", None), ("b", None, "c")}
 

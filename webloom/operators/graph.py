@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import strip_slashes
 from webloom.operators.joins import score_delta
-from webloom.sources.shared import keep
+from webloom.sources.shared import discard, fresh_dir, keep
 
 DAMPING = 0.85
 ITERATIONS = 50
 AUTHORITY_SHARE = 0.3
-#: Nodes and edges of a graph that one task may hold.
-IN_ONE_TASK = 1_000_000
+#: Rounds that are one job.
+TOGETHER = 4
+#: Edges of a bucket, and how many buckets Spark allows.
+BUCKET, MOST_BUCKETS = 500_000, 100_000
+#: Sources whose edges are read by their buckets alone; edited sources that are broadcast, of some 60 bytes each.
+FEW, SMALL = 200, 200_000
 
 
 def build(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,46 +96,133 @@ def teleport(nodes: DataFrame, authority: DataFrame | None = None) -> DataFrame:
     return raw.select("node", (F.col("p") / total).alias("p"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS, in_one_task: int = IN_ONE_TASK) -> DataFrame:
-    """(node, rank): power iteration; the mass of nodes without edges is dealt out by the teleport vector.
+class Ranks:
+    """Power iteration over stored edges, with what it takes to tell what an edit of the edges changes.
 
-    A graph of up to ``in_one_task`` nodes and edges is ranked by one task. A larger one goes round by round: a
-    shuffle for the contributions and one for the ranks, each round's table kept.
+    Edges (src, dst, w = damping / out-degree) are stored once, bucketed and sorted by src; a round joins them where they lie with the shares that come in, so
+    only sums of shares are shuffled, once a round. With x_0 the teleport vector p and x_k = w x_(k-1), and the mass of nodes without edges dealt out by p,
+    the ranks of round t are r_t = c_(t-1) x_0 + ... + c_0 x_(t-1) + x_t, where c_t makes their sum one: c_t = 1 - (c_(t-1) s_1 + ... + c_0 s_t + s_(t+1)), s_k the sum of
+    x_k. So no round waits for a sum over all nodes; ``together`` rounds are one job, whose tables go to the shared folder. The graph's size changes no plan.
     """
-    nodes = keep(nodes.select("node").distinct())
-    edges = simple_edges(nodes, edges)
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    edges = keep(edges.join(degree, "src"))
-    base = keep(teleport(nodes) if personal is None else personal)
-    if nodes.count() + edges.count() <= in_one_task:
-        return keep(_pagerank_in_one_task(base, edges, damping, iterations))
-    fixed = keep(base.join(degree.withColumnRenamed("src", "node"), "node", "left"))
-    ranks = fixed.select("node", "p", "degree", F.col("p").alias("rank"))
-    for _ in range(iterations):
-        lost = ranks.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        flow = edges.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
-        rank = (1 - damping) * F.col("p") + damping * (F.col("lost") * F.col("p") + F.coalesce("flow", F.lit(0.0)))
-        ranks = keep(fixed.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", "p", "degree", rank.alias("rank")))  # lost is one row
-    return ranks.select("node", "rank")
-
-
-def _pagerank_in_one_task(base: DataFrame, edges: DataFrame, damping: float, iterations: int) -> DataFrame:
-    nothing = F.lit(None)
-    rows = base.select(F.col("node").cast("string").alias("src"), nothing.cast("string").alias("dst"), "p").unionByName(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), nothing.cast("double").alias("p")))
-
-    def run(_key, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["p"].notna()].sort_values("src")
-        place = {n: i for i, n in enumerate(own["src"])}
-        links = rows[rows["p"].isna()]
-        src, dst = (links[c].map(place).to_numpy(np.int64) for c in ("src", "dst"))
-        p, degree = own["p"].to_numpy(), np.bincount(src, minlength=len(place))
-        rank, open_ = p.copy(), degree == 0
-        for _ in range(iterations):
-            flow = np.bincount(dst, rank[src] / degree[src], len(place))
-            rank = (1 - damping) * p + damping * (rank[open_].sum() * p + flow)
-        return pd.DataFrame({"node": own["src"].to_numpy(), "rank": rank})
-
-    return rows.groupBy(F.lit(1).alias("one")).applyInPandas(run, "node string, rank double")
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS, together: int = TOGETHER):
+        self.spark, self.damping, self.iterations, self.together = nodes.sparkSession, damping, iterations, together
+        self.nodes = keep(nodes.select("node").distinct())
+        plain = keep(simple_edges(self.nodes, edges))
+        # rounds have as many partitions as the edges have buckets: nothing to plan anew while they run
+        buckets = min(MOST_BUCKETS, 1 + plain.count() // BUCKET)
+        self.fixed = self.spark.newSession()
+        for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", str(buckets))):
+            self.fixed.conf.set(key, value)
+        self.name, self.path = f"webloom_edges_{uuid.uuid4().hex}", fresh_dir(self.spark, "edges")
+        weighted(plain, damping).repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src").option("path", self.path).saveAsTable(self.name)
+        self.edges = self.spark.table(self.name)
+        start = self._stored((teleport(self.nodes) if personal is None else personal).select("node", F.col("p").alias("x")))
+        self.shares = self._by_node(self._rounds(start))
+
+    def _stored(self, df: DataFrame) -> DataFrame:
+        """The table in the shared folder, for rounds."""
+        path = fresh_dir(self.spark, "round")
+        df.write.parquet(path)
+        return self.fixed.read.parquet(path)
+
+    def _by_node(self, rounds: DataFrame) -> DataFrame:
+        """(node, x): a map from round to share."""
+        path = fresh_dir(self.spark, "shares")
+        rounds.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("x")).write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _flow(self, x: DataFrame, edges: DataFrame) -> DataFrame:
+        # hashed where the edges lie: they are never sorted, sent or held
+        return edges.join(x.select(F.col("node").alias("src"), "x").hint("shuffle_hash"), "src").select(F.col("dst").alias("node"), (F.col("x") * F.col("w")).alias("x"))
+
+    def _rounds(self, start: DataFrame) -> DataFrame:
+        """(node, k, x) of all rounds from 0 on."""
+        tables, x, edges = [start.select("node", F.lit(0).alias("k"), "x")], start, self.fixed.table(self.name)
+        for first in range(1, self.iterations + 1, self.together):
+            last, own = min(first + self.together, self.iterations + 1) - 1, []
+            for k in range(first, last + 1):
+                x = self._flow(x, edges).groupBy("node").agg(F.sum("x").alias("x"))
+                own.append(x.withColumn("k", F.lit(k)))
+            tables.append(self._stored(_union(own).select("node", "k", "x")))  # a round's exchange is made once, and read again for the next
+            x = tables[-1].where(F.col("k") == last).select("node", "x")
+        return _union(tables)
+
+    def _differences(self, change: DataFrame, comes: DataFrame, least: float) -> DataFrame:
+        """(node, k, x): what an edit makes of the shares, from round 1 on."""
+        tables: list[DataFrame] = []
+        edges, few = self.fixed.table(self.name), True
+        for k in range(1, self.iterations + 1):
+            flow = comes.where(F.col("k") == k).select("node", "x")
+            if tables:
+                x, near = tables[-1].select("node", "x"), edges
+                some = [r.node for r in x.select("node").limit(FEW + 1).collect()] if few else []  # bounded
+                few = few and len(some) <= FEW
+                if few:  # their buckets alone are read
+                    near = edges.where(F.col("src").isin(some))
+                flow = flow.unionByName(self._flow(x, near)).unionByName(self._flow(x, change))
+            x = flow.groupBy("node").agg(F.sum("x").alias("x")).where(F.abs("x") > least)
+            tables.append(self._stored(x.select("node", F.lit(k).alias("k"), "x")))
+        return _union(tables)
+
+    def ranks(self, shares: DataFrame | None = None) -> DataFrame:
+        """(node, rank) of all nodes."""
+        shares = self.shares if shares is None else shares
+        each = [F.sum(F.coalesce(F.element_at("x", F.lit(k)), F.lit(0.0))).alias(f"s{k}") for k in range(self.iterations + 1)]
+        s = [v or 0.0 for v in shares.agg(*each).first()]  # a number for each round
+        c: list[float] = []
+        for t in range(self.iterations):
+            c.append(1 - sum(c[t - 1 - j] * s[j + 1] for j in range(t)) - s[t + 1])
+        of = [*reversed(c), 1.0]
+        rank = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda a, e: a + F.get(F.array(*map(F.lit, of)), e["key"]) * e["value"])
+        return shares.select("node", rank.alias("rank"))
+
+    def after(self, added: DataFrame | None = None, removed: DataFrame | None = None, least: float = 1e-14) -> DataFrame:
+        """(node, rank) once edges have come and gone: what the edit disturbs is propagated, and nothing else.
+
+        Where sources' edges change by D, the shares' differences are d_k = w d_(k-1) + D (x_(k-1) + d_(k-1)); they start at the edited sources and go as
+        far as they reach. Differences below ``least`` are dropped.
+        """
+        plain = self.edges.select("src", "dst")
+        touched = _union([t.select("src") for t in (added, removed) if t is not None]).distinct() if added is not None or removed is not None else None
+        if touched is None:
+            return self.ranks()
+        touched = keep(touched)
+        size = touched.count()
+        hit = F.broadcast(touched) if size <= SMALL else touched
+        before = keep(plain.join(hit, "src", "left_semi"))
+        now = simple_edges(self.nodes, edit_edges(before, added, removed))
+        change = weighted(now, self.damping).unionByName(weighted(before, self.damping).withColumn("w", -F.col("w")))
+        change = self._stored(change.groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w <> 0"))
+        known = self.shares.join(hit.withColumnRenamed("src", "node"), "node", "left_semi").select("node", F.explode("x").alias("k", "x"))
+        comes = self._stored(self._flow_by_round(self._stored(known), change))
+        less = self._by_node(self._differences(change, comes, least)).withColumnRenamed("x", "d")
+        none = F.create_map().cast("map<int,double>")
+        every = F.map_zip_with(F.coalesce("x", none), F.coalesce("d", none), lambda _, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+        return self.ranks(keep(self.shares.join(less, "node", "full").select("node", every.alias("x"))))
+
+    def _flow_by_round(self, x: DataFrame, change: DataFrame) -> DataFrame:
+        met = change.join(x.select(F.col("node").alias("src"), "k", "x"), "src")
+        return met.groupBy(F.col("dst").alias("node"), (F.col("k") + 1).alias("k")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+
+    def close(self) -> None:
+        """Drops the stored edges; results that aren't kept can't be read after it."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        discard(self.spark, self.path)
+
+
+def weighted(edges: DataFrame, damping: float) -> DataFrame:
+    """(src, dst, w): damping over the source's number of edges."""
+    degree = edges.groupBy("src").agg(F.count("*").alias("n"))
+    return edges.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("n")).alias("w"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+    """(node, rank): power iteration; the mass of nodes without edges is dealt out by the teleport vector."""
+    own = Ranks(nodes, edges, personal, damping, iterations)
+    got = keep(own.ranks())
+    own.close()
+    return got
 
 
 def internal_pagerank(nodes: DataFrame, edges: DataFrame, authority: DataFrame | None = None, **how) -> DataFrame:
@@ -145,13 +236,16 @@ def internal_pagerank(nodes: DataFrame, edges: DataFrame, authority: DataFrame |
     return met.select("node", F.bround(F.col("rank") * 10 / top, 4).alias("ipr"), F.coalesce("i", F.lit(0)).alias("ipr_inbound"), F.coalesce("o", F.lit(0)).alias("ipr_outbound"))
 
 
-def sandbox_pagerank(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
-    """(url, score): ranks over the largest, not rounded."""
-    got = pagerank(nodes, edges, **how)
+def _scores(got: DataFrame) -> DataFrame:
     top = max(got.agg(F.max("rank")).first()[0] or 0.0, 1e-9)
     return got.select(F.col("node").alias("url"), (F.col("rank") / top).alias("score"))
 
 
+def sandbox_pagerank(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
+    """(url, score): ranks over the largest, not rounded."""
+    return _scores(pagerank(nodes, edges, **how))
+
+
 def edit_edges(edges: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
     out = edges.select("src", "dst")
     if added is not None:
@@ -162,8 +256,11 @@ def edit_edges(edges: DataFrame, added: DataFrame | None = None, removed: DataFr
 
 
 def what_if(nodes: DataFrame, edges: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, **how) -> DataFrame:
-    """url, before, after, delta, delta_pct of the scores when edges change."""
-    return score_delta(sandbox_pagerank(nodes, edges, **how), sandbox_pagerank(nodes, edit_edges(edges, added, removed), **how))
+    """url, before, after, delta, delta_pct of the scores when edges change; the ranks are made once, and only the edit's differences are propagated."""
+    own = Ranks(nodes, edges, **how)
+    before, after = keep(own.ranks()), keep(own.after(added, removed))
+    own.close()
+    return score_delta(_scores(before), _scores(after))
 
 
 def link_plan(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -191,6 +288,30 @@ def redirect_chains(hops: DataFrame, starts: DataFrame, most: int = 10) -> DataF
     return done.unionByName(live.select("url", "chain", F.col("at").alias("final_url"), "looped"))
 
 
+def resolved_redirects(hops: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(url, final_url, hops, looped) of every address that redirects, for chains of any length, by pointer doubling.
+
+    After k rounds an address points to where 2^k hops lead, so a chain of n hops takes log2(n) joins. An address inside or ahead of a loop never ends: chains that end have
+    successors of every shorter length, so once a round ends none, all that are left loop; these have no final url. Of an address with several targets the least counts.
+    """
+    step = hops.where("url is not null and location is not null").groupBy("url").agg(F.min("location").alias("at"))
+    ends = step.select(F.col("url").alias("at")).distinct()
+    # an address that redirects no further is an end
+    now = keep(step.join(ends.withColumn("_on", F.lit(True)), "at", "left").select("url", "at", F.lit(1).cast("long").alias("hops"), F.col("_on").isNull().alias("done")))
+    left = now.where("not done").count()
+    for _ in range(most_rounds):
+        if not left:
+            break
+        far = now.select(F.col("url").alias("at"), F.col("at").alias("_to"), F.col("hops").alias("_n"), F.col("done").alias("_end"))
+        ended, open_ = now.where("done"), now.where("not done")
+        moved = open_.join(far, "at").select("url", F.col("_to").alias("at"), (F.col("hops") + F.col("_n")).alias("hops"), F.col("_end").alias("done"))
+        now = keep(ended.unionByName(moved))
+        before, left = left, now.where("not done").count()
+        if left == before:
+            break
+    return now.select("url", F.when(F.col("done"), F.col("at")).alias("final_url"), F.when(F.col("done"), F.col("hops")).alias("hops"), (~F.col("done")).alias("looped"))
+
+
 def crawl(seeds: DataFrame, outlinks: DataFrame, max_pages: int = 10_000, max_depth: int = 50, batch: int = 1000) -> DataFrame:
     """The order of a priority crawl over known pages: (url, depth, batch). outlinks (src, dst) is what fetching each page finds."""
     queue = seeds.select("url", F.lit(2).alias("priority"), F.lit(0).alias("depth"))

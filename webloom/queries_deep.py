@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.operators import domains
+from webloom.operators import domains, graph, mentions, search
 from webloom.sources.fixtures import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,60 @@ def internal_pages(spark, sf):
     got = domains.with_internal(p, "url", "m.www.theron.example.net", _rules(spark), name="internal")
     got = domains.with_internal(got, "url", "www.tionble.example.com", _rules(spark), allowlist=["Blog"], name="listed")
     return domains.with_internal(got, "url", "ththan.example.com", rules, True, name="whole").drop("url")
+
+
+# mentions of many brands
+
+_WORDS = "SELECT DISTINCT w AS brand FROM (SELECT split_part(text, ' ', 3) AS w FROM documents UNION ALL SELECT split_part(text, ' ', 5) FROM documents) WHERE regexp_matches(w, '^[^ \\t\\n\\r]+$')"
+
+
+def _brands(spark, sf):
+    """Words of all documents: as many brands as there are."""
+    d = table(spark, sf, "documents")
+    return d.select(F.explode(F.array(F.split_part("text", F.lit(" "), F.lit(3)), F.split_part("text", F.lit(" "), F.lit(5)))).alias("brand")).where(r"brand rlike '^[^ \t\n\r]+$'").distinct()
+
+
+@query(f"SELECT pos, brand FROM v_answers JOIN ({_WORDS}) ON contains(lower(answer_text), lower(brand))")
+def found_mentions(spark, sf):
+    return mentions.found(view(spark, sf, "v_answers").select("pos", "answer_text"), _brands(spark, sf)).select("pos", "brand")
+
+
+@query(f"SELECT brand, count(*)::BIGINT AS answers FROM v_answers JOIN ({_WORDS}) ON contains(lower(answer_text), lower(brand)) GROUP BY 1")
+def mention_counts(spark, sf):
+    return mentions.counts(view(spark, sf, "v_answers"), _brands(spark, sf))
+
+
+# substring search by trigrams
+
+_NEEDLES = ("thesh", "é e", "ón", "IDIOT", "the and attion to", "no such text")
+_FOUND = " UNION ALL ".join(f"SELECT '{n}' AS needle, doc_id FROM documents WHERE contains(lower(text), lower('{n}'))" for n in _NEEDLES)
+
+
+@query(_FOUND)
+def trigram_search(spark, sf):
+    index = search.Trigrams(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    out = None
+    for n in _NEEDLES:
+        got = index.search(n).select(F.lit(n).alias("needle"), "doc_id")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("SELECT needle, c_custkey AS id FROM customer JOIN (VALUES ('00001'), ('r#000000012'), ('zz')) AS v(needle) ON contains(lower(c_name), needle)")
+def customer_names_by_trigrams(spark, sf):
+    index = search.Trigrams(table(spark, sf, "customer"), "c_custkey", "c_name", folders=16)
+    parts = [index.search(n).select(F.lit(n).alias("needle"), F.col("c_custkey").alias("id")) for n in ("00001", "R#000000012", "zz")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("needle", F.lower("needle"))
+
+
+# redirects of any length
+
+_HOPS = "SELECT p_partkey AS url, CASE WHEN p_partkey % 300 = 299 THEN p_partkey - 7 WHEN p_partkey % 211 > 0 THEN p_partkey + 1 END AS location FROM part"
+
+
+@query(f"""WITH RECURSIVE h AS MATERIALIZED (SELECT * FROM ({_HOPS}) WHERE location IS NOT NULL), w AS (SELECT url, location AS z, 1 AS hops FROM h UNION ALL SELECT w.url, h.location, hops + 1 FROM w JOIN h ON w.z = h.url WHERE hops < 600),
+e AS (SELECT url, z, hops FROM w WHERE z NOT IN (SELECT url FROM h)) SELECT h.url, z AS final_url, hops::BIGINT AS hops, z IS NULL AS looped FROM h LEFT JOIN e USING (url)""")
+def resolved_redirects(spark, sf):
+    k = F.col("p_partkey")
+    hops = table(spark, sf, "part").select(k.alias("url"), F.when(k % 300 == 299, k - 7).when(k % 211 > 0, k + 1).alias("location"))
+    return graph.resolved_redirects(hops)

@@ -539,9 +539,9 @@ def link_plan(spark, sf):
     return reports.link_plan_report(e.select(F.col("src").alias("node")), e, more, e.unionByName(more).where("cast(src as bigint) % 5 = 0"))
 
 
-def _pagerank_sql(start: str, share: str, rounds: int = graph.ITERATIONS) -> str:
+def _pagerank_sql(start: str, share: str, rounds: int = graph.ITERATIONS, edges: str = "v_edges") -> str:
     """Power iteration, one common table for each round; share: SQL for (node, p)."""
-    out = [f"n AS (SELECT s_suppkey::VARCHAR AS node FROM supplier), p AS MATERIALIZED ({share}), e AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS d FROM (SELECT DISTINCT src, dst FROM v_edges WHERE src <> dst AND src IN (FROM n) AND dst IN (FROM n)))"]
+    out = [f"n AS (SELECT s_suppkey::VARCHAR AS node FROM supplier), p AS MATERIALIZED ({share}), e AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS d FROM (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst AND src IN (FROM n) AND dst IN (FROM n)))"]
     out.append("r0 AS MATERIALIZED (SELECT node, p AS rank FROM p)")
     for k in range(rounds):
         out.append(
@@ -570,9 +570,28 @@ def internal_rank(spark, sf):
 
 @query(_pagerank_sql("SELECT node AS url, round(rank / greatest((SELECT max(rank) FROM {0}), 1e-9), 8) AS score FROM {0}", _EVEN))
 def sandbox_rank(spark, sf):
-    """The distributed rounds, whatever the graph's size."""
     nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("node"))
-    return graph.sandbox_pagerank(nodes, view(spark, sf, "v_edges"), in_one_task=0).select("url", F.round("score", 8).alias("score"))
+    return graph.sandbox_pagerank(nodes, view(spark, sf, "v_edges")).select("url", F.round("score", 8).alias("score"))
+
+
+_EDITED = """(SELECT src, dst FROM (SELECT src, dst FROM v_edges UNION ALL SELECT s_suppkey::VARCHAR, (s_suppkey % (SELECT count(*) FROM supplier) + 1)::VARCHAR FROM supplier WHERE s_suppkey % 50 = 1)
+  WHERE NOT (src::BIGINT % 50 = 7 AND dst::BIGINT % 2 = 0))"""
+
+
+def _what_if_sql() -> str:
+    b, a = (_pagerank_sql("SELECT node AS url, rank / greatest((SELECT max(rank) FROM {0}), 1e-9) AS score FROM {0}", _EVEN, edges=e) for e in ("v_edges", _EDITED))
+    return f"SELECT url, round(b.score, 8) AS before, round(a.score, 8) AS after, round(a.score - b.score, 8) AS delta FROM ({b}) b JOIN ({a}) a USING (url)"
+
+
+@query(_what_if_sql())
+def what_if_ranks(spark, sf):
+    """Each fiftieth supplier gets an edge to the next, each other fiftieth loses its even ones."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("node"))
+    e = view(spark, sf, "v_edges")
+    added = table(spark, sf, "supplier").crossJoin(F.broadcast(s.agg(F.count("*").alias("n")))).where("s_suppkey % 50 = 1").select(F.col("s_suppkey").cast("string").alias("src"), (F.col("s_suppkey") % F.col("n") + 1).cast("string").alias("dst"))  # one row
+    removed = e.where("cast(src as bigint) % 50 = 7 and cast(dst as bigint) % 2 = 0")
+    got = graph.what_if(s, e, added, removed)
+    return got.select("url", *[F.round(c, 8).alias(c) for c in ("before", "after", "delta")])
 
 
 @query("SELECT d.d AS domain, page_id FROM (VALUES ('0'), ('1'), ('none')) AS d(d) LEFT JOIN pages ON (page_id % 4)::VARCHAR = d.d")
