@@ -14,7 +14,9 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -346,6 +348,38 @@ def extract_pages(pages: DataFrame, is_internal: Callable[[str], bool] = lambda
     return pages.select(key, "url", "html").mapInPandas(run, f"{key} {kind}, url string, {SCHEMA}")
 
 
+def _html_parts(fields: dict[str, T.DataType]):
+    """The table function; fields: the columns of an extraction, read from ``SCHEMA`` where there is a session."""
+
+    class HtmlParts:
+        @staticmethod
+        def analyze(row, kind):
+            from pyspark.sql.udtf import AnalyzeResult
+
+            of = fields.get(kind.value)
+            if not isinstance(of, T.ArrayType) or not isinstance(of.elementType, T.StructType):
+                raise ValueError(f"{kind.value} isn't a list of parts of a page")
+            have = {f.name: f.dataType for f in row.dataType}
+            if not {"url", "html"} <= have.keys():
+                raise ValueError("the table needs url and html")
+            own = [T.StructField("page_id", have["page_id"])] if "page_id" in have else []
+            return AnalyzeResult(T.StructType([*own, T.StructField("url", T.StringType()), T.StructField("place", T.IntegerType()), *of.elementType.fields]))
+
+        def eval(self, row, kind: str):
+            own = [row["page_id"]] if "page_id" in row else []
+            for i, part in enumerate(extract(row["url"] or "", row["html"], lambda url: True)[kind]):
+                yield (*own, row["url"], i, *part.values())
+
+    return udtf(HtmlParts)
+
+
+def register_html_parts(spark: SparkSession, name: str = "html_parts") -> None:
+    """Makes a table function known to the session's SQL: ``html_parts(TABLE(pages), 'links')`` gives page_id (where there is one), url, place and the fields of each link (or of images,
+    heading_outline, sections, hreflang_tags). Its columns follow from the kind, a constant. Pages without such parts, blank ones too, give no rows."""
+    fields = {f.name: f.dataType for f in T._parse_datatype_string(SCHEMA)}
+    spark.udtf.register(name, _html_parts(fields))
+
+
 def simple_page(url: str, html: str | None, host: str) -> dict:
     """The plainer profile: first h1 (else its label or image text), distinct internal and external links, words of all text."""
     root = parse(html or "")

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.operators import domains, graph, mentions, search
+from webloom.functions import html
+from webloom.operators import domains, graph, mentions, search, structured
+from webloom.plans import progress
+from webloom.queries_audit import audit_pages
 from webloom.sources.fixtures import table, view, with_views
+from webloom.sources.shared import fresh_dir, keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,3 +121,64 @@ def resolved_redirects(spark, sf):
     k = F.col("p_partkey")
     hops = table(spark, sf, "part").select(k.alias("url"), F.when(k % 300 == 299, k - 7).when(k % 211 > 0, k + 1).alias("location"))
     return graph.resolved_redirects(hops)
+
+
+# extraction over the table's own pages
+
+
+_PLAIN = "trim(replace(replace(replace(replace(regexp_extract(html, '{}', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'))"
+
+
+@query("SELECT page_id, " + _PLAIN.format("<title>([^<]*)") + " AS title, " + _PLAIN.format("<h1>([^<]*)") + r""" AS h1_text, len(regexp_extract_all(html, '<h1[ >]'))::INTEGER AS h1_count, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang,
+  regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset_declared, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs, len(regexp_extract_all(html, '<img '))::INTEGER AS img_count FROM pages""")
+def html_page_facts(spark, sf):
+    got = html.extract_pages(table(spark, sf, "pages"))
+    return got.select("page_id", "title", "h1_text", "h1_count", "html_lang", "charset_declared", F.transform("links", lambda x: x["href"]).alias("hrefs"), "img_count")
+
+
+@query(r"""SELECT page_id, place::INTEGER AS place, t[1] AS href, t[2] AS anchor_text FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2))) AS t,
+  unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">')))) AS place FROM pages)""")
+def html_links_by_sql(spark, sf):
+    html.register_html_parts(spark)
+    return spark.sql("SELECT page_id, place, href, anchor_text FROM html_parts(TABLE(SELECT page_id, url, html FROM {pages}), 'links')", pages=table(spark, sf, "pages"))
+
+
+# structured data as variants
+
+
+def _parsed(spark, sf):
+    return structured.blocks(audit_pages(spark, sf).select(F.col("pos").alias("page"), "structured_data"), "page")
+
+
+_BLOCKS = """s AS (SELECT v_audit.pos AS page, list_filter([sd1, sd2], lambda x: x IS NOT NULL) AS l FROM v_audit), raw AS (SELECT page, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS pos FROM s),
+o AS (SELECT page, pos::INTEGER AS pos, t::JSON AS b FROM raw WHERE json_type(t) = 'OBJECT')"""
+
+
+@query(f"""WITH {_BLOCKS}, k AS (SELECT *, CASE json_type(b, '$."@type"') WHEN 'ARRAY' THEN b->>'$."@type"[0]' ELSE b->>'$."@type"' END AS kind FROM o WHERE coalesce(b->>'$._error', '') = ''),
+needs(kind, fields) AS (VALUES ('Product', ['name', 'image', 'offers']), ('Article', ['headline', 'author', 'datePublished']), ('Organization', ['name', 'url']))
+SELECT page, pos, kind, list_filter(fields, lambda f: NOT list_contains(json_keys(b), f)) AS missing FROM k JOIN needs USING (kind) WHERE len(list_filter(fields, lambda f: NOT list_contains(json_keys(b), f))) > 0""")
+def variant_missing_fields(spark, sf):
+    return structured.missing_fields(_parsed(spark, sf), "page")
+
+
+@query(f"""WITH {_BLOCKS} SELECT page, pos, 'invalid' AS what FROM o WHERE coalesce(b->>'$._error', '') <> '' UNION ALL
+SELECT page, pos, 'kind ' || x FROM o, unnest(CASE json_type(b, '$."@type"') WHEN 'ARRAY' THEN (b->'$."@type"')::VARCHAR[] WHEN 'VARCHAR' THEN [b->>'$."@type"'] END) AS v(x)""")
+def variant_kinds(spark, sf):
+    parsed = keep(_parsed(spark, sf))
+    kinds = structured.nodes(parsed, "page").select("page", "pos", F.concat(F.lit("kind "), "kind").alias("what"))
+    return structured.invalid(parsed, "page").withColumn("what", F.lit("invalid")).unionByName(kinds)
+
+
+# what is observed of writes
+
+
+@query("SELECT 'pages' AS what, count(*)::BIGINT AS n FROM v_pages UNION ALL SELECT 'errors', count(*) FROM v_pages WHERE status_code >= 400 UNION ALL SELECT 'words', sum(word_count) FROM v_pages UNION ALL SELECT 'stream', count(*) FROM v_pages UNION ALL SELECT 'stream_errors', count(*) FROM v_pages WHERE status_code >= 400")
+def observed_writes(spark, sf):
+    """Counts that are taken while tables are written, in batch and as a stream, not by reading them again."""
+    pages = view(spark, sf, "v_pages").select("url", "status_code", "word_count")
+    counts = {"pages": F.count(F.lit(1)), "errors": F.count(F.when(F.col("status_code") >= 400, 1)), "words": F.sum("word_count")}
+    source = fresh_dir(spark, "observed")
+    got = progress.write_observed(pages, source, **counts)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    seen = progress.stream_observed(stream, fresh_dir(spark, "observed"), stream=counts["pages"], stream_errors=counts["errors"])
+    return spark.createDataFrame([*got.items(), *seen.items()], "what string, n long")  # a row for each count
