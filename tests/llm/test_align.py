@@ -126,7 +126,7 @@ def test_ids_and_ends_are_those_of_both_libraries(plain):
 def test_groups_and_links_of_each_row(spark, plain):
     row = align.align(docs(spark, [(1, "Übermaß ciónesbo"), (2, None)])).orderBy("doc_id").collect()
     a, b = map(spans, plain("Übermaß ciónesbo"))
-    assert [(x.a, x.b) for x in row[0].links] == [(i, j) for i, s, e in a for j, u, v in b if s < v and u < e]
+    assert sorted((x.a, x.b) for x in row[0].links) == sorted((i, j) for i, s, e in a for j, u, v in b if s < v and u < e)
     for g in row[0].groups:
         assert (a[g.from_a][1], a[g.to_a][2]) == (b[g.from_b][1], b[g.to_b][2])
     assert row[1].groups == [] and row[1].links == []

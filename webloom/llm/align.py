@@ -64,10 +64,11 @@ class _Pair:
         """ids and ends of A, ids and ends of B; empty where there are no tokens."""
         if not text:
             return [np.empty(0, np.int32)] * 4
-        a, b, want = self.a.encode_ordinary(" " + text), self.b.encode(text), (" " + text).encode("utf-8", "replace")
-        if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
+        a, b, want = np.array(self.a.encode_ordinary(" " + text), np.int32), self.b.encode(text), (" " + text).encode("utf-8", "replace")
+        # A has a token for each byte and loses none
+        if int(self.sizes_a[a].sum()) != len(want) or b"".join(map(self.bytes_b.__getitem__, b)) != want:
             return [np.empty(0, np.int32)] * 4
-        a, b = np.array(a, np.int32), np.array(b, np.int32)
+        b = np.array(b, np.int32)
         return [a, np.cumsum(self.sizes_a[a], dtype=np.int32), b, np.cumsum(self.sizes_b[b], dtype=np.int32)]
 
 
@@ -140,11 +141,12 @@ def link(a: Column, b: Column) -> Column:
 
 
 def aligned(df: DataFrame) -> DataFrame:
-    """Adds to ids and ends: n_groups and, in ``got``, reach (for each token of A the place of B's token that holds its last byte), closes (whether both end there) and ga (the last places of A in each group)."""
+    """Adds to ids and ends: n_groups and, in ``got``, reach (for each token of A the place of B's token that holds its last byte), next (the place of B's token after that byte) and ga (the last places of A in each group)."""
     a, b = F.col("ends_a"), F.col("ends_b")
-    last = lambda c: F.filter(F.transform(c, lambda x, i: F.when(x, i).otherwise(-1)), lambda i: i >= 0)
-    parts = lambda r, c: F.struct(r.alias("reach"), c.alias("closes"), last(c).alias("ga"))
-    got = lets([a, b, _below(b, a)], lambda a, b, r: let(F.transform(r, lambda x, i: F.get(b, x) == F.get(a, i)), lambda c: parts(r, c)))
+    # both end there where the next token differs
+    last = lambda r, n: F.filter(F.transform(n, lambda x, i: F.when(x == F.get(r, i), -1).otherwise(i)), lambda i: i >= 0)
+    parts = lambda r, n: F.struct(r.alias("reach"), n.alias("next"), last(r, n).alias("ga"))
+    got = lets([a, b, _below(b, a)], lambda a, b, r: let(F.transform(r, lambda x, i: F.when(F.get(b, x) == F.get(a, i), x + 1).otherwise(x)), lambda n: parts(r, n)))
     return df.withColumns({"got": got, "n_groups": F.size(F.array_intersect("ends_a", "ends_b")).cast("long")})
 
 
@@ -152,26 +154,29 @@ def groups_text(a: Column, b: Column, reach: Column, ga: Column) -> Column:
     """``a1,a2|b1;a3|b2,b3``: the ids of A and B in each group, in order."""
 
     def part(s: Column, lo: Column, hi: Column) -> Column:
-        return F.when(hi - lo == 1, F.get(s, hi)).otherwise(F.array_join(F.slice(s, lo + 2, hi - lo), ","))
+        return F.when(hi - lo == 1, F.array(F.get(s, hi))).otherwise(F.slice(s, lo + 2, hi - lo))
 
-    def text(sa: Column, sb: Column, reach: Column, ga: Column) -> Column:
+    def groups(a: Column, b: Column, reach: Column, ga: Column) -> Column:
         before = lambda g: F.coalesce(F.get(ga, g - 1), F.lit(-1))
-        own = lambda x, g: F.concat(part(sa, before(g), x), F.lit("|"), part(sb, F.coalesce(F.get(reach, before(g)), F.lit(-1)), F.get(reach, x)))
-        return F.array_join(F.transform(ga, own), ";")
+        return F.transform(ga, lambda x, g: F.array(part(a, before(g), x), part(b, F.coalesce(F.get(reach, before(g)), F.lit(-1)), F.get(reach, x))))
 
-    return lets([a.cast("array<string>"), b.cast("array<string>"), reach, ga], text)
+    # lists of two lists of numbers, written out at once: [[[a1, a2], [b1]], [[a3], [b2, b3]]]
+    text = F.replace(lets([a, b, reach, ga], groups).cast("string"), F.lit(" "), F.lit(""))
+    text = F.replace(F.replace(text, F.lit("]],[["), F.lit(";")), F.lit("],["), F.lit("|"))
+    return F.btrim(text, F.lit("[]"))
 
 
-def links_of(a: Column, b: Column, reach: Column, closes: Column) -> Column:
-    """All overlapping pairs of token occurrences, as ``link``, in order."""
+def links_of(a: Column, b: Column, reach: Column, next_: Column) -> Column:
+    """All overlapping pairs of token occurrences, as ``link``: first each token of A with the last of B that it overlaps, then the few with earlier ones."""
 
-    def every(a: Column, b: Column, reach: Column, closes: Column) -> Column:
+    def every(a: Column, b: Column, reach: Column, next_: Column) -> Column:
         one = lambda i, j: link(F.get(a, i), F.get(b, j))
-        # B's token that reaches up to this one's start, or the next if it ends there
-        first = lambda i: F.coalesce(F.get(reach, i - 1) + F.when(F.get(closes, i - 1), 1).otherwise(0), F.lit(0))
-        return F.flatten(F.transform(reach, lambda last, i: F.when(first(i) == last, F.array(one(i, last))).otherwise(F.transform(F.sequence(first(i), last), lambda j: one(i, j)))))
+        first = lambda i: F.coalesce(F.get(next_, i - 1), F.lit(0))
+        several = F.filter(F.transform(reach, lambda r, i: F.when(first(i) < r, i).otherwise(-1)), lambda i: i >= 0)
+        more = F.flatten(F.transform(several, lambda i: F.transform(F.sequence(first(i), F.get(reach, i) - 1), lambda j: one(i, j))))
+        return F.concat(F.transform(reach, lambda r, i: one(i, r)), more)
 
-    return lets([a, b, reach, closes], every)
+    return lets([a, b, reach, next_], every)
 
 
 def align(docs: DataFrame, a: str | None = None, b: str | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -180,7 +185,7 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None, key: str
     ga, reach = F.col("got.ga"), F.col("got.reach")
     before = lambda g: F.coalesce(F.get(ga, g - 1), F.lit(-1))
     group = F.transform(ga, lambda x, g: F.struct((before(g) + 1).alias("from_a"), x.alias("to_a"), (F.coalesce(F.get(reach, before(g)), F.lit(-1)) + 1).alias("from_b"), F.get(reach, x).alias("to_b")))
-    links = F.transform(links_of(F.col("a"), F.col("b"), reach, F.col("got.closes")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("a"), x.bitwiseAND(0x7FFFFFFF).cast("int").alias("b")))
+    links = F.transform(links_of(F.col("a"), F.col("b"), reach, F.col("got.next")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("a"), x.bitwiseAND(0x7FFFFFFF).cast("int").alias("b")))
     return got.select(key, "a", "ends_a", "b", "ends_b", group.alias("groups"), links.alias("links"))
 
 
@@ -195,7 +200,7 @@ def digests(docs: DataFrame, a: str | None = None, b: str | None = None, key: st
         F.size("b").cast("long").alias("n_b"),
         "n_groups",
         F.when(F.size("a") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"),
-        links_of(F.col("a"), F.col("b"), F.col("got.reach"), F.col("got.closes")).alias("links"),
+        links_of(F.col("a"), F.col("b"), F.col("got.reach"), F.col("got.next")).alias("links"),
     )
     got = written(got, "links")
     counts = written(got.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count("*").alias("n")), "pairs")
