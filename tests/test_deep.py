@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.operators import domains, graph, joins, mentions, search
+from webloom.functions import html
+from webloom.operators import domains, graph, joins, mentions, rules, search, structured
+from webloom.plans import progress
 
 
 def naive_split(host, rules):
@@ -107,3 +109,61 @@ def test_redirects_of_a_thousand_hops_take_few_joins(spark, monkeypatch):
     assert {k: got[k] for k in ("x", "y", "z", "s", "into")} == dict.fromkeys(("x", "y", "z", "s", "into"), (None, None, True))
     assert got["two"] == ("a1000", 2, False) and "end" not in got
     assert graph.resolved_redirects(spark.createDataFrame([], "url string, location string")).count() == 0
+
+
+BLOCKS = [
+    '{"@type": "Product", "name": "x", "image": null}',
+    '{"@type": ["Article", "Thing"], "headline": "x", "dateModified": "2001-02-03"}',
+    '{"@graph": [{"@type": "Organization"}, {"@type": "WebSite"}], "datePublished": "2001-02-03", "dateModified": ""}',
+    '{"@type": "Organization", "_error": "bad"}',
+    "[1]",
+    "no json",
+    "",
+    None,
+    '{"@type": 7}',
+]
+
+
+def test_structured_data_as_variants(spark):
+    pages = spark.createDataFrame([("u", BLOCKS), ("none", None), ("empty", [])], "url string, structured_data array<string>")
+    parsed = structured.blocks(pages)
+    assert [(r.pos, r.there) for r in parsed.select("pos", F.col("block").isNotNull().alias("there")).orderBy("pos").collect()] == [(i, i not in (5, 6, 7)) for i in range(9)]
+    missing = {r.pos: (r.kind, r.missing) for r in structured.missing_fields(parsed).collect()}
+    assert missing == {0: ("Product", ["offers"]), 1: ("Article", ["author", "datePublished"])}
+    assert [r.pos for r in structured.invalid(parsed).collect()] == [3]
+    assert sorted((r.pos, r.kind) for r in structured.nodes(parsed).collect()) == [(0, "Product"), (1, "Article"), (1, "Thing"), (2, "Organization"), (2, "WebSite"), (3, "Organization"), (8, "7")]
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    assert sorted(r.pos for r in structured.stale(parsed, now).collect()) == [1, 2]
+    # the audit's rules on the text form agree
+    flat = pages.withColumns({"pos": F.lit(1), "is_indexable": F.lit(True), "status_code": F.lit(200)})
+    assert [r.url for r in rules.stale_content(flat, now).collect()] == ["u"]
+
+
+def test_parts_of_pages_by_sql(spark):
+    rows = [(1, "https://e.example/", "<h2>a</h2><a href='/x'>X</a><a href='#y'>no</a><img src='i.png'><h4>b</h4><p>" + "some words of a text that is long enough for a part " * 5 + "</p>", "s"), (2, "https://e.example/", None, "s"), (3, None, "<a href='/z'>Z</a>", "s")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, place string")
+    html.register_html_parts(spark)
+    for kind in ("links", "images", "heading_outline", "sections"):
+        got = spark.sql(f"SELECT * FROM html_parts(TABLE(SELECT page_id, url, html, place FROM {{p}}), '{kind}')", p=pages)
+        want = html.extract_pages(pages).select("page_id", "url", F.posexplode(kind).alias("place", "part")).select("page_id", "url", "place", "part.*")
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert spark.sql("SELECT count(*) AS n FROM html_parts(TABLE(SELECT url, html FROM {p}), 'links')", p=pages).first().n == 2
+    with pytest.raises(Exception, match="isn't a list of parts"):
+        spark.sql("SELECT * FROM html_parts(TABLE(SELECT url, html FROM {p}), 'title')", p=pages).collect()
+
+
+def test_observed_counts_are_those_of_the_table(spark, tmp_path):
+    counts = {"n": F.count(F.lit(1)), "odd": F.count(F.when(F.col("id") % 2 == 1, 1)), "total": F.sum("id")}
+    assert progress.write_observed(spark.range(101), f"{tmp_path}/a", **counts) == {"n": 101, "odd": 50, "total": 5050}
+    assert progress.write_observed(spark.range(0), f"{tmp_path}/b", **counts) == {"n": 0, "odd": 0, "total": 0}
+    told = []
+    heard = progress.Progress(lambda batch, row: told.append((batch, row["n"])))
+    spark.streams.addListener(heard)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/a")
+    got = progress.stream_observed(stream, f"{tmp_path}/c", checkpoint=f"{tmp_path}/d", **counts)
+    spark.streams.removeListener(heard)
+    assert got == {"n": 101, "odd": 50, "total": 5050} and spark.read.parquet(f"{tmp_path}/c").count() == 101
+    assert sum(n for _, n in told) == 101 and len(told) > 1
+    # nothing new: nothing is counted again
+    again = progress.stream_observed(stream, f"{tmp_path}/c", checkpoint=f"{tmp_path}/d", **counts)
+    assert again == {"n": 0, "odd": 0, "total": 0}
