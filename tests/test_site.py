@@ -242,14 +242,14 @@ def test_redirects_and_crawl(spark):
 
 
 def test_brands_and_rewards(spark):
-    answers = spark.createDataFrame([(1, None, "a", None, "s", None, "p", "Amazing Group is fine"), (2, None, "b", None, "", None, "p", "nothing"), (3, None, "b", None, "s", None, "p", None)], schemas.ANSWERS)
-    brands = spark.createDataFrame([("Amazing Group AB",), ("Rival",)], "brand string")
+    answers = spark.createDataFrame([(1, None, "a", None, "s", None, "p", "Lanternfish Group is fine"), (2, None, "b", None, "", None, "p", "nothing"), (3, None, "b", None, "s", None, "p", None)], schemas.ANSWERS)
+    brands = spark.createDataFrame([("Lanternfish Group AB",), ("Rival",)], "brand string")
     flags = joins.mentions(answers, brands)
-    rates = {r.brand: (r.mention_rate, r.sov_mentions) for r in agg.brand_rates(flags, "Amazing Group AB").collect()}
-    assert rates == {"Amazing Group AB": (0.333, 1.0), "Rival": (0.0, 0.0)}
-    assert {(r.kind, r.value, r.mention_rate) for r in agg.rates_by(flags, "Amazing Group AB").collect()} == {("persona", "a", 1.0), ("persona", "b", 0.0), ("service", "s", 0.5)}
+    rates = {r.brand: (r.mention_rate, r.sov_mentions) for r in agg.brand_rates(flags, "Lanternfish Group AB").collect()}
+    assert rates == {"Lanternfish Group AB": (0.333, 1.0), "Rival": (0.0, 0.0)}
+    assert {(r.kind, r.value, r.mention_rate) for r in agg.rates_by(flags, "Lanternfish Group AB").collect()} == {("persona", "a", 1.0), ("persona", "b", 0.0), ("service", "s", 0.5)}
     wide = joins.mention_columns(flags, "pos").where("pos = 1").first()
-    assert wide["mentions_amazing_group_ab"] and not wide["mentions_rival"]
+    assert wide["mentions_lanternfish_group_ab"] and not wide["mentions_rival"]
 
 
 def test_upsert_patch_and_files(spark, tmp_path):
