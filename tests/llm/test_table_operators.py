@@ -226,7 +226,7 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     ids = {k: set(v) for k, v in after.items()}
     assert not ids["toxicity"] & {i for i, _ in toxic} and {i for i, _ in clean} <= ids["toxicity"]
     kept = {600: simhash.fingerprint(None)}
-    assert not ids["simhash"] & {300, 301} and (601 in ids["simhash"]) + (600 in ids["simhash"]) == len(kept)
+    assert not ids["neardup"] & {300, 301} and (601 in ids["neardup"]) + (600 in ids["neardup"]) == len(kept)
     assert passage in after["linededup"][400].text and passage not in after["linededup"][401].text
     assert ids["decontam"] == ids["linededup"] - {500}
     assert {i for i, _ in clean} <= ids["bpe"]
