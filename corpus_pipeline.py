@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts linked by a similarity of 0.8 or more in five-word shingles, the document of the smallest doc_id stays, of ties the one of the least digest."""
-    return simhash.keep_one(docs, neardup.groups(docs))
+    """Of each component of texts linked by SimHash fingerprints (operator 10) or by a similarity of 0.8 or more in five-word shingles, the document of the smallest doc_id stays, of ties the one of the least digest."""
+    return simhash.keep_one(docs, neardup.groups(docs, also=simhash.groups(docs)))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,8 +178,16 @@ def _finer(rows: DataFrame, bands: int, per: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, root long, keys array<long>, bits array<long>")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group: int = GROUP, finer: tuple[int, int] = FINER) -> DataFrame:
-    """doc_id, mark and component_id for each row of ``docs``, with its component's first row (lead_mark)."""
+def _joined(marked: DataFrame, also: DataFrame) -> DataFrame:
+    """(u, v), u > v: the nodes of each other component (mark, lead_mark), each linked to the smallest; a text has one mark, one node and one such component."""
+    own = marked.select("mark", "node").distinct().join(also.select("mark", "lead_mark").distinct(), "mark").select("lead_mark", "node").distinct()
+    low = own.groupBy("lead_mark").agg(F.min("node").alias("v"))
+    return own.join(low, "lead_mark").where("node <> v").select(F.col("node").alias("u"), "v")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group: int = GROUP, finer: tuple[int, int] = FINER, also: DataFrame | None = None) -> DataFrame:
+    """doc_id, mark and component_id for each row of ``docs``, with its component's first row (lead_mark). also: other components of the same rows
+    (mark, lead_mark), as those of ``simhash.groups``; rows that one of both links, directly or through others, are one component."""
     marked = written(sketches(docs, shingle, bands, rows), "sketches")
     lead = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     nodes = written(marked.groupBy("node").agg(F.min(lead).alias("lead"), F.first("keys").alias("keys")), "nodes")
@@ -192,7 +200,11 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     met = written(few(keyed.join(low, "key").select("key", "node", "low", (F.col("n") > group).alias("crowded")), size, 2000), "met")
     most = met.count()
     sets = written(few(_sets(docs, nodes.join(met.select("node").distinct(), "node"), shingle), size, 2000), "sets")
+    if also is not None:
+        joined = materialise(few(_joined(marked, also), size, 20_000))
     links = materialise(few(_linked(met.where("node <> low").select(F.greatest("node", "low").alias("u"), F.least("node", "low").alias("v")).distinct(), sets, similarity), most, 5000))
+    if also is not None:
+        links = links.unionByName(joined)
     roots = components(links)
     rooted = materialise(few(met.select("key", "node", "crowded").join(roots, "node", "left").select("key", "node", "crowded", F.coalesce("root", "node").alias("root")), most, 20_000))
     pairs = _across(rooted.where("not crowded"), group)
