@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from webloom.functions.scalars import brand_tokens
 from webloom.sources.shared import keep
 
-LIST_BYTES = 32 << 20
+#: Some 16 bytes of automaton for each, in every worker.
+LIST_BYTES = 8 << 20
 
 
 def automaton(spellings: list[tuple[str, int]]):
