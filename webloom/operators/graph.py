@@ -290,7 +290,8 @@ def redirect_chains(hops: DataFrame, starts: DataFrame, most: int = 10) -> DataF
     live = starts.select("url", F.col("url").alias("at"), F.array().cast(f"array<{hop}>").alias("chain"), F.lit(False).alias("looped"))
     done = None
     for _ in range(most):
-        met = live.join(table, F.col("at") == F.col("_u"), "left")
+        # merged: a broadcast for each hop would pass through the driver
+        met = live.join(table.hint("merge"), F.col("at") == F.col("_u"), "left")
         ended = met.where("location is null or looped").select("url", "chain", F.col("at").alias("final_url"), "looped")
         done = ended if done is None else done.unionByName(ended)
         step = F.struct(F.col("at").alias("url"), F.col("status_code").cast("int").alias("status_code"))
